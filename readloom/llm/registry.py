@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from readloom.llm import chat, licenses, quality, topk
+from readloom.llm import chat, jaccard, licenses, lines, mixing, quality, topk
 
 QUERIES = {
+    "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
     "op3_topk_search": topk.op3_topk_search,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_chat_format": chat.op5_chat_format,
+    "op6_mixing": mixing.op6_mixing,
     "op9_license_scan": licenses.op9_license_scan,
+    "op10_line_dedup": lines.op10_line_dedup,
 }
 ORACLES = {"op3_topk_search": topk.OP3_SQL, "op5_chat_format": chat.OP5_SQL}

@@ -2,7 +2,7 @@
 
 A vector is cut into 1, 4, then 16 segments. With the mean m and deviation s of a segment of n components, |a - b|^2 over it is at least
 n * ((m_a - m_b)^2 + (s_a - s_b)^2), so the sum over segments bounds the distance from below and, as q.v = (|q|^2 + |v|^2 - |q - v|^2) / 2,
-the score from above. Bounds are taken coarse to fine against the k-th best exact score found so far; exact scores follow for survivors only.
+the score from above: by the sum of n * (m_q * m_v + s_q * s_v). Bounds are taken coarse to fine against the k-th best exact score found so far; exact scores follow for survivors only.
 
 Queries and candidates are dealt into blocks of bounded size, and each pair of a query block and a candidate block is one task's group; no side is
 broadcast or collected. Each group returns k rows for each of its queries, and a window takes the k best of those.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from readloom.llm.common import table
 
 LEVELS = (1, 4, 16)
-QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 4096
+QUERY_BLOCK, CANDIDATE_BLOCK, PART = 1024, 4096, 64
 FOUND = "query_id bigint, vec_id bigint, score bigint"
 
 
@@ -36,56 +36,47 @@ def _stats(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
     return np.hstack([mean, dev]), (x * x).sum(1)
 
 
-def _exact(q: np.ndarray, v: np.ndarray, qi: np.ndarray, vi: np.ndarray, big: bool) -> np.ndarray:
-    """Integer inner products of the pairs (qi, vi)."""
-    out = np.empty(len(qi), np.int64)
-    for a in range(0, len(qi), 65536):
-        s = slice(a, a + 65536)
-        x, y = q[qi[s]], v[vi[s]]
-        out[s] = np.einsum("ij,ij->i", x, y) if big else np.rint(np.einsum("ij,ij->i", x.astype(float), y.astype(float))).astype(np.int64)
-    return out
-
-
 def _best(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k: int, counts: list | None = None) -> pd.DataFrame:
-    """The k best candidates of each query within one pair of blocks. v is sorted by id. counts: gets the survivors after each level."""
+    """The k best candidates of each query within one pair of blocks. v is sorted by id. counts: gets the pairs left after each level.
+
+    Bounds and exact scores are matrix products over the candidates that some query of the part still needs."""
     fq, fv = q.astype(float), v.astype(float)
-    big = bool(q.size and v.size) and float(np.abs(fq).max()) * float(np.abs(fv).max()) * max(1, q.shape[1]) >= 2.0**52
+    # Sums under 2^53 are exact in doubles, whose products are much faster.
+    small = not q.size or not v.size or float(np.abs(fq).max()) * float(np.abs(fv).max()) * q.shape[1] < 2.0**53
+    x, y = (fq, fv) if small else (q, v)
     stats = [(_stats(fq, n), _stats(fv, n)) for n in LEVELS]
+    least = np.iinfo(np.int64).min
 
-    def bound(level: int, qi, vi) -> np.ndarray:
-        (a, na), (b, nb) = stats[level]
-        d = na[qi] + nb[vi] - 2 * np.einsum("ij,ij->i", a[qi], b[vi])  # the lower bound of the distance
-        return (na[qi] + nb[vi] - d) / 2 + 1e-9 * (na[qi] + nb[vi]) + 1e-6
+    def score(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        out = (x[rows] @ y[cols].T).astype(np.int64)
+        out[q_ids[rows, None] == v_ids[None, cols]] = least
+        return out
 
     found = []
-    for start in range(0, len(q), 64):
-        rows = np.arange(start, min(start + 64, len(q)))
-        (a, na), (b, nb) = stats[0]
-        top = a[rows] @ b.T + 1e-9 * (na[rows, None] + nb[None]) + 1e-6
-        own = q_ids[rows, None] == v_ids[None]
-        top[own] = -np.inf
-        # The first threshold: exact scores of the candidates with the best middle bounds.
-        (a2, _), (b2, _) = stats[1]
-        seed_n = min(len(v), 4 * k + 1)
-        guess = np.where(own, -np.inf, a2[rows] @ b2.T)
-        seeds = np.argpartition(-guess, seed_n - 1, axis=1)[:, :seed_n] if len(v) > seed_n else np.tile(np.arange(len(v)), (len(rows), 1))
-        qi, vi = np.repeat(rows, seeds.shape[1]), seeds.ravel()
-        scores = np.where(q_ids[qi] == v_ids[vi], np.iinfo(np.int64).min, _exact(q, v, qi, vi, big)).reshape(len(rows), -1)
-        kth = -np.sort(-scores, axis=1)[:, k - 1] if scores.shape[1] >= k else np.full(len(rows), np.iinfo(np.int64).min)
-        limit = kth.astype(float)
-        r, vi = np.nonzero((top >= limit[:, None]) & ~own)
-        passed = [len(rows) * len(v), len(r)]
-        for level in range(1, len(LEVELS)):
-            keep = np.concatenate([bound(level, rows[r[s : s + 65536]], vi[s : s + 65536]) >= limit[r[s : s + 65536]] for s in range(0, len(r), 65536)]) if len(r) else np.zeros(0, bool)
-            r, vi = r[keep], vi[keep]
-            passed.append(len(r))
+    for start in range(0, len(q), PART):
+        rows, cols = np.arange(start, min(start + PART, len(q))), np.arange(len(v))
+        # A first threshold for each query: its k-th exact score among those candidates whose middle bounds are best for any query of the part.
+        (a, _), (b, _) = stats[1]
+        n_seeds = min(len(v), k + 1)
+        seeds = np.unique(np.argpartition(-(a[rows] @ b.T), n_seeds - 1, axis=1)[:, :n_seeds])
+        scores = score(rows, seeds)
+        limit = np.partition(scores, len(seeds) - k, axis=1)[:, len(seeds) - k] if len(seeds) >= k else np.full(len(rows), least)
+        alive, left = np.ones((len(rows), len(v)), bool), [len(rows) * len(v)]
+        for (a, na), (b, nb) in stats:
+            slack = 1e-9 * (na[rows, None] + nb[None, cols]) + 1e-6
+            alive &= a[rows] @ b[cols].T + slack >= limit[:, None]
+            some = alive.any(0)
+            cols, alive = cols[some], alive[:, some]
+            left.append(int(alive.sum()))
         if counts is not None:
-            counts.append(passed)
-        score = _exact(q, v, rows[r], vi, big)
-        order = np.lexsort((v_ids[vi], -score, r))
-        r, vi, score = r[order], vi[order], score[order]
+            counts.append(left)
+        scores = score(rows, cols)
+        r, c = np.nonzero(alive & (scores >= limit[:, None]) & (scores > least))
+        ids, s = v_ids[cols[c]], scores[r, c]
+        order = np.lexsort((ids, -s, r))  # no score here is least, so -s holds
+        r, ids, s = r[order], ids[order], s[order]
         rank = np.arange(len(r)) - np.searchsorted(r, r)
-        found.append(pd.DataFrame({"query_id": q_ids[rows[r]], "vec_id": v_ids[vi], "score": score})[rank < k])
+        found.append(pd.DataFrame({"query_id": q_ids[rows[r]], "vec_id": ids, "score": s})[rank < k])
     return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
 
 

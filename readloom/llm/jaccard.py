@@ -134,7 +134,7 @@ def rare_first_tokens(docs: DataFrame, width: int, num: int, den: int, n_buckets
             hit[hit] = tokens[at[hit]] == h[hit]
             out.append(h[hit].tobytes() + of[hit].tobytes() + rank[at[hit]].tobytes())
         kept = [i for i, d in enumerate(out) if d]
-        return pa.table({"batch": t["batch"].combine_chunks().take(pa.array(kept)), "head": pa.array([heads[i] for i in kept], pa.bool_()), "bucket": pa.array([bucket] * len(kept), pa.int32()), "data": pa.array([out[i] for i in kept], pa.binary())})
+        return pa.table({"batch": t["batch"].combine_chunks().take(pa.array(kept, pa.int64())), "head": pa.array([heads[i] for i in kept], pa.bool_()), "bucket": pa.array([bucket] * len(kept), pa.int32()), "data": pa.array([out[i] for i in kept], pa.binary())})
 
     def choose(t: pa.Table) -> pa.Table:
         empty = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("missing", pa.int64()), ("tokens", pa.list_(pa.int64()))])

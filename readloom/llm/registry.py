@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from readloom.llm import chat, jaccard, licenses, lines, mixing, quality, topk
+from readloom.llm import chat, jaccard, licenses, lines, mixing, quality, secrets, sentencepieces, suffixes, topk
 
 QUERIES = {
     "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
+    "op2_secret_scan": secrets.op2_secret_scan,
     "op3_topk_search": topk.op3_topk_search,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_chat_format": chat.op5_chat_format,
     "op6_mixing": mixing.op6_mixing,
+    "op7_sentencepiece": sentencepieces.op7_sentencepiece,
+    "op8_suffix_dedup": suffixes.op8_suffix_dedup,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_line_dedup": lines.op10_line_dedup,
 }

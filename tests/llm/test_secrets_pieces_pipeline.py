@@ -60,7 +60,7 @@ def test_sampling_follows_the_distribution(vocabulary, monkeypatch):
     with open(sentencepieces.MODEL, "rb") as f:
         v = sentencepieces.Vocabulary(f.read())
     ids = np.array([v.ids["▁the"], v.ids["and"]], np.int32)
-    ways = [[(w, tuple(x)) for w, x in v.ways(v.pieces[i])] for i in ids]
+    ways = [[(w, tuple(x)) for w, x in v.ways(v.pieces[i]) if w > -30] for i in ids]  # the model gives some pieces a score that rules them out
     p = defaultdict(float)
     for w1, x1 in ways[0]:
         for w2, x2 in ways[1]:

@@ -1,0 +1,20 @@
+"""Row-level cleaning and k-mer counts of a stream of reads; what joins reads with reads needs them all and is batch work."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from readloom.config import Params
+from readloom.functions.sequences import kmers
+from readloom.operators.clean import clean
+
+
+def clean_stream(raw: DataFrame, p: Params) -> DataFrame:
+    """raw: a streaming DataFrame of rn, raw. The same operators as for files: they keep no state."""
+    return clean(raw, p)
+
+
+def kmer_counts(reads: DataFrame, k: int) -> DataFrame:
+    """kmer, count: for output mode complete or update."""
+    return reads.select(F.explode(kmers("seq", k)).alias("kmer")).groupBy("kmer").count()

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the folder that spark.checkpoint.dir names (one of our own only where it is unset)."""
+    """df written as a Parquet table to the folder that spark.checkpoint.dir names (one of our own only where it is unset), and read again.
+
+    A table outlives lost executors, is compressed and lets later scans read single columns; the folder is the cluster's to clear."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="readloom-"))
-    return df.checkpoint()
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,7 +20,7 @@ def reverse_complement(s: Column) -> Column:
 
 def base_code(c: Column) -> Column:
     """0 to 3, or -1 for anything else."""
-    return F.when(F.length(c) == 0, -1).otherwise(F.charindex(F.substring(c, 1, 1), F.lit(BASES)) - 1)
+    return F.when(F.length(c) == 0, -1).otherwise(F.position(F.substring(c, 1, 1), F.lit(BASES)) - 1)
 
 
 def code_base(n: Column) -> Column:
@@ -46,9 +45,8 @@ def to_dna(s: Column) -> Column:
 
 
 def has_period(s: str, most: int) -> Column:
-    """Whether the minimal period is at most most: a string is periodic in p if it equals itself moved by p; its length is always a period."""
-    tests = [F.expr(f"(length({s}) <= {p} or startswith({s}, substring({s}, {p + 1})))") for p in range(1, most + 1)]
-    return reduce(lambda a, b: a | b, tests)
+    """Whether the minimal period is at most most: a string is periodic in p if it begins with itself moved by p; its length is always a period."""
+    return F.expr(f"exists(sequence(1, {most}), p -> startswith({s}, substring({s}, p + 1)))")
 
 
 def min_period(s: str) -> Column:
@@ -113,7 +111,6 @@ def banded_lcs(a: str, b: str, band: int = 2) -> int:
 
 def alike_by_lcs(a: Column, b: Column, percent: float = 95) -> Column:
     """Whether the banded common subsequence is over percent of the length."""
-    import pandas as pd
 
     @F.pandas_udf("boolean")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:

@@ -39,7 +39,8 @@ def fill_unknown(s: str, key: str = "rn") -> Column:
 def prepared(raw: DataFrame, p: Params) -> DataFrame:
     """rn, seq: trimmed and checked, U read as T (as A without p.rna, where U is no base)."""
     seq = raw.select("rn", first_token(F.col("raw")).alias("t")).where("t <> ''").select("rn", trim_ends("t", p.trim_left, p.trim_right).alias("s")).select("rn", checked(F.col("s")).alias("s"))
-    return seq.select("rn", (to_dna(F.col("s")) if p.rna else F.translate("s", "U", "A")).alias("seq"))
+    # A generator's output isn't replaced by its expressions: else the filters that follow, pushed below, would prepare a read anew for each period they try.
+    return seq.select("rn", F.explode(F.array(to_dna(F.col("s")) if p.rna else F.translate("s", "U", "A"))).alias("seq"))
 
 
 def valid(seqs: DataFrame, p: Params) -> DataFrame:

@@ -119,9 +119,10 @@ def test_secret_scan(spark):
 
 
 def test_pipeline(spark, tmp_path):
-    pipeline = pytest.importorskip("corpus_pipeline")
     import random
 
+    import corpus_pipeline as pipeline
+
     rng = random.Random(6)
 
     def prose(n):

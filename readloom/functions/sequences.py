@@ -81,8 +81,9 @@ def right_offset(len1: Column, len2: Column, off: Column) -> Column:
 
 
 def differing_bits(a: str, b: str) -> Column:
-    """Bits in which two strings of one length differ: A and T, C and G differ in two bits, any other two bases in one."""
-    return F.expr(f"aggregate(zip_with(split({a}, ''), split({b}, ''), (x, y) -> case when x = y then 0 when translate(x, 'ACGT', 'TGCA') = y then 2 else 1 end), 0, (acc, x) -> acc + x)")
+    """Bits in which two strings of one length differ: A and T, C and G differ in two bits, any other two bases in one. Of the base-4 numbers of each 31 bases, whose XOR has just these bits."""
+    code = lambda s: f"cast(conv(translate(substring({s}, 31 * k + 1, 31), 'ACGT', '0123'), 4, 10) as bigint)"
+    return F.expr(f"case when {a} = {b} then 0 else aggregate(transform(sequence(0, (length({a}) - 1) div 31), k -> bit_count({code(a)} ^ {code(b)})), 0, (acc, x) -> acc + x) end")
 
 
 def similar(a: str, b: str, percent: float) -> Column:

@@ -68,7 +68,8 @@ def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray
         same = of[:full] == of[width - 1 : width - 1 + full]
         d, h = of[:full][same], mixed(h[same])
         short = np.flatnonzero((count > 0) & (count < width))
-        own = np.array([np.uint64(n) * _PLACE[63] + (words[b : b + n] * _PLACE[:n]).sum(dtype=np.uint64) for b, n in zip(begin[short], count[short], strict=True)], np.uint64)
+        own = np.array([(words[b : b + n] * _PLACE[:n]).sum(dtype=np.uint64) for b, n in zip(begin[short], count[short], strict=True)], np.uint64)
+        own += count[short].astype(np.uint64) * _PLACE[63]
         d, h = np.concatenate([d, short]), np.concatenate([h, mixed(own)])
         order = np.lexsort((h, d))
         d, h = d[order], h[order]

@@ -286,3 +286,18 @@ def one_of_each_group(documents: DataFrame, width: int = 5, num: int = 80, den:
 
 def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return ngram_jaccard(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
+OP1_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS sh FROM d
+), t AS (SELECT doc_id, unnest(sh) AS g FROM s), n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM t a JOIN t b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT doc_id, doc_id AS low FROM n UNION SELECT u.b, r.low FROM reach r JOIN u ON u.a = r.doc_id WHERE r.low < u.b)
+SELECT n.doc_id, n.n AS n_shingles, min(r.low) AS component_id FROM n JOIN reach r ON r.doc_id = n.doc_id GROUP BY 1, 2
+"""

@@ -1,16 +1,16 @@
 """SentencePiece encoding and decoding, with distinct sampled segmentations: Gumbel top-k without replacement by a perturbed A-star search.
 
-A text's canonical encoding comes from the library and a public model file. Its lattice is the chain of its canonical pieces' own lattices: every way to cut a piece into
-pieces of the vocabulary. A piece weighs exp(ALPHA * score - PIECE_COST), a segmentation the product over its pieces, so a text's segmentations have a distribution that factors over canonical pieces;
-ways whose share of their piece is under LEAST are left out.
+A text's canonical encoding comes from the library and a public model file. Its lattice holds every way to cut the whole text into pieces of the vocabulary; a character that no piece covers is spelled in bytes.
+A piece weighs exp(ALPHA * score - PIECE_COST), a segmentation the product over its pieces, and log-probabilities are normalised over all of a text's segmentations. No piece crosses from a word into the blank behind it, so a
+text's lattice is the chain of those of its words (each with the blanks before it). Summed from their ends backwards, they give each piece's exact probability at its place.
 
 Perturbing every segmentation's log-probability with Gumbel noise and taking the k largest draws k segmentations without replacement. The search never lists them: a node (a
-prefix, and what is excluded at the next piece) has as bound the exact maximum of its perturbed leaves, drawn top-down: a child that isn't the maximal one gets a Gumbel with its log-mass as
+prefix of pieces, and what is excluded as the next one) has as bound the exact maximum of its perturbed leaves, drawn top-down: a child that isn't the maximal one gets a Gumbel with its log-mass as
 location, truncated at its parent's maximum. The largest bound in the queue is expanded: its own maximal leaf is the next sample, its siblings go into the queue. The (k+1)-th maximum is
 the threshold that inclusion scores refer to: log(1 - exp(-exp(log_prob - threshold))).
 
-Each row's noise is seeded by its key, so results don't depend on partitions or retries. The model's path and the pieces it lists are parameters; a table over its vocabulary is computed
-piece by piece where needed.
+Each row's noise is a hash of its key, the sample's number and the place in the text, so results don't depend on partitions or retries. The model's path is a parameter; words' lattices are computed
+where first met and kept up to MOST_EDGES, after which they are computed anew.
 
 Defined results: a null or empty text has no ids and one segmentation; a text with fewer segmentations than k gives all it has, with an inclusion score of 0 (certain); a null key
 counts as key 0 with its text's hash; repeated rows get equal samples; decoding gives back any text exactly, the meta symbol U+2581 included; other columns are ignored.
@@ -19,8 +19,10 @@ counts as key 0 with its text's hash; repeated rows get equal samples; decoding
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +32,17 @@ from readloom.llm.common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 K, SEED = 3, 11
-ALPHA, PIECE_COST, LEAST = 1 / 8000, 3.0, 1e-6
+ALPHA, PIECE_COST = 1 / 8000, 3.0
+LEAST = 0.0  #: share of its place under which a piece is left out: none is
+MOST_EDGES, MOST_WORD = 6_000_000, 64  #: kept by a worker; characters of a word that is kept
 META = "▁"
 SAMPLE = "rank int, n_ids int, log_prob double, perturbed double, log_inclusion double, ids_sha256 string, ids array<int>"
 
 
 class Vocabulary:
-    """The model's pieces, and for each piece met so far its segmentations in flat arrays.
+    """The model's pieces, and the lattices of words met so far in flat arrays.
 
-    key: piece number + cumulative probability, sorted; a draw u for piece i is found at the first key over i + u."""
+    A node is a place in a word, the next node the next place; node i has the edges first[i] to first[i + 1], shortest first, the likeliest of them best[i]."""
 
     def __init__(self, model: bytes):
         import sentencepiece
@@ -54,59 +58,142 @@ class Vocabulary:
         spelled = [self.byte.get(i) or (b"" if special[i] else p.replace(META, " ").encode()) for i, p in enumerate(self.pieces)]
         self.spelling, self.spelled = np.frombuffer(b"".join(spelled), np.uint8), np.array([len(x) for x in spelled])
         self.spelled_at = np.cumsum(self.spelled) - self.spelled
-        self.row = np.full(n, -1, np.int64)  # place in the tables; -1: not met, -2: one segmentation only
-        self.rows = 0
-        self.key, self.log_p, self.log_rest = np.zeros(0), np.zeros(0), np.zeros(0)
-        self.first: list[int] = [0]
-        self.first_way, self.first_share = np.zeros(0, np.int64), np.zeros(0)
-        self.length, self.path_at = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.paths = np.zeros(0, np.int32)
+        if any(META in p.lstrip(META) for p in self.ids) or any(c not in self.ids for p in self.ids for c in p):
+            raise ValueError("a piece goes past a word's end, or has a character that is no piece")
+        self.log_w = ALPHA * np.array(self.scores) - PIECE_COST
+        # A trie of the pieces, META as a blank: from node t by letter c to trie_to at the place of t * letters + c in trie_key.
+        self.letters = np.array(sorted({ord(c) for p in self.ids for c in p.replace(META, " ")}), np.uint32)
+        letter = {chr(c): i for i, c in enumerate(self.letters.tolist())}
+        self.letter = np.full(0x110000, -1, np.int32)
+        self.letter[self.letters] = np.arange(len(letter))
+        steps: dict[int, int] = {}
+        ends = [-1]
+        for p, i in self.ids.items():
+            t = 0
+            for c in p.replace(META, " "):
+                t = steps.setdefault(t * len(letter) + letter[c], len(ends))
+                if t == len(ends):
+                    ends.append(-1)
+            ends[t] = i
+        order = sorted(steps)
+        self.trie_key, self.trie_to, self.trie_piece = np.array(order), np.array([steps[x] for x in order]), np.array(ends)
+        self.forget()
+
+    def forget(self) -> None:
+        """No word is met."""
+        self.words: dict[str, int] = {}
+        self.nodes = self.edges = 0
+        self.first, self.best, self.top = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.log_p, self.log_rest, self.piece, self.to = np.zeros(0), np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def ways(self, piece: str) -> list[tuple[float, list[int]]]:
-        """All segmentations of a piece with their log-weights."""
+        """All segmentations of a short string with their log-weights, listed."""
         known: dict[int, list] = {len(piece): [(0.0, [])]}
         for at in range(len(piece) - 1, -1, -1):
             known[at] = [(w + ALPHA * self.scores[i] - PIECE_COST, [i, *rest]) for end in range(at + 1, len(piece) + 1) if (i := self.ids.get(piece[at:end])) is not None for w, rest in known[end]]
-            if len(known[at]) > 512:  # what is far below the best beginning can't reach LEAST
-                best = max(w for w, _ in known[at])
-                known[at] = [x for x in known[at] if x[0] > best + np.log(LEAST) - 12]
         return known[0]
 
-    def meet(self, ids: np.ndarray) -> None:
-        """Adds the pieces that weren't met before to the tables."""
-        key, log_p, length, paths = [], [], [], []
-        for i in ids.tolist():
-            found = self.ways(self.pieces[i]) if self.pieces[i] in self.ids else []
-            if len(found) > 1:
-                w = np.array([x[0] for x in found])
-                p = np.exp(w - w.max())
-                p /= p.sum()
-                keep = np.flatnonzero(p >= LEAST)
-                keep = keep[np.argsort(-p[keep], kind="stable")]
-                p = p[keep] / p[keep].sum()
-            if len(found) < 2 or len(keep) < 2:
-                self.row[i] = -2
-                continue
-            c = np.cumsum(p)
-            c[-1] = 1.0
-            key.append(self.rows + c)
-            log_p.append(np.log(p))
-            length += [len(found[j][1]) for j in keep]
-            paths += [x for j in keep for x in found[j][1]]
-            self.row[i] = self.rows
-            self.rows += 1
-            self.first.append(self.first[-1] + len(p))
-        if key:
-            self.key = np.concatenate([self.key, *key])
-            new = np.concatenate(log_p)
-            self.log_p = np.concatenate([self.log_p, new])
-            with np.errstate(divide="ignore"):
-                self.log_rest = np.concatenate([self.log_rest, np.log(-np.expm1(new))])
-            self.length = np.concatenate([self.length, np.array(length, np.int64)])
-            self.path_at = np.cumsum(self.length) - self.length
-            self.first_way = np.array(self.first[:-1], np.int64)
-            self.first_share = np.exp(self.log_p[self.first_way])
-            self.paths = np.concatenate([self.paths, np.array(paths, np.int32)])
+    def _add(self, name: str, had: int, new: np.ndarray) -> None:
+        """new behind the first had entries, in room that doubles."""
+        old = getattr(self, name)
+        if had + len(new) > len(old):
+            old = np.concatenate([old[:had], np.empty(max(len(new), had), old.dtype)])
+            setattr(self, name, old)
+        old[had : had + len(new)] = new
+
+    def meet(self, words: list[str]) -> np.ndarray:
+        """Adds the lattices of words (blanks as blanks, none empty) to the tables; their first nodes."""
+        text = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        size = np.array([len(w) for w in words])
+        root = np.cumsum(size) - size
+        n = len(text)
+        stop = np.repeat(root + size, size)
+        c = self.letter[text]
+        at, t, length = np.arange(n), np.zeros(n, np.int64), 0
+        unknown = np.flatnonzero(c < 0)
+        starts, ends, piece = [unknown], [unknown + 1], [-1 - text[unknown].astype(np.int64)]
+        while len(at):
+            ok = at + length < stop[at]
+            at, t = at[ok], t[ok]
+            key = t * len(self.letters) + c[at + length]
+            j = np.minimum(np.searchsorted(self.trie_key, key), len(self.trie_key) - 1)
+            ok = (self.trie_key[j] == key) & (c[at + length] >= 0)
+            at, t = at[ok], self.trie_to[j[ok]]
+            length += 1
+            is_piece = self.trie_piece[t] >= 0
+            starts.append(at[is_piece])
+            ends.append(starts[-1] + length)
+            piece.append(self.trie_piece[t[is_piece]])
+        start, end, piece = np.concatenate(starts), np.concatenate(ends), np.concatenate(piece)
+        order = np.argsort(start, kind="stable")
+        start, end, piece = start[order], end[order], piece[order]
+        first = np.searchsorted(start, np.arange(n))
+        w = np.where(piece >= 0, self.log_w[np.maximum(piece, 0)], 0.0)
+        closing = end == stop[start]
+        # From the words' ends backwards: the log-mass of all ways from each place on.
+        mass = np.zeros(n + 1)
+        left = stop[start] - start
+        order = np.argsort(left.astype(np.uint16) if size.max() < 65536 else left, kind="stable")
+        level = np.searchsorted(left[order], np.arange(1, size.max() + 2))
+        for a, b in zip(level[:-1].tolist(), level[1:].tolist(), strict=True):
+            e = order[a:b]
+            x = w[e] + np.where(closing[e], 0.0, mass[end[e]])
+            s = start[e]
+            head = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            most = np.maximum.reduceat(x, head)
+            total = np.add.reduceat(np.exp(x - np.repeat(most, np.diff(head, append=b - a))), head)
+            mass[s[head]] = most + np.log(total)
+        log_p = np.minimum(w + np.where(closing, 0.0, mass[end]) - mass[start], 0.0)
+        if LEAST:
+            log_p[np.exp(log_p) < LEAST] = -np.inf
+        count = np.diff(first, append=len(start))
+        top = np.maximum.reduceat(log_p, first)
+        is_top = np.flatnonzero(log_p == np.repeat(top, count))
+        best = is_top[np.searchsorted(is_top, first)]  # the shortest of equal ones
+        others = log_p.copy()
+        others[best] = -np.inf
+        most = np.maximum.reduceat(others, first)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            log_rest = np.log1p(-np.exp(log_p))
+            rest = most + np.log(np.add.reduceat(np.exp(others - np.repeat(most, count)), first))
+        log_rest[best] = np.where(most == -np.inf, -np.inf, rest)
+        for name, new in (("best", best + self.edges), ("top", np.exp(top))):
+            self._add(name, self.nodes, new)
+        self._add("first", self.nodes, np.append(first, len(start)) + self.edges)
+        for name, new in (("log_p", log_p), ("log_rest", log_rest), ("piece", piece), ("to", np.where(closing, -1, end + self.nodes))):
+            self._add(name, self.edges, new)
+        root = root + self.nodes
+        self.nodes, self.edges = self.nodes + n, self.edges + len(start)
+        return root
+
+    def chain(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The first nodes and the lengths of each text's words."""
+        if self.edges > MOST_EDGES:
+            self.forget()
+        # A word's first blank is left out of its key.
+        parts = [([] if not t else _WORD.findall(" " + t) if "  " in t or t[0] == " " or t[-1] == " " else t.split(" ")) for t in texts]
+        flat = [w for p in parts for w in p]
+        root = np.fromiter(map(self.words.get, flat, repeat(-1)), np.int64, len(flat))
+        new = np.flatnonzero(root < 0)
+        if len(new):
+            missing = list(dict.fromkeys(flat[i] for i in new.tolist()))
+            found = dict(zip(missing, self.meet([" " + w for w in missing]).tolist(), strict=True))
+            root[new] = [found[flat[i]] for i in new.tolist()]
+            self.words.update((w, i) for w, i in found.items() if len(w) <= MOST_WORD)
+        ends = np.cumsum([len(p) for p in parts])[:-1]
+        return np.split(root, ends), np.split(np.fromiter(map(len, flat), np.int64, len(flat)) + 1, ends)
+
+    def spell(self, edges: np.ndarray) -> np.ndarray:
+        """The pieces of edges; unknown characters as their bytes."""
+        ids = self.piece[edges]
+        bad = np.flatnonzero(ids < 0)
+        if not len(bad):
+            return ids
+        parts, last = [], 0
+        for i in bad.tolist():
+            parts += [ids[last:i], [self.byte_id[b] for b in chr(-1 - int(ids[i])).encode()]]
+            last = i + 1
+        return np.concatenate([*parts, ids[last:]]).astype(np.int32)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Canonical ids. The library reads the meta symbol as a blank, so it is passed as a character the text lacks, and spelled in bytes."""
@@ -134,97 +221,156 @@ def vocabulary(model: bytes) -> Vocabulary:
     return Vocabulary(model)
 
 
-def sample(v: Vocabulary, ids: np.ndarray, k: int, rng: np.random.Generator) -> list[tuple[float, float, float, np.ndarray]]:
-    """log_prob, perturbed log_prob, log_inclusion and ids of k distinct segmentations (fewer if there are no more), the largest perturbed first."""
-    if len(ids) and (v.row[ids] == -1).any():
-        v.meet(np.unique(ids[v.row[ids] == -1]))
-    row = v.row[ids] if len(ids) else np.zeros(0, np.int64)
-    free = np.flatnonzero(row >= 0)
-    row = row[free]
-    n = len(row)
-
-    def gumbel(size: int) -> np.ndarray:
-        return -np.log(rng.standard_exponential(size))
-
-    def finish(choice: np.ndarray, before: np.ndarray, at: int, rest: float, top: float) -> dict:
-        """A sample: its choices, the log-probability before each, and the noisy masses of what was passed over from place at on. rest: log-mass passed over at that place.
-
-        Truncation at top keeps their order, so only the largest is ever truncated."""
-        mass = before[at:n] + v.log_rest[choice[at:]]
-        if n > at:
-            mass[0] = before[at] + rest
-        node = {"choice": choice, "before": before, "at": at, "free": mass + gumbel(n - at), "top": top}
-        return aim(node)
-
-    def aim(node: dict) -> dict:
-        """Sets the node's largest bound and its place."""
-        node["off"] = int(np.argmax(node["free"])) if len(node["free"]) else -1
-        most = node["free"][node["off"]] if len(node["free"]) else -np.inf
-        node["bound"] = -float(np.logaddexp(-node["top"], -most)) if most > -np.inf else -np.inf
-        return node
-
-    def pick(part: np.ndarray) -> np.ndarray:
-        """A way for each piece: the first, mostly, else the one that the draw falls on."""
-        u = rng.random(len(part))
-        out = v.first_way[part]
-        other = np.flatnonzero(u >= v.first_share[part])
-        out[other] = np.searchsorted(v.key, part[other] + u[other], "right")
-        return out
-
-    choice = pick(row) if n else row
-    before = np.concatenate([[0.0], np.cumsum(v.log_p[choice])])
-    top = float(gumbel(1)[0])
-    nodes = [finish(choice, before, 0, v.log_rest[choice[0]] if n else -np.inf, top)]
-    nodes[0]["out"] = set()
-    threshold = -np.inf
-    while n:
-        node = max(nodes, key=lambda x: x["bound"])
-        off, top = node["off"], node["bound"]
-        if top == -np.inf:
-            break
-        if len(nodes) == k:
-            threshold = top
+_WORD = re.compile(" ( *[^ ]*)")
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """SplitMix64's output function."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _uniform(seed: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Each seed's draw of that number, inside (0, 1)."""
+    return ((_mixed(seed + (number + 1).astype(np.uint64) * _STEP) >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
+
+
+def _walk(v: Vocabulary, node: np.ndarray, shift: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A drawn way from each node to its word's end: all edges, in the nodes' order, and how many each has. A node's place in the text is node + shift."""
+    on, rounds, count = np.arange(len(node)), [], np.zeros(len(node), np.int64)
+    while len(on):
+        u = _uniform(seed, 2 * (node + shift))
+        e, top = v.best[node], v.top[node]
+        far = np.flatnonzero(u >= top)
+        if len(far):  # not the likeliest: the others, the shortest first
+            left, best, last = u[far] - top[far], e[far], v.first[node[far] + 1] - 1
+            at = v.first[node[far]]
+            while len(far):
+                p = np.where(at == best, 0.0, np.exp(v.log_p[at]))
+                e[far] = np.where(p > 0, at, e[far])
+                go = np.flatnonzero((left >= p) & (at < last))
+                left, best, last, far, at = (left - p)[go], best[go], last[go], far[go], at[go] + 1
+        rounds.append((on, e))
+        count[on] += 1
+        node = v.to[e]
+        go = np.flatnonzero(node >= 0)
+        on, node, shift, seed = on[go], node[go].astype(np.int64), shift[go], seed[go]
+    at = np.cumsum(count) - count
+    out = np.empty(count.sum(), np.int64)
+    for r, (on, e) in enumerate(rounds):
+        out[at[on] + r] = e
+    return out, count
+
+
+class _Node:
+    """A sample: its edges, its nodes and words, the log-probability before each edge, and the noisy masses of what was passed over from place at on."""
+
+    __slots__ = ("edges", "nodes", "word", "before", "at", "free", "off", "top", "bound", "out")
+
+    def aim(self) -> None:
+        """Sets the largest bound and its place. Truncation at top keeps their order, so only the largest is ever truncated."""
+        self.off = int(self.free.argmax()) if len(self.free) else -1
+        most = float(self.free[self.off]) if len(self.free) else -np.inf
+        self.bound = -float(np.logaddexp(-self.top, -most)) if most > -np.inf else -np.inf
+
+
+def draw(v: Vocabulary, roots: list[np.ndarray], sizes: list[np.ndarray], k: int, seeds: np.ndarray) -> list[list[tuple[float, float, float, np.ndarray]]]:
+    """For each chain of words (first nodes and lengths): log_prob, perturbed log_prob, log_inclusion and ids of k distinct segmentations (fewer if there are no more), the largest perturbed first.
+
+    All chains take each step together; what is drawn depends on a chain's own seed alone."""
+    shifts = [np.cumsum(s) - s - r for r, s in zip(roots, sizes, strict=True)]
+    done: list[list[_Node]] = [[] for _ in roots]
+    open_ = list(range(len(roots)))
+    for r in range(k):
+        # Each chain's branch: (its sample's prefix, the new edge and place, the rest's log-mass there), or a start.
+        starts, seed_r, branches = [], _mixed(seeds + np.array([r + 1], np.uint64) * _STEP), []
+        for i in open_:
+            if r == 0:
+                branches.append((i, None, 0, -1, -np.inf, 0, None))
+                starts.append((roots[i], shifts[i], np.arange(len(roots[i]))))
+                continue
+            old = max(done[i], key=lambda x: x.bound)
+            if old.bound == -np.inf:
+                continue
+            top, t = old.bound, old.at + old.off
+            out = {int(old.edges[t])} | (old.out if old.off == 0 else set())
+            old.free[old.off] = -np.inf
+            old.aim()
+            node, word = int(old.nodes[t]), int(old.word[t])
+            a, b = int(v.first[node]), int(v.first[node + 1])
+            log_p = v.log_p[a:b].copy()
+            log_p[[j - a for j in out]] = -np.inf
+            most = log_p.max()
+            c = np.cumsum(np.exp(log_p - most))
+            u = _uniform(seed_r[i : i + 1], np.array([2 * (node + int(shifts[i][word]))]))[0]
+            e = int(np.searchsorted(c, u * c[-1], "right"))
+            log_p[e] = -np.inf
+            most = log_p.max()
+            rest = float(most + np.log(np.exp(log_p - most).sum())) if most > -np.inf else -np.inf
+            to = int(v.to[a + e])
+            branches.append((i, old, t, a + e, rest, top, out))
+            w = np.arange(word if to >= 0 else word + 1, len(roots[i]))
+            node = roots[i][w]
+            if to >= 0:
+                node[0] = to
+            starts.append((node, shifts[i][w], w))
+        if not branches:
             break
-        node["free"][off] = -np.inf
-        aim(node)
-        t = node["at"] + off
-        # At place t the sample's own choice is excluded, and where it branched off itself also what was excluded there.
-        out = {int(node["choice"][t])} | (node["out"] if off == 0 else set())
-        a, b = v.first[row[t]], v.first[row[t] + 1]
-        p = np.exp(v.log_p[a:b])
-        p[[j - a for j in out]] = 0
-        c = int(a + np.searchsorted(np.cumsum(p), rng.random() * p.sum(), "right"))
-        while c >= b or p[c - a] == 0:
-            c = a + int(np.flatnonzero(p)[-1])
-        p[c - a] = 0
-        choice = node["choice"].copy()
-        choice[t] = c
-        if t + 1 < n:
-            choice[t + 1 :] = pick(row[t + 1 :])
-        before = node["before"].copy()
-        before[t + 1 :] = before[t] + np.cumsum(v.log_p[choice[t:]])
-        left = p.sum()
-        made = finish(choice, before, t, np.log(left) if left > 0 else -np.inf, top)
-        made["out"] = out
-        nodes.append(made)
+        many = [len(x[0]) for x in starts]
+        node, shift, word = (np.concatenate([x[j] for x in starts]) for j in range(3))
+        seed = np.repeat(seed_r[[x[0] for x in branches]], many)
+        edges, count = _walk(v, node, shift, seed)
+        bounds = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum(many)])].tolist()
+        # Each edge's own node: where its word's way began, or where the edge before leads.
+        nodes = np.empty(len(edges), np.int64)
+        nodes[1:] = v.to[edges[:-1]]
+        nodes[np.cumsum(count) - count] = node
+        words = np.repeat(word, count)
+        with np.errstate(divide="ignore"):
+            noise = -np.log(-np.log(_uniform(np.repeat(seed, count), 2 * (nodes + np.repeat(shift, count)) + 1)))
+        log_p, passed = v.log_p[edges], v.log_rest[edges]
+        open_ = []
+        for (i, old, t, e, rest, top, out), a, b in zip(branches, bounds[:-1], bounds[1:], strict=True):
+            x = _Node()
+            if old is None:
+                x.edges, x.nodes, x.word = edges[a:b], nodes[a:b], words[a:b]
+                x.before = np.concatenate([[0.0], np.cumsum(log_p[a:b])])
+                x.at, x.out = 0, set()
+                x.free = x.before[:-1] + passed[a:b] + noise[a:b]
+                x.top = float(-np.log(-np.log(_uniform(_mixed(seeds[i : i + 1]), np.zeros(1, np.int64))[0])))
+            else:
+                x.edges, x.nodes, x.word = (np.concatenate([p[:t], [q], s[a:b]]) for p, q, s in ((old.edges, e, edges), (old.nodes, old.nodes[t], nodes), (old.word, old.word[t], words)))
+                first = old.before[t] + v.log_p[e]
+                after = np.cumsum(np.concatenate([[first], log_p[a:b]]))
+                x.before = np.concatenate([old.before[: t + 1], after])
+                x.at, x.out, x.top = t, out, top
+                u = _uniform(seed_r[i : i + 1], 2 * (old.nodes[t : t + 1] + shifts[i][old.word[t]]) + 1)[0]
+                x.free = np.concatenate([[old.before[t] + rest - np.log(-np.log(u))], after[:-1] + passed[a:b] + noise[a:b]])
+            x.aim()
+            done[i].append(x)
+            open_.append(i)
     result = []
-    for x in nodes:
-        # The chosen ways take their pieces' places.
-        lengths = np.ones(len(ids), np.int64)
-        lengths[free] = v.length[x["choice"]]
-        ends = np.cumsum(lengths)
-        full = np.repeat(ids, lengths)
-        if n:
-            size = v.length[x["choice"]]
-            inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            full[np.repeat(ends[free] - size, size) + inside] = v.paths[np.repeat(v.path_at[x["choice"]], size) + inside]
-        log_prob = float(x["before"][-1])
-        e = np.exp(min(700.0, log_prob - threshold)) if threshold > -np.inf else np.inf
-        inclusion = 0.0 if e > 40 else float(np.log(-np.expm1(-e))) if e > 1e-300 else log_prob - threshold
-        result.append((log_prob, x["top"], inclusion, full))
+    for found in done:
+        threshold = max(x.bound for x in found) if len(found) == k else -np.inf
+        rows = []
+        for x in found:
+            log_prob = float(x.before[-1])
+            e = np.exp(min(700.0, log_prob - threshold)) if threshold > -np.inf else np.inf
+            inclusion = 0.0 if e > 40 else float(np.log(-np.expm1(-e))) if e > 1e-300 else log_prob - threshold
+            rows.append((log_prob, x.top, inclusion, v.spell(x.edges)))
+        result.append(rows)
     return result
 
 
+def sample(v: Vocabulary, ids: np.ndarray, k: int, rng: np.random.Generator) -> list[tuple[float, float, float, np.ndarray]]:
+    """draw() for a chain of single pieces, each with a lattice of its own."""
+    pieces = [v.pieces[i].replace(META, " ") for i in ids.tolist()]
+    v.forget()
+    return draw(v, [v.meet(pieces)], [np.array([len(p) for p in pieces])], k, rng.integers(0, 2**64, 1, np.uint64))[0]
+
+
 def encode(docs: DataFrame, k: int = K, seed: int = SEED, model_path: str = MODEL, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: doc_id, n_ids, ids (canonical; null unless with_ids), decodes (whether they give the text back), samples (SAMPLE, ids null unless with_ids)."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -247,10 +393,9 @@ def encode(docs: DataFrame, k: int = K, seed: int = SEED, model_path: str = MODE
                 c = b.slice(start, 128)
                 ids, texts = c.column(0), [t or "" for t in c.column(1).to_pylist()]
                 canonical = v.encode(texts)
-                drawn = []
-                for i, t, x in zip(ids.to_pylist(), texts, canonical, strict=True):
-                    key = [seed, 1, i & (2**64 - 1)] if i is not None else [seed, 0, int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big")]
-                    drawn.append(sample(v, x, k, np.random.Generator(np.random.PCG64(key))))
+                keys = [f"{seed} {i}" if i is not None else f"{seed} - {hashlib.blake2b(t.encode(), digest_size=8).hexdigest()}" for i, t in zip(ids.to_pylist(), texts, strict=True)]
+                seeds = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big") for x in keys], np.uint64)
+                drawn = draw(v, *v.chain(texts), k, seeds)
                 flat = [(r + 1, *s) for d in drawn for r, s in enumerate(d)]
                 samples = pa.StructArray.from_arrays([
                     pa.array([x[0] for x in flat], pa.int32()), pa.array([len(x[4]) for x in flat], pa.int32()), *(pa.array([x[j] for x in flat], pa.float64()) for j in (1, 2, 3)),

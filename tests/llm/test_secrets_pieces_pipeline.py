@@ -85,6 +85,52 @@ def test_sampling_follows_the_distribution(vocabulary, monkeypatch):
     assert {tuple(d[3].tolist()) for d in everything} == set(p) and all(d[2] == 0 for d in everything)
 
 
+def test_samples_come_from_the_whole_lattice(spark, vocabulary):
+    """With the module's own constants: all segmentations of short texts are found, with their probabilities over all of them, those across canonical pieces' borders too."""
+    texts = ["theand", "a  b ", "x▁é", "", " ", "inthe 漢t"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+
+    def ways(text):  # the meta symbol itself and unknown characters are bytes in all segmentations
+        parts, out = [], [(0.0, ())]
+        for c in "▁" + text.replace("▁", "\ue000").replace(" ", "▁") if text else "":
+            if c in vocabulary.ids and parts and isinstance(parts[-1], str):
+                parts[-1] += c
+            else:
+                parts.append(c if c in vocabulary.ids else tuple(vocabulary.byte_id[b] for b in ("▁" if c == "\ue000" else c).encode()))
+        for p in parts:
+            out = [(w + u, x + y) for w, x in out for u, y in ([(0.0, p)] if isinstance(p, tuple) else [(u, tuple(y)) for u, y in vocabulary.ways(p)])]
+        return out
+
+    for r in sentencepieces.encode(docs, k=1000).collect():
+        p = ways(texts[r.doc_id])
+        total = np.logaddexp.reduce([w for w, _ in p])
+        assert {tuple(s.ids) for s in r.samples} == {x for _, x in p} and len(r.samples) == len(p)
+        want = {x: w - total for w, x in p}
+        assert all(s.log_prob == pytest.approx(want[tuple(s.ids)], rel=1e-9, abs=1e-9) and s.log_inclusion == 0 for s in r.samples)
+    n = 4000
+    many = spark.range(n).selectExpr("id as doc_id", "'unbel in' as text")
+    first, pairs = Counter(), Counter()
+    for r in sentencepieces.encode(many, k=2).collect():
+        x, y = (tuple(s.ids) for s in r.samples)
+        first[x] += 1
+        pairs[x, y] += 1
+    p = ways("unbel in")
+    total = np.logaddexp.reduce([w for w, _ in p])
+    p = {x: math.exp(w - total) for w, x in p}
+    for x, q in p.items():
+        assert abs(first[x] / n - q) < 5 * math.sqrt(q * (1 - q) / n) + 1e-3
+    for (x, y), c in pairs.most_common(10):
+        q = p[x] * p[y] / (1 - p[x])
+        assert abs(c / n - q) < 5 * math.sqrt(q * (1 - q) / n) + 1e-3
+    # A word's length doesn't matter, nor does a lattice's being computed anew.
+    word = "unbelievable" * 3000
+    drawn = sentencepieces.draw(vocabulary, *vocabulary.chain([word, "unbel in"]), 3, np.array([1, 2], np.uint64))
+    assert all(vocabulary.decode(s[3]).decode() == t for d, t in zip(drawn, (word, "unbel in"), strict=True) for s in d)
+    vocabulary.forget()
+    again = sentencepieces.draw(vocabulary, *vocabulary.chain(["unbel in"]), 3, np.array([2], np.uint64))
+    assert all(a[:3] == b[:3] and np.array_equal(a[3], b[3]) for a, b in zip(drawn[1], again[0], strict=True))
+
+
 def test_forest_on_held_out_findings():
     forest = secrets.train(secrets.findings(3000, 1))
     held = secrets.findings(2000, 99)

@@ -24,7 +24,7 @@ from readloom.llm.common import table
 
 MAX_LABELS, TREES, DEPTH, LEAST_LEAF, SEED = 20_000, 30, 10, 3, 5
 SIDE = 60  #: bytes of text on either side that features look at
-_VALUE = re.compile(rb"(?i)(?:api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|secret|token|passw(?:or)?d|passwd|pwd|credential|auth)[a-z_\-]{0,16}[\"']?\s{0,3}(?::|=>?|:=)\s{0,3}(?:[\"']([^\"'\s]{6,400})[\"']|([^\s\"',;]{6,400}))")
+_VALUE = re.compile(rb"(?i)(?:api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|secret|token|passw(?:or)?d|passwd|pwd|credential|auth)[a-z_\-]{0,16}[\"']?\s{0,3}(?::|=>?|:=)\s{0,3}(?:[\"']([^\"'\s]{6,})[\"']|([^\s\"',;]{6,}))")
 _KNOWN = re.compile(rb"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}")
 _BLOCK = re.compile(rb"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[\s\S]*?(?:-----END [A-Z ]{0,40}PRIVATE KEY-----|\Z)")
 _TOKEN_BYTES = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"))

@@ -152,6 +152,18 @@ def test_candidates():
     assert len(spans) == 0 or all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
 
 
+def test_values_of_any_length():
+    for n in (401, 1200, 5000):
+        value = (b"Ab3dE6gH9jK" * n)[:n]
+        dotted = (b"abcDEF.ghiJKL." * n)[:n]
+        for text, v in ((b"x token=" + value + b" y", value), (b'token = "' + value + b'"', value), (b"secret: '" + dotted + b"' y", dotted), (b"password=" + dotted, dotted)):
+            assert [(text[s:e], k) for s, e, k in secrets.candidates(text)] == [(v, "value")]
+        assert secrets.candidates(b'token="' + dotted) == []  # no quote closes it
+    # Two keys with one beginning.
+    a, b = (b"token=" + b"A1b2" * 200 + x for x in (b"X", b"Y"))
+    assert a[slice(*secrets.candidates(a)[0][:2])] != b[slice(*secrets.candidates(b)[0][:2])]
+
+
 def test_secret_scan(spark):
     secret = 'the token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" is é'
     rows = [(1, secret), (1, secret), (2, None), (3, ""), (4, "commit 24be64439e3e49cf46b2d7c90f3602a3d0b907ff"), (None, "é " + secret), (5, "w " * 50_000 + secret)]

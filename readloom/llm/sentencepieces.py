@@ -34,9 +34,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 K, SEED = 3, 11
 ALPHA, PIECE_COST = 1 / 8000, 3.0
 LEAST = 0.0  #: share of its place under which a piece is left out: none is
-MOST_EDGES, MOST_WORD = 6_000_000, 64  #: kept by a worker; characters of a word that is kept
+MOST_EDGES, MOST_WORD = 1_500_000, 64  #: kept by a worker; characters of a word that is kept
 META = "▁"
-SAMPLE = "rank int, n_ids int, log_prob double, perturbed double, log_inclusion double, ids_sha256 string, ids array<int>"
+SAMPLE = "rank int, n_ids int, log_prob double, perturbed double, log_inclusion double, ids_sha256 string, ids array<int>, decodes boolean"
 
 
 class Vocabulary:
@@ -372,7 +372,7 @@ def sample(v: Vocabulary, ids: np.ndarray, k: int, rng: np.random.Generator) ->
 
 
 def encode(docs: DataFrame, k: int = K, seed: int = SEED, model_path: str = MODEL, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of docs: doc_id, n_ids, ids (canonical; null unless with_ids), decodes (whether they give the text back), samples (SAMPLE, ids null unless with_ids)."""
+    """A row for each row of docs: doc_id, n_ids, ids (canonical; null unless with_ids), decodes (whether they give the text back), samples (SAMPLE, ids null unless with_ids, decodes as above)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     with open(model_path, "rb") as f:
@@ -389,8 +389,8 @@ def encode(docs: DataFrame, k: int = K, seed: int = SEED, model_path: str = MODE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model.value)
         for b in batches:
-            for start in range(0, b.num_rows, 128):
-                c = b.slice(start, 128)
+            for start in range(0, b.num_rows, 32):
+                c = b.slice(start, 32)
                 ids, texts = c.column(0), [t or "" for t in c.column(1).to_pylist()]
                 canonical = v.encode(texts)
                 keys = [f"{seed} {i}" if i is not None else f"{seed} - {hashlib.blake2b(t.encode(), digest_size=8).hexdigest()}" for i, t in zip(ids.to_pylist(), texts, strict=True)]
@@ -400,6 +400,7 @@ def encode(docs: DataFrame, k: int = K, seed: int = SEED, model_path: str = MODE
                 samples = pa.StructArray.from_arrays([
                     pa.array([x[0] for x in flat], pa.int32()), pa.array([len(x[4]) for x in flat], pa.int32()), *(pa.array([x[j] for x in flat], pa.float64()) for j in (1, 2, 3)),
                     pa.array([hashlib.sha256(x[4].astype("<i4").tobytes()).hexdigest() for x in flat], pa.string()), lists([x[4] for x in flat]),
+                    pa.array([v.decode(s[3]) == t.encode() for d, t in zip(drawn, texts, strict=True) for s in d], pa.bool_()),
                 ], fields=list(item))
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(d) for d in drawn])]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([ids, pa.array([len(x) for x in canonical], pa.int32()), lists(canonical), pa.array([v.decode(x) == t.encode() for x, t in zip(canonical, texts, strict=True)]), pa.ListArray.from_arrays(offsets, samples).cast(arrow.field("samples").type)], schema=arrow)
@@ -421,8 +422,9 @@ def decode(encoded: DataFrame, model_path: str = MODEL, id_col: str = "doc_id",
 
 
 def op7_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    """A row for each sampled segmentation of each whole text of documents, its ids as a digest."""
+    """A row for each sampled segmentation of each whole text of documents: its ids and their digest, the canonical ids, and whether both give the text back."""
     from pyspark.sql import functions as F
 
-    out = encode(table(spark, sf_dir, "documents"), with_ids=False)
-    return out.select("doc_id", F.col("n_ids").alias("n_canonical"), "decodes", F.explode("samples").alias("s")).select("doc_id", "n_canonical", "decodes", "s.rank", "s.n_ids", F.round("s.log_prob", 6).alias("log_prob"), F.round("s.perturbed", 6).alias("perturbed"), F.round("s.log_inclusion", 6).alias("log_inclusion"), "s.ids_sha256")
+    out = encode(table(spark, sf_dir, "documents"))
+    out = out.select("doc_id", F.col("n_ids").alias("n_canonical"), F.col("ids").alias("canonical_ids"), "decodes", F.explode("samples").alias("s"))
+    return out.select("doc_id", "n_canonical", (F.col("decodes") & F.col("s.decodes")).alias("decodes"), "s.rank", "s.n_ids", F.round("s.log_prob", 6).alias("log_prob"), F.round("s.perturbed", 6).alias("perturbed"), F.round("s.log_inclusion", 6).alias("log_inclusion"), "s.ids_sha256", "canonical_ids", "s.ids")

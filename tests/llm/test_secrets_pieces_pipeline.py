@@ -205,3 +205,30 @@ def test_pipeline(spark, tmp_path):
     assert set(ids[2]) >= set(range(60)) and set(ids[3]) <= set(ids[2])
     out = pipeline.run(spark, str(tmp_path)).collect()
     assert Counter(r.doc_id for r in out) == Counter(ids[3]) and all(r.decodes for r in out)
+
+
+def test_pipeline_ends_with_ids(spark, vocabulary):
+    import hashlib
+
+    import corpus_pipeline as pipeline
+
+    texts = ["", "unbelievable results", "a  b é漢"]
+    out = pipeline.STAGES[-1][1](spark, spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string"), "").collect()
+    assert len(out) == 3
+    for r in out:
+        text = texts[r.doc_id]
+        assert r.decodes and r.ids == vocabulary.encode([text])[0].tolist() and r.n_ids == len(r.ids) and len(r.samples) == (3 if text else 1)
+        for s in r.samples:
+            assert s.decodes and s.n_ids == len(s.ids) and vocabulary.decode(s.ids).decode() == text
+            assert s.ids_sha256 == hashlib.sha256(np.array(s.ids, "<i4").tobytes()).hexdigest()
+
+
+def test_query_returns_ids(spark, tmp_path, vocabulary):
+    texts = [None, "", "unbelievable results", "a  b"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = sentencepieces.op7_sentencepiece(spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in out) == {0: 1, 1: 1, 2: 3, 3: 3}
+    for r in out:
+        text = texts[r.doc_id] or ""
+        assert r.decodes and r.n_canonical == len(r.canonical_ids) and r.n_ids == len(r.ids)
+        assert r.canonical_ids == vocabulary.encode([text])[0].tolist() and vocabulary.decode(r.ids).decode() == text

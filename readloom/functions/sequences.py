@@ -36,6 +36,17 @@ def unpack(n: str, length: int) -> Column:
     return F.expr(f"array_join(transform(sequence({length - 1}, 0, -1), i -> substring('ACGT', cast(pmod(shiftright({n}, 2 * i), 4) as int) + 1, 1)), '')")
 
 
+def pack_whole(s: str) -> Column:
+    """Base-4 numbers of the string column named s, whatever its length: one for each 31 bases."""
+    part = f"substring({s}, p, 31)"
+    return F.expr(f"transform(case when length({s}) > 0 then sequence(1, length({s}), 31) else array() end, p -> aggregate(sequence(1, length({part})), 0L, (a, i) -> a * 4 + instr('ACGT', substring({s}, p + i - 1, 1)) - 1))")
+
+
+def unpack_whole(codes: str, n: str) -> Column:
+    """The n bases (a column's name) that pack_whole's numbers stand for."""
+    return F.expr(f"array_join(transform({codes}, (c, j) -> array_join(transform(sequence(least(31, {n} - 31 * j) - 1, 0, -1), i -> substring('ACGT', cast(pmod(shiftright(c, 2 * i), 4) as int) + 1, 1)), '')), '')")
+
+
 def to_rna(s: Column) -> Column:
     return F.translate(s, "T", "U")
 

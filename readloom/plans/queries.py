@@ -127,6 +127,13 @@ def packed_reads(spark, d):
     return t.select("id", "code", fn.unpack("code", 30).alias("back"))
 
 
+@query()
+def packed_whole_reads(spark, d):
+    """All bases of each read; packed_reads and its SQL have the first 30."""
+    t = fixtures.reads(spark, d).select("id", F.length("seq").alias("n"), fn.pack_whole("seq").alias("codes"))
+    return t.select("id", "n", "codes", fn.unpack_whole("codes", "n").alias("back"))
+
+
 # Overlaps.
 
 _CAND = f""", cand AS (SELECT a.id AS src, b.id AS dst, CAST(a.off AS INTEGER) AS off, CAST(length(a.seq) - a.off AS INTEGER) AS ov, a.seq AS s FROM (SELECT id, seq, unnest(generate_series(0, length(seq) - {L})) AS off FROM reads) a JOIN reads b ON substr(a.seq, CAST(a.off + 1 AS INTEGER), {L}) = substr(b.seq, 1, {L}) AND a.id <> b.id AND starts_with(b.seq, substr(a.seq, CAST(a.off + 1 AS INTEGER)))),
@@ -184,6 +191,20 @@ def low_error_alignments(spark, d):
     return approximate.low_error_alignments(approximate.approximate_candidates(r, 20, 3, L, rotations=("ACGT",)), r, 95)
 
 
+@query()
+def approx_candidates_all_orders(spark, d):
+    """Under all four orders of bases; approx_candidates and its SQL have one."""
+    c = approximate.approximate_candidates(fixtures.error_reads(spark, d), 20, 3, L)
+    return c.groupBy("src").agg(F.count("*").alias("n"), F.sum("off").alias("total"))
+
+
+@query()
+def low_error_alignments_all_orders(spark, d):
+    """Under all four orders of bases; low_error_alignments and its SQL have one."""
+    r = fixtures.error_reads(spark, d)
+    return approximate.low_error_alignments(approximate.approximate_candidates(r, 20, 3, L), r, 95)
+
+
 @query(", k AS (SELECT substr(seq, CAST(i + 5 AS INTEGER), 30) AS big, substr(seq, CAST(i AS INTEGER), 5) AS small FROM (SELECT seq, unnest(generate_series(1, length(seq) - 34)) AS i FROM error_reads)), c AS (SELECT big, small, count(*) AS n FROM k GROUP BY 1, 2 HAVING count(*) >= 2) SELECT n, count(*) AS contexts FROM c GROUP BY 1")
 def context_frequencies(spark, d):
     return correct.context_frequencies(fixtures.error_reads(spark, d)).groupBy("n").agg(F.count("*").alias("contexts"))

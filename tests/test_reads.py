@@ -193,3 +193,39 @@ def test_contig_files(spark, tmp_path):
     sinks.write_read_pair(spark.createDataFrame([(0, "A"), (1, "T"), (2, "C"), (3, "G")], "id bigint, seq string"), str(tmp_path / "r1"), str(tmp_path / "r2"))
     assert "T" in "".join(p.read_text() for p in (tmp_path / "r1").glob("part*")) and "G" in "".join(p.read_text() for p in (tmp_path / "r2").glob("part*"))
     assert sinks.contig_lines(contigs, rna=True).where("id = 0").first().value.endswith("GGUUU")
+
+
+def test_whole_reads_are_packed_and_all_orders_propose(spark, monkeypatch):
+    import random
+
+    from readloom.plans import fixtures, queries
+
+    rng = random.Random(4)
+    base = "".join(rng.choices("ACGT", k=400))
+    seqs = [base[i : i + 80] for i in range(0, 300, 7)]
+    seqs = ["".join(rng.choice("ACGT") if rng.random() < 0.03 else c for c in s) for s in seqs]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(seqs)], "id bigint, seq string")
+    monkeypatch.setattr(fixtures, "reads", lambda *_: df.unionByName(spark.createDataFrame([(1000, ""), (1001, "T" * 31), (1002, "GA" * 16)], "id bigint, seq string")))
+    monkeypatch.setattr(fixtures, "error_reads", lambda *_: df)
+    want = dict(enumerate(seqs)) | {1000: "", 1001: "T" * 31, 1002: "GA" * 16}
+    rows = queries.QUERIES["packed_whole_reads"](spark, "").collect()
+    assert {r.id: r.back for r in rows} == want
+    for r in rows:
+        assert r.codes == [int("".join(str("ACGT".index(c)) for c in want[r.id][p : p + 31]), 4) for p in range(0, r.n, 31)]
+
+    def least(s, order):  # (place, 20-mer) of each third of the places
+        places = len(s) - 19
+        width = -(-places // 3)
+        return {(p, s[p : p + 20]) for a in range(0, places, width) for p in [min(range(a, min(a + width, places)), key=lambda p: (s[p : p + 20].translate(str.maketrans("ACGT", order)), p))]}
+
+    found = {1: set(), 4: set()}
+    for n, orders in ((1, ("ACGT",)), (4, ("ACGT", "CGTA", "GTAC", "TACG"))):
+        for o in orders:
+            m = [least(s, o) for s in seqs]
+            found[n] |= {(i, j, p - q) for i, x in enumerate(m) for j, y in enumerate(m) if i != j for p, a in x for q, b in y if a == b and p >= q and 80 - (p - q) >= queries.L}
+    assert len(found[4]) > len(found[1])
+    got = {r.src: (r.n, r.total) for r in queries.QUERIES["approx_candidates_all_orders"](spark, "").collect()}
+    assert got == {i: (sum(x[0] == i for x in found[4]), sum(x[2] for x in found[4] if x[0] == i)) for i in {x[0] for x in found[4]}}
+    pairs = {(r.src, r.dst) for r in queries.QUERIES["low_error_alignments_all_orders"](spark, "").collect()}
+    one = {(r.src, r.dst) for r in queries.QUERIES["low_error_alignments"](spark, "").collect()}
+    assert one <= pairs <= {x[:2] for x in found[4]}

@@ -142,7 +142,8 @@ def scan(raw: bytes, allowed: frozenset[str] = PERMISSIVE) -> tuple:
     if any(p == TAG for _, p in places):
         text = raw.decode("utf-8", "replace")
         for m in re.finditer(r"(?i)spdx[^a-z0-9\n]*licen[sc]e[^a-z0-9\n]*identifier\s*[:=]?\s*", text):
-            head = _head(text[m.end() : m.end() + 2000])
+            stop = text.find("\n", m.end())
+            head = _head(text[m.end() : stop if stop >= 0 else len(text)])
             if head and (found := evaluate(head, allowed)):
                 expressions.append({"text": head, "ids": found[0], "permitted": found[1]})
                 labels |= {x for x in found[0] if "," not in x}

@@ -170,3 +170,9 @@ def test_top_k_prunes():
     counts = []
     topk._best(v[:64].astype(int), np.arange(64), v.astype(int), np.arange(2000), 5, counts)
     assert counts[0][-1] < 0.2 * counts[0][0]
+
+
+def test_long_license_expressions_are_read_to_their_line_end():
+    for behind in ("", "\nmore text"):
+        row = licenses.scan(("SPDX-License-Identifier: " + "MIT OR " * 500 + "Apache-2.0 AND GPL-3.0-only" + behind).encode())
+        assert "gpl-3.0-only" in row[5].lower() and row[7][0]["text"].lower().endswith("gpl-3.0-only")

@@ -2,15 +2,18 @@
 
 A text's canonical encoding comes from the library and a public model file. Its lattice holds every way to cut the whole text into pieces of the vocabulary; a character that no piece covers is spelled in bytes.
 A piece weighs exp(ALPHA * score - PIECE_COST), a segmentation the product over its pieces, and log-probabilities are normalised over all of a text's segmentations. No piece crosses from a word into the blank behind it, so a
-text's lattice is the chain of those of its words (each with the blanks before it). Summed from their ends backwards, they give each piece's exact probability at its place.
+text's lattice is the chain of those of its words (each with the blanks before it), and its canonical encoding that of its words. Summed from their ends backwards, lattices give each piece's exact probability at its place.
 
-Perturbing every segmentation's log-probability with Gumbel noise and taking the k largest draws k segmentations without replacement. The search never lists them: a node (a
-prefix of pieces, and what is excluded as the next one) has as bound the exact maximum of its perturbed leaves, drawn top-down: a child that isn't the maximal one gets a Gumbel with its log-mass as
+Perturbing every segmentation's log-probability with Gumbel noise and taking the k largest draws k segmentations without replacement. The search never lists them: a node (the ways of the words
+before, and what is excluded as the next word's way) has as bound the exact maximum of its perturbed leaves, drawn top-down: what isn't the maximal child gets, as one group, a Gumbel with its log-mass as
 location, truncated at its parent's maximum. The largest bound in the queue is expanded: its own maximal leaf is the next sample, its siblings go into the queue. The (k+1)-th maximum is
 the threshold that inclusion scores refer to: log(1 - exp(-exp(log_prob - threshold))).
 
+Words are cut further into runs of characters that no piece leaves. Most runs take their likeliest pieces, so each run's way over these is kept whole; one that deviates draws the place, the piece and all that follows from its lattice, and excluded ways are left out by
+drawing from what branches off them. No way is left out, however small its share.
+
 Each row's noise is a hash of its key, the sample's number and the place in the text, so results don't depend on partitions or retries. The model's path is a parameter; words' lattices are computed
-where first met and kept up to MOST_EDGES, after which they are computed anew.
+where first met and kept up to MOST_EDGES; then the words that come often stay, and others are computed anew.
 
 Defined results: a null or empty text has no ids and one segmentation; a text with fewer segmentations than k gives all it has, with an inclusion score of 0 (certain); a null key
 counts as key 0 with its text's hash; repeated rows get equal samples; decoding gives back any text exactly, the meta symbol U+2581 included; other columns are ignored.
@@ -22,7 +25,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,16 +36,32 @@ from readloom.llm.common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 K, SEED = 3, 11
 ALPHA, PIECE_COST = 1 / 8000, 3.0
-LEAST = 0.0  #: share of its place under which a piece is left out: none is
-MOST_EDGES, MOST_WORD = 1_500_000, 64  #: kept by a worker; characters of a word that is kept
+MOST_EDGES, MOST_WORD, OFTEN = 4_000_000, 64, 4  #: kept by a worker; characters of a word that is kept; times that a word must have come to outlast a full table
+LOT = 1 << 18  #: bytes of texts that are drawn together, up to one text over
+LETTERS_AT_HAND = 256  #: letters whose steps in the trie are in a table
 META = "▁"
 SAMPLE = "rank int, n_ids int, log_prob double, perturbed double, log_inclusion double, ids_sha256 string, ids array<int>, decodes boolean"
 
 
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... counts[0] of them; then those of starts[1], and so on."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + counts, counts)
+
+
+def _log_sums(x: np.ndarray, heads: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Logarithm of the sum of exp(x) of each run of x that begins at heads; -inf where all are."""
+    most = np.maximum.reduceat(x, heads)
+    base = np.where(most > -np.inf, most, 0.0)
+    with np.errstate(divide="ignore"):
+        return base + np.log(np.add.reduceat(np.exp(x - np.repeat(base, counts)), heads))
+
+
 class Vocabulary:
-    """The model's pieces, and the lattices of words met so far in flat arrays.
+    """The model's pieces, and the lattices of runs met so far in flat arrays, runs by their numbers; words as chains of runs.
 
-    A node is a place in a word, the next node the next place; node i has the edges first[i] to first[i + 1], shortest first, the likeliest of them best[i]."""
+    A node is a place in a run, the next node the next place; node i has the edges first[i] to first[i + 1], shortest first, with log-probabilities log_p and nodes to (-1: the run's end).
+    Run i has the likeliest pieces way_n[i] from way_at[i] on in way (edges); apart has the log-mass of all that leaves this way at each of its places, way_rest their sum, way_log the way's own."""
 
     def __init__(self, model: bytes):
         import sentencepiece
@@ -61,11 +80,21 @@ class Vocabulary:
         if any(META in p.lstrip(META) for p in self.ids) or any(c not in self.ids for p in self.ids for c in p):
             raise ValueError("a piece goes past a word's end, or has a character that is no piece")
         self.log_w = ALPHA * np.array(self.scores) - PIECE_COST
-        # A trie of the pieces, META as a blank: from node t by letter c to trie_to at the place of t * letters + c in trie_key.
+        # A trie of the pieces, META as a blank: from node t by letter c to trie_to at the place of t * letters + c in trie_key; for the commonest letters also in near.
         self.letters = np.array(sorted({ord(c) for p in self.ids for c in p.replace(META, " ")}), np.uint32)
-        letter = {chr(c): i for i, c in enumerate(self.letters.tolist())}
+        held: dict[str, int] = {}
+        for p in self.ids:
+            for c in p.replace(META, " "):
+                held[c] = held.get(c, 0) + 1
+        common = sorted(held, key=lambda c: (-held[c], c))
+        letter = {c: i for i, c in enumerate(common)}
         self.letter = np.full(0x110000, -1, np.int32)
-        self.letter[self.letters] = np.arange(len(letter))
+        self.letter[[ord(c) for c in common]] = np.arange(len(letter))
+        #: Whether some piece has these two letters one after the other.
+        self.joined = np.zeros((len(letter), len(letter)), bool)
+        for p in self.ids:
+            q = [letter[c] for c in p.replace(META, " ")]
+            self.joined[q[:-1], q[1:]] = True
         steps: dict[int, int] = {}
         ends = [-1]
         for p, i in self.ids.items():
@@ -76,15 +105,24 @@ class Vocabulary:
                     ends.append(-1)
             ends[t] = i
         order = sorted(steps)
-        self.trie_key, self.trie_to, self.trie_piece = np.array(order), np.array([steps[x] for x in order]), np.array(ends)
+        self.trie_key, self.trie_to, self.trie_piece = np.array(order), np.array([steps[x] for x in order], np.int32), np.array(ends, np.int32)
+        self.at_hand = min(LETTERS_AT_HAND, len(letter))
+        self.near = np.full((len(ends), self.at_hand), -1, np.int32)
+        source, by = self.trie_key // len(letter), self.trie_key % len(letter)
+        close = by < self.at_hand
+        self.near[source[close], by[close]] = self.trie_to[close]
         self.forget()
 
     def forget(self) -> None:
-        """No word is met."""
+        """Nothing is met."""
         self.words: dict[str, int] = {}
-        self.nodes = self.edges = 0
-        self.first, self.best, self.top = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        self.log_p, self.log_rest, self.piece, self.to = np.zeros(0), np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.runs: dict[str, int] = {}
+        self.nodes = self.edges = self.n_words = self.n_runs = self.steps = self.n_ids = self.n_links = 0
+        self.first, self.log_p, self.piece, self.to = np.zeros(1, np.int32), np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.root, self.way_at, self.way_n, self.size = (np.zeros(0, np.int32) for _ in range(4))
+        self.way_log, self.way_p, self.way_rest = np.zeros(0), np.zeros(0), np.zeros(0)
+        self.way, self.apart = np.zeros(0, np.int32), np.zeros(0)
+        self.id_at, self.id_n, self.id, self.times, self.link_at, self.link_n, self.link = (np.zeros(0, np.int32) for _ in range(7))
 
     def ways(self, piece: str) -> list[tuple[float, list[int]]]:
         """All segmentations of a short string with their log-weights, listed."""
@@ -94,40 +132,59 @@ class Vocabulary:
         return known[0]
 
     def _add(self, name: str, had: int, new: np.ndarray) -> None:
-        """new behind the first had entries, in room that doubles."""
+        """new behind the first had entries, in room that grows by half."""
         old = getattr(self, name)
         if had + len(new) > len(old):
-            old = np.concatenate([old[:had], np.empty(max(len(new), had), old.dtype)])
+            old = np.concatenate([old[:had], np.empty(max(len(new), had // 2), old.dtype)])
             setattr(self, name, old)
         old[had : had + len(new)] = new
 
+    def _step(self, t: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The trie's nodes behind nodes t by letters c; -1: none."""
+        out = self.near[t, np.clip(c, 0, self.at_hand - 1)]
+        out[c < 0] = -1
+        far = np.flatnonzero(c >= self.at_hand)
+        if len(far):
+            key = t[far].astype(np.int64) * len(self.letters) + c[far]
+            j = np.minimum(np.searchsorted(self.trie_key, key), len(self.trie_key) - 1)
+            out[far] = np.where(self.trie_key[j] == key, self.trie_to[j], -1)
+        return out
+
     def meet(self, words: list[str]) -> np.ndarray:
-        """Adds the lattices of words (blanks as blanks, none empty) to the tables; their first nodes."""
+        """Adds the lattices of runs (blanks as blanks, none empty) to the tables; their numbers."""
         text = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         size = np.array([len(w) for w in words])
         root = np.cumsum(size) - size
         n = len(text)
         stop = np.repeat(root + size, size)
         c = self.letter[text]
-        at, t, length = np.arange(n), np.zeros(n, np.int64), 0
+        at, t, length = np.arange(n), np.zeros(n, np.int32), 0
         unknown = np.flatnonzero(c < 0)
-        starts, ends, piece = [unknown], [unknown + 1], [-1 - text[unknown].astype(np.int64)]
+        starts, lengths, piece = [unknown], [np.ones(len(unknown), np.int64)], [(-1 - text[unknown].astype(np.int64)).astype(np.int32)]
         while len(at):
-            ok = at + length < stop[at]
-            at, t = at[ok], t[ok]
-            key = t * len(self.letters) + c[at + length]
-            j = np.minimum(np.searchsorted(self.trie_key, key), len(self.trie_key) - 1)
-            ok = (self.trie_key[j] == key) & (c[at + length] >= 0)
-            at, t = at[ok], self.trie_to[j[ok]]
+            t = self._step(t, c[at + length])
             length += 1
-            is_piece = self.trie_piece[t] >= 0
+            ok = np.flatnonzero(t >= 0)
+            at, t = at[ok], t[ok]
+            p = self.trie_piece[t]
+            is_piece = np.flatnonzero(p >= 0)
             starts.append(at[is_piece])
-            ends.append(starts[-1] + length)
-            piece.append(self.trie_piece[t[is_piece]])
-        start, end, piece = np.concatenate(starts), np.concatenate(ends), np.concatenate(piece)
-        order = np.argsort(start, kind="stable")
-        start, end, piece = start[order], end[order], piece[order]
-        first = np.searchsorted(start, np.arange(n))
+            lengths.append(np.full(len(is_piece), length))
+            piece.append(p[is_piece])
+            ok = np.flatnonzero(at + length < stop[at])
+            at, t = at[ok], t[ok]
+        # Edges by their places, of one place the shortest first: each part's places rise, so an edge comes after the edges of places before and of shorter ones at its own.
+        count = np.zeros(n, np.int64)
+        for x in starts:
+            count[x] += 1
+        first = np.cumsum(count) - count
+        m = int(count.sum())
+        start, end, pieces, filled = np.repeat(np.arange(n), count), np.empty(m, np.int64), np.empty(m, np.int32), first.copy()
+        for x, y, p in zip(starts, lengths, piece, strict=True):
+            to = filled[x]
+            end[to], pieces[to] = x + y, p
+            filled[x] += 1
+        piece = pieces
         w = np.where(piece >= 0, self.log_w[np.maximum(piece, 0)], 0.0)
         closing = end == stop[start]
         # From the words' ends backwards: the log-mass of all ways from each place on.
@@ -135,57 +192,107 @@ class Vocabulary:
         left = stop[start] - start
         order = np.argsort(left.astype(np.uint16) if size.max() < 65536 else left, kind="stable")
         level = np.searchsorted(left[order], np.arange(1, size.max() + 2))
+        behind = np.where(closing, n, end)  # place n has mass 0
         for a, b in zip(level[:-1].tolist(), level[1:].tolist(), strict=True):
             e = order[a:b]
-            x = w[e] + np.where(closing[e], 0.0, mass[end[e]])
             s = start[e]
             head = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-            most = np.maximum.reduceat(x, head)
-            total = np.add.reduceat(np.exp(x - np.repeat(most, np.diff(head, append=b - a))), head)
-            mass[s[head]] = most + np.log(total)
-        log_p = np.minimum(w + np.where(closing, 0.0, mass[end]) - mass[start], 0.0)
-        if LEAST:
-            log_p[np.exp(log_p) < LEAST] = -np.inf
-        count = np.diff(first, append=len(start))
-        top = np.maximum.reduceat(log_p, first)
-        is_top = np.flatnonzero(log_p == np.repeat(top, count))
-        best = is_top[np.searchsorted(is_top, first)]  # the shortest of equal ones
-        others = log_p.copy()
-        others[best] = -np.inf
-        most = np.maximum.reduceat(others, first)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            log_rest = np.log1p(-np.exp(log_p))
-            rest = most + np.log(np.add.reduceat(np.exp(others - np.repeat(most, count)), first))
-        log_rest[best] = np.where(most == -np.inf, -np.inf, rest)
-        for name, new in (("best", best + self.edges), ("top", np.exp(top))):
-            self._add(name, self.nodes, new)
-        self._add("first", self.nodes, np.append(first, len(start)) + self.edges)
-        for name, new in (("log_p", log_p), ("log_rest", log_rest), ("piece", piece), ("to", np.where(closing, -1, end + self.nodes))):
+            mass[s[head]] = _log_sums(w[e] + mass[behind[e]], head, np.diff(head, append=b - a))
+        log_p = np.minimum(w + mass[behind] - mass[start], 0.0)
+        # Each word's way over the likeliest edges (the shortest of equal ones), and what leaves it.
+        on, node, rounds = np.arange(len(words)), root.copy(), []
+        way_n, way_log = np.zeros(len(words), np.int32), np.zeros(len(words))
+        while len(on):
+            k = count[node]
+            e = _spread(first[node], k)
+            heads = np.cumsum(k) - k
+            x = log_p[e]
+            top = np.maximum.reduceat(x, heads)
+            is_top = np.flatnonzero(x == np.repeat(top, k))
+            pick = is_top[np.searchsorted(is_top, heads)]
+            x[pick] = -np.inf
+            rounds.append((on, e[pick], way_log[on] + _log_sums(x, heads, k)))
+            way_n[on] += 1
+            way_log[on] += top
+            e = e[pick]
+            go = np.flatnonzero(~closing[e])
+            on, node = on[go], end[e[go]]
+        way_at = np.cumsum(way_n) - way_n
+        way, apart = np.empty(way_n.sum(), np.int32), np.empty(way_n.sum())
+        for r, (on, e, rest) in enumerate(rounds):
+            way[way_at[on] + r], apart[way_at[on] + r] = e, rest
+        rest = _log_sums(apart, way_at, way_n)
+        self._add("first", self.nodes, np.append(first, m) + self.edges)
+        for name, new in (("log_p", log_p), ("piece", piece), ("to", np.where(closing, -1, end + self.nodes))):
             self._add(name, self.edges, new)
-        root = root + self.nodes
-        self.nodes, self.edges = self.nodes + n, self.edges + len(start)
-        return root
-
-    def chain(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """The first nodes and the lengths of each text's words."""
+        for name, new in (("root", root + self.nodes), ("size", size), ("way_at", way_at + self.steps), ("way_n", way_n), ("way_log", way_log), ("way_p", np.where(rest == -np.inf, 2.0, np.exp(way_log))), ("way_rest", rest)):
+            self._add(name, self.n_runs, new)
+        for name, new in (("way", way + self.edges), ("apart", apart)):
+            self._add(name, self.steps, new)
+        number = np.arange(self.n_runs, self.n_runs + len(words))
+        self.nodes, self.edges, self.steps, self.n_runs = self.nodes + n, self.edges + m, self.steps + len(way), self.n_runs + len(words)
+        return number
+
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """Adds words without their first blank: their runs and canonical ids. Their numbers."""
+        joined = " " + " ".join(words)
+        text = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        c = self.letter[text]
+        apart = np.ones(len(text) + 1, bool)
+        apart[1:-1] = (c[:-1] < 0) | (c[1:] < 0) | ~self.joined[c[:-1], c[1:]]
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        begin = np.cumsum(size) - size
+        apart[begin] = True
+        cuts = np.flatnonzero(apart)
+        runs = list(map(joined.__getitem__, map(slice, cuts[:-1].tolist(), cuts[1:].tolist())))
+        new = [x for x in dict.fromkeys(runs) if x not in self.runs]
+        if new:
+            self.runs.update(zip(new, self.meet(new).tolist(), strict=True))
+        link = np.fromiter(map(self.runs.__getitem__, runs), np.int32, len(runs))
+        link_at = np.searchsorted(cuts, begin)
+        ids = self.sp.encode(words, num_threads=1) if META not in joined else [x.tolist() for x in self.encode(words)]
+        for i in np.flatnonzero(size == 1).tolist():
+            ids[i] = [self.ids[META]]
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        number = np.arange(self.n_words, self.n_words + len(words))
+        for name, part in (("id_at", np.cumsum(n) - n + self.n_ids), ("id_n", n), ("link_at", link_at + self.n_links), ("link_n", np.diff(link_at, append=len(link))), ("times", np.zeros(len(words)))):
+            self._add(name, self.n_words, part)
+        self._add("id", self.n_ids, np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum())))
+        self._add("link", self.n_links, link)
+        self.n_ids, self.n_links, self.n_words = self.n_ids + int(n.sum()), self.n_links + len(link), self.n_words + len(words)
+        return number
+
+    def words_of(self, texts: list[str]) -> list[np.ndarray]:
+        """The numbers of each text's words."""
         if self.edges > MOST_EDGES:
+            times = self.times[: self.n_words]
+            often = sorted(((w, i) for w, i in self.words.items() if times[i] >= OFTEN), key=lambda x: -times[x[1]])[: self.n_words // 4]
             self.forget()
+            if often:
+                self.words.update(zip((w for w, _ in often), self._learn([w for w, _ in often]).tolist(), strict=True))
         # A word's first blank is left out of its key.
         parts = [([] if not t else _WORD.findall(" " + t) if "  " in t or t[0] == " " or t[-1] == " " else t.split(" ")) for t in texts]
-        flat = [w for p in parts for w in p]
-        root = np.fromiter(map(self.words.get, flat, repeat(-1)), np.int64, len(flat))
-        new = np.flatnonzero(root < 0)
+        flat = list(chain.from_iterable(parts))
+        number = np.fromiter(map(self.words.get, flat, repeat(-1)), np.int64, len(flat))
+        new = np.flatnonzero(number < 0)
         if len(new):
             missing = list(dict.fromkeys(flat[i] for i in new.tolist()))
-            found = dict(zip(missing, self.meet([" " + w for w in missing]).tolist(), strict=True))
-            root[new] = [found[flat[i]] for i in new.tolist()]
+            found = dict(zip(missing, self._learn(missing).tolist(), strict=True))
+            number[new] = [found[flat[i]] for i in new.tolist()]
             self.words.update((w, i) for w, i in found.items() if len(w) <= MOST_WORD)
-        ends = np.cumsum([len(p) for p in parts])[:-1]
-        return np.split(root, ends), np.split(np.fromiter(map(len, flat), np.int64, len(flat)) + 1, ends)
+        self.times[: self.n_words] += np.bincount(number, minlength=self.n_words).astype(np.int32)
+        return np.split(number, np.cumsum([len(p) for p in parts])[:-1])
+
+    def canonical(self, words: np.ndarray) -> np.ndarray:
+        """The canonical ids of a chain of words."""
+        return self.id[_spread(self.id_at[words], self.id_n[words])]
+
+    def runs_of(self, words: np.ndarray) -> np.ndarray:
+        """A chain of words as one of runs."""
+        return self.link[_spread(self.link_at[words], self.link_n[words])]
 
-    def spell(self, edges: np.ndarray) -> np.ndarray:
-        """The pieces of edges; unknown characters as their bytes."""
-        ids = self.piece[edges]
+    def spell(self, ids: np.ndarray) -> np.ndarray:
+        """ids with unknown characters (under 0) as their bytes."""
         bad = np.flatnonzero(ids < 0)
         if not len(bad):
             return ids
@@ -237,26 +344,25 @@ def _uniform(seed: np.ndarray, number: np.ndarray) -> np.ndarray:
     return ((_mixed(seed + (number + 1).astype(np.uint64) * _STEP) >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
-def _walk(v: Vocabulary, node: np.ndarray, shift: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A drawn way from each node to its word's end: all edges, in the nodes' order, and how many each has. A node's place in the text is node + shift."""
-    on, rounds, count = np.arange(len(node)), [], np.zeros(len(node), np.int64)
+def _walk(v: Vocabulary, node: np.ndarray, place: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A drawn way from each node (-1: an end) to its word's end: all edges, in the nodes' order, and how many each has. place: of the node in the text."""
+    on, rounds, count = np.flatnonzero(node >= 0), [], np.zeros(len(node), np.int64)
+    node, place, seed = node[on].astype(np.int64), place[on], seed[on]
     while len(on):
-        u = _uniform(seed, 2 * (node + shift))
-        e, top = v.best[node], v.top[node]
-        far = np.flatnonzero(u >= top)
-        if len(far):  # not the likeliest: the others, the shortest first
-            left, best, last = u[far] - top[far], e[far], v.first[node[far] + 1] - 1
-            at = v.first[node[far]]
-            while len(far):
-                p = np.where(at == best, 0.0, np.exp(v.log_p[at]))
-                e[far] = np.where(p > 0, at, e[far])
-                go = np.flatnonzero((left >= p) & (at < last))
-                left, best, last, far, at = (left - p)[go], best[go], last[go], far[go], at[go] + 1
+        left = _uniform(seed, 4 * place + 3)
+        e, last = v.first[node].astype(np.int64), v.first[node + 1] - 1
+        at, far = e.copy(), np.arange(len(on))
+        while len(far):  # the shortest first; one without a share only where no other is left
+            p = np.exp(v.log_p[at])
+            e[far] = np.where(p > 0, at, e[far])
+            go = np.flatnonzero((left >= p) & (at < last[far]))
+            left, far, at = (left - p)[go], far[go], at[go] + 1
         rounds.append((on, e))
         count[on] += 1
-        node = v.to[e]
-        go = np.flatnonzero(node >= 0)
-        on, node, shift, seed = on[go], node[go].astype(np.int64), shift[go], seed[go]
+        to = v.to[e]
+        go = np.flatnonzero(to >= 0)
+        place = (place + to - node)[go]
+        on, node, seed = on[go], to[go].astype(np.int64), seed[go]
     at = np.cumsum(count) - count
     out = np.empty(count.sum(), np.int64)
     for r, (on, e) in enumerate(rounds):
@@ -264,10 +370,82 @@ def _walk(v: Vocabulary, node: np.ndarray, shift: np.ndarray, seed: np.ndarray)
     return out, count
 
 
-class _Node:
-    """A sample: its edges, its nodes and words, the log-probability before each edge, and the noisy masses of what was passed over from place at on."""
-
-    __slots__ = ("edges", "nodes", "word", "before", "at", "free", "off", "top", "bound", "out")
+def _pick(u: np.ndarray, x: np.ndarray, heads: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each run of log-weights x the place (in x) that u, between 0 and 1, chooses."""
+    most = np.maximum.reduceat(x, heads)
+    p = np.exp(x - np.repeat(most, counts))
+    upto = np.cumsum(p / np.repeat(np.add.reduceat(p, heads), counts))
+    before = np.concatenate([[0.0], upto])[heads]
+    at = np.clip(np.searchsorted(upto, before + u, "right"), heads, heads + counts - 1)
+    wrong = np.flatnonzero(p[at] == 0)  # rounding only
+    if len(wrong):
+        top = np.flatnonzero(p == 1.0)
+        at[wrong] = top[np.searchsorted(top, heads[wrong])]
+    return at
+
+
+class _Ways:
+    """Drawn ways of runs: log-probabilities log_p, log-masses of all other ways rest, and for those runs (places of) that left their likeliest way their edges."""
+
+    __slots__ = ("log_p", "rest", "of", "count", "edges")
+
+    def __init__(self, v: Vocabulary, words: np.ndarray, number: np.ndarray, place: np.ndarray, seed: np.ndarray):
+        """words: runs' numbers; number: of the run in its text; place: of its first character."""
+        self.log_p, self.rest = v.way_log[words], v.way_rest[words]
+        self.of = far = np.flatnonzero(_uniform(seed, 4 * number) >= v.way_p[words])
+        if not len(far):
+            self.count, self.edges = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return
+        w, seed, number, place = words[far], seed[far], number[far], place[far]
+        n, at = v.way_n[w].astype(np.int64), v.way_at[w].astype(np.int64)
+        heads = np.cumsum(n) - n
+        leave = _pick(_uniform(seed, 4 * number + 1), v.apart[_spread(at, n)], heads, n) - heads
+        root = v.root[w].astype(np.int64)
+        node = np.where(leave > 0, v.to[v.way[at + np.maximum(leave, 1) - 1]], root).astype(np.int64)
+        best = v.way[at + leave]
+        a, n = v.first[node].astype(np.int64), (v.first[node + 1] - v.first[node]).astype(np.int64)
+        e = _spread(a, n)
+        heads = np.cumsum(n) - n
+        x = v.log_p[e]
+        x[heads + best - a] = -np.inf
+        e = e[_pick(_uniform(seed, 4 * number + 2), x, heads, n)]
+        to = v.to[e]
+        more, m = _walk(v, to, place + to - root, seed)
+        self.count = leave + 1 + m
+        ends = np.cumsum(self.count)
+        begin = ends - self.count
+        self.edges = np.empty(ends[-1], np.int64)
+        self.edges[_spread(begin, leave)] = v.way[_spread(at, leave)]
+        self.edges[begin + leave] = e
+        self.edges[_spread(begin + leave + 1, m)] = more
+        self.log_p[far] = np.add.reduceat(v.log_p[self.edges], begin)
+        self.rest[far] = np.log1p(-np.exp(self.log_p[far]))  # such a way has at most half of its run's mass
+
+
+def _branches(v: Vocabulary, root: int, out: list[tuple[int, ...]]) -> tuple[np.ndarray, list[tuple[int, int]], list[int]]:
+    """All ways of a run but those in out, by where they branch off: log-mass, (number in out, edges in common), and the first edge apart."""
+    mass, prefix, edge = [], [], []
+    stack = [(root, 0.0, 0, range(len(out)))]
+    while stack:
+        node, before, depth, own = stack.pop()
+        a, b = int(v.first[node]), int(v.first[node + 1])
+        follow: dict[int, list[int]] = {}
+        for i in own:
+            follow.setdefault(out[i][depth], []).append(i)
+        for e, p in zip(range(a, b), v.log_p[a:b].tolist(), strict=True):
+            if e not in follow:
+                mass.append(before + p)
+                prefix.append((own[0], depth))
+                edge.append(e)
+            elif (to := int(v.to[e])) >= 0:
+                stack.append((to, before + p, depth + 1, follow[e]))
+    return np.array(mass), prefix, edge
+
+
+class _Sample:
+    """Its runs' log-probabilities, those that left their likeliest way (of, count, edges), and the noisy log-masses of what was passed over from run at on. out: ways excluded at that run."""
+
+    __slots__ = ("log_p", "of", "count", "edges", "at", "free", "off", "top", "bound", "taken", "out")
 
     def aim(self) -> None:
         """Sets the largest bound and its place. Truncation at top keeps their order, so only the largest is ever truncated."""
@@ -275,100 +453,130 @@ class _Node:
         most = float(self.free[self.off]) if len(self.free) else -np.inf
         self.bound = -float(np.logaddexp(-self.top, -most)) if most > -np.inf else -np.inf
 
-
-def draw(v: Vocabulary, roots: list[np.ndarray], sizes: list[np.ndarray], k: int, seeds: np.ndarray) -> list[list[tuple[float, float, float, np.ndarray]]]:
-    """For each chain of words (first nodes and lengths): log_prob, perturbed log_prob, log_inclusion and ids of k distinct segmentations (fewer if there are no more), the largest perturbed first.
+    def way(self, v: Vocabulary, words: np.ndarray, t: int) -> tuple[int, ...]:
+        """The edges of run t."""
+        i = int(np.searchsorted(self.of, t))
+        if i < len(self.of) and self.of[i] == t:
+            a = int(self.count[:i].sum())
+            return tuple(self.edges[a : a + int(self.count[i])].tolist())
+        a = int(v.way_at[words[t]])
+        return tuple(v.way[a : a + int(v.way_n[words[t]])].tolist())
+
+
+def _noise(u: np.ndarray) -> np.ndarray:
+    return -np.log(-np.log(u))
+
+
+def _spelled(v: Vocabulary, chains: list[np.ndarray], samples: list[_Sample]) -> list[np.ndarray]:
+    """The ids of samples, each of its chain."""
+    if not samples:
+        return []
+    runs = np.concatenate(chains)
+    sizes = np.array([len(c) for c in chains])
+    shift = np.cumsum(sizes) - sizes
+    of, count = np.concatenate([x.of + b for x, b in zip(samples, shift.tolist(), strict=True)]), np.concatenate([x.count for x in samples])
+    n = v.way_n[runs].astype(np.int64)
+    n[of] = 0
+    plain = v.way[_spread(v.way_at[runs], n)]
+    n[of] = count
+    ends = np.cumsum(n)
+    edges = np.empty(int(n.sum()), np.int64)
+    own = np.zeros(len(edges), bool)
+    own[_spread((ends - n)[of], count)] = True
+    edges[own], edges[~own] = np.concatenate([x.edges for x in samples]), plain
+    ids = np.split(v.piece[edges], np.concatenate([[0], ends])[shift[1:]])
+    return [v.spell(x) for x in ids]
+
+
+def draw(v: Vocabulary, chains: list[np.ndarray], k: int, seeds: np.ndarray) -> list[list[tuple[float, float, float, np.ndarray]]]:
+    """For each chain of runs (numbers): log_prob, perturbed log_prob, log_inclusion and ids of k distinct segmentations (fewer if there are no more), the largest perturbed first.
 
     All chains take each step together; what is drawn depends on a chain's own seed alone."""
-    shifts = [np.cumsum(s) - s - r for r, s in zip(roots, sizes, strict=True)]
-    done: list[list[_Node]] = [[] for _ in roots]
-    open_ = list(range(len(roots)))
+    places = [np.cumsum(v.size[c], dtype=np.int64) - v.size[c] for c in chains]
+    done: list[list[_Sample]] = [[] for _ in chains]
+    open_ = list(range(len(chains)))
+    tops = _noise(_uniform(_mixed(seeds), np.zeros(len(seeds), np.int64)))
     for r in range(k):
-        # Each chain's branch: (its sample's prefix, the new edge and place, the rest's log-mass there), or a start.
-        starts, seed_r, branches = [], _mixed(seeds + np.array([r + 1], np.uint64) * _STEP), []
-        for i in open_:
-            if r == 0:
-                branches.append((i, None, 0, -1, -np.inf, 0, None))
-                starts.append((roots[i], shifts[i], np.arange(len(roots[i]))))
-                continue
-            old = max(done[i], key=lambda x: x.bound)
-            if old.bound == -np.inf:
-                continue
-            top, t = old.bound, old.at + old.off
-            out = {int(old.edges[t])} | (old.out if old.off == 0 else set())
-            old.free[old.off] = -np.inf
-            old.aim()
-            node, word = int(old.nodes[t]), int(old.word[t])
-            a, b = int(v.first[node]), int(v.first[node + 1])
-            log_p = v.log_p[a:b].copy()
-            log_p[[j - a for j in out]] = -np.inf
-            most = log_p.max()
-            c = np.cumsum(np.exp(log_p - most))
-            u = _uniform(seed_r[i : i + 1], np.array([2 * (node + int(shifts[i][word]))]))[0]
-            e = int(np.searchsorted(c, u * c[-1], "right"))
-            log_p[e] = -np.inf
-            most = log_p.max()
-            rest = float(most + np.log(np.exp(log_p - most).sum())) if most > -np.inf else -np.inf
-            to = int(v.to[a + e])
-            branches.append((i, old, t, a + e, rest, top, out))
-            w = np.arange(word if to >= 0 else word + 1, len(roots[i]))
-            node = roots[i][w]
-            if to >= 0:
-                node[0] = to
-            starts.append((node, shifts[i][w], w))
-        if not branches:
-            break
-        many = [len(x[0]) for x in starts]
-        node, shift, word = (np.concatenate([x[j] for x in starts]) for j in range(3))
-        seed = np.repeat(seed_r[[x[0] for x in branches]], many)
-        edges, count = _walk(v, node, shift, seed)
-        bounds = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum(many)])].tolist()
-        # Each edge's own node: where its word's way began, or where the edge before leads.
-        nodes = np.empty(len(edges), np.int64)
-        nodes[1:] = v.to[edges[:-1]]
-        nodes[np.cumsum(count) - count] = node
-        words = np.repeat(word, count)
-        with np.errstate(divide="ignore"):
-            noise = -np.log(-np.log(_uniform(np.repeat(seed, count), 2 * (nodes + np.repeat(shift, count)) + 1)))
-        log_p, passed = v.log_p[edges], v.log_rest[edges]
+        seed_r = _mixed(seeds + np.array([r + 1], np.uint64) * _STEP)
+        turns: list[tuple] = []  # each chain's turn: the sample it branches from, the run t, its new way, the noisy log-mass left there, the ways excluded
+        if r == 0:
+            turns = [(i, None, -1, (), 0.0, []) for i in open_]
+        else:
+            found = []
+            for i in open_:
+                old = max(done[i], key=lambda x: x.bound)
+                if old.bound == -np.inf:
+                    continue
+                t = old.at + old.off
+                out = list(dict.fromkeys([*(old.out if old.off == 0 else []), old.way(v, chains[i], t)]))
+                old.taken = old.bound
+                old.free[old.off] = -np.inf
+                old.aim()
+                found.append((i, old, t, out, *_branches(v, int(v.root[chains[i][t]]), out)))
+            if not found:
+                break
+            which, at = np.array([x[0] for x in found]), np.array([x[2] for x in found])
+            counts = np.array([len(x[4]) for x in found])
+            heads = np.cumsum(counts) - counts
+            picks = (_pick(_uniform(seed_r[which], 4 * at + 1), np.concatenate([x[4] for x in found]), heads, counts) - heads).tolist()
+            noise = _noise(_uniform(seed_r[which], 4 * at + 2)).tolist()
+            to = v.to[[x[6][j] for x, j in zip(found, picks, strict=True)]]
+            more, n = _walk(v, to, np.array([int(places[i][t]) - int(v.root[chains[i][t]]) for i, _, t, *_ in found]) + to, seed_r[which])
+            more = [x.tolist() for x in np.split(more, np.cumsum(n)[:-1])]
+            for (i, old, t, out, _, prefix, edge), j, rest, u in zip(found, picks, more, noise, strict=True):
+                way = (*out[prefix[j][0]][: prefix[j][1]], edge[j], *rest)
+                out = [*out, way]
+                mass, _, _ = _branches(v, int(v.root[chains[i][t]]), out)
+                turns.append((i, old, t, way, (float(np.logaddexp.reduce(mass)) if len(mass) else -np.inf) + u, out))
+        many = [len(chains[i]) - t - 1 for i, _, t, *_ in turns]
+        number = np.concatenate([np.arange(t + 1, len(chains[i])) for i, _, t, *_ in turns])
+        seed = np.repeat(seed_r[[x[0] for x in turns]], many)
+        made = _Ways(v, np.concatenate([chains[i][t + 1 :] for i, _, t, *_ in turns]), number, np.concatenate([places[i][t + 1 :] for i, _, t, *_ in turns]), seed)
+        noisy = made.rest + _noise(_uniform(seed, 4 * number + 2 + (1 << 40)))
+        ends = np.cumsum([0, *many])
+        far = np.searchsorted(made.of, ends)
+        upto = np.concatenate([[0], np.cumsum(made.count)])[far]
         open_ = []
-        for (i, old, t, e, rest, top, out), a, b in zip(branches, bounds[:-1], bounds[1:], strict=True):
-            x = _Node()
+        for (i, old, t, way, free, out), a, b, fa, fb, ea, eb in zip(turns, ends[:-1].tolist(), ends[1:].tolist(), far[:-1].tolist(), far[1:].tolist(), upto[:-1].tolist(), upto[1:].tolist(), strict=True):
+            x = _Sample()
+            log_p, of, count, edges = made.log_p[a:b], made.of[fa:fb] - (a - t - 1), made.count[fa:fb], made.edges[ea:eb]
             if old is None:
-                x.edges, x.nodes, x.word = edges[a:b], nodes[a:b], words[a:b]
-                x.before = np.concatenate([[0.0], np.cumsum(log_p[a:b])])
-                x.at, x.out = 0, set()
-                x.free = x.before[:-1] + passed[a:b] + noise[a:b]
-                x.top = float(-np.log(-np.log(_uniform(_mixed(seeds[i : i + 1]), np.zeros(1, np.int64))[0])))
+                x.log_p, x.of, x.count, x.edges, x.at, x.out, x.top = log_p, of, count, edges, 0, [], float(tops[i])
+                x.free = np.cumsum(log_p) - log_p + noisy[a:b]
             else:
-                x.edges, x.nodes, x.word = (np.concatenate([p[:t], [q], s[a:b]]) for p, q, s in ((old.edges, e, edges), (old.nodes, old.nodes[t], nodes), (old.word, old.word[t], words)))
-                first = old.before[t] + v.log_p[e]
-                after = np.cumsum(np.concatenate([[first], log_p[a:b]]))
-                x.before = np.concatenate([old.before[: t + 1], after])
-                x.at, x.out, x.top = t, out, top
-                u = _uniform(seed_r[i : i + 1], 2 * (old.nodes[t : t + 1] + shifts[i][old.word[t]]) + 1)[0]
-                x.free = np.concatenate([[old.before[t] + rest - np.log(-np.log(u))], after[:-1] + passed[a:b] + noise[a:b]])
+                f = int(np.searchsorted(old.of, t))
+                x.log_p = np.concatenate([old.log_p[:t], [v.log_p[list(way)].sum()], log_p])
+                x.of, x.count = np.concatenate([old.of[:f], [t], of]), np.concatenate([old.count[:f], [len(way)], count])
+                x.edges = np.concatenate([old.edges[: int(old.count[:f].sum())], np.array(way, np.int64), edges])
+                x.at, x.out, x.top = t, out, old.taken
+                x.free = (np.cumsum(x.log_p) - x.log_p)[t:] + np.concatenate([[free], noisy[a:b]])
             x.aim()
             done[i].append(x)
             open_.append(i)
+    ids = iter(_spelled(v, [c for c, found in zip(chains, done, strict=True) for _ in found], [x for found in done for x in found]))
     result = []
     for found in done:
         threshold = max(x.bound for x in found) if len(found) == k else -np.inf
         rows = []
         for x in found:
-            log_prob = float(x.before[-1])
+            log_prob = float(x.log_p.sum())
             e = np.exp(min(700.0, log_prob - threshold)) if threshold > -np.inf else np.inf
             inclusion = 0.0 if e > 40 else float(np.log(-np.expm1(-e))) if e > 1e-300 else log_prob - threshold
-            rows.append((log_prob, x.top, inclusion, v.spell(x.edges)))
+            rows.append((log_prob, x.top, inclusion, next(ids)))
         result.append(rows)
     return result
 
 
 def sample(v: Vocabulary, ids: np.ndarray, k: int, rng: np.random.Generator) -> list[tuple[float, float, float, np.ndarray]]:
     """draw() for a chain of single pieces, each with a lattice of its own."""
-    pieces = [v.pieces[i].replace(META, " ") for i in ids.tolist()]
     v.forget()
-    return draw(v, [v.meet(pieces)], [np.array([len(p) for p in pieces])], k, rng.integers(0, 2**64, 1, np.uint64))[0]
+    return draw(v, [v.meet([v.pieces[i].replace(META, " ") for i in ids.tolist()])], k, rng.integers(0, 2**64, 1, np.uint64))[0]
+
+
+def _runs_of_equal(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin and end."""
+    edge = np.flatnonzero(np.diff(x)) + 1
+    return np.concatenate([[0], edge])[: len(x)], np.concatenate([edge, [len(x)]])[: max(len(x), 0) and len(edge) + 1]
 
 
 def encode(docs: DataFrame, k: int = K, seed: int = SEED, model_path: str = MODEL, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -387,15 +595,19 @@ def encode(docs: DataFrame, k: int = K, seed: int = SEED, model_path: str = MODE
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute  # noqa: F401
+
         v = vocabulary(model.value)
         for b in batches:
-            for start in range(0, b.num_rows, 32):
-                c = b.slice(start, 32)
+            size = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)) // LOT
+            for start, end in zip(*(x.tolist() for x in _runs_of_equal(size)), strict=True):
+                c = b.slice(start, end - start)
                 ids, texts = c.column(0), [t or "" for t in c.column(1).to_pylist()]
-                canonical = v.encode(texts)
+                words = v.words_of(texts)
+                canonical = [v.canonical(x) for x in words]
                 keys = [f"{seed} {i}" if i is not None else f"{seed} - {hashlib.blake2b(t.encode(), digest_size=8).hexdigest()}" for i, t in zip(ids.to_pylist(), texts, strict=True)]
                 seeds = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big") for x in keys], np.uint64)
-                drawn = draw(v, *v.chain(texts), k, seeds)
+                drawn = draw(v, [v.runs_of(x) for x in words], k, seeds)
                 flat = [(r + 1, *s) for d in drawn for r, s in enumerate(d)]
                 samples = pa.StructArray.from_arrays([
                     pa.array([x[0] for x in flat], pa.int32()), pa.array([len(x[4]) for x in flat], pa.int32()), *(pa.array([x[j] for x in flat], pa.float64()) for j in (1, 2, 3)),

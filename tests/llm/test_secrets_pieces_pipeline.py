@@ -56,7 +56,6 @@ def test_ways_are_all_segmentations(vocabulary):
 def test_sampling_follows_the_distribution(vocabulary, monkeypatch):
     """First samples have the segmentations' probabilities, pairs those of drawing twice without replacement; fewer segmentations than k are all found."""
     monkeypatch.setattr(sentencepieces, "PIECE_COST", 0.3)
-    monkeypatch.setattr(sentencepieces, "LEAST", 1e-15)  # keep them all
     with open(sentencepieces.MODEL, "rb") as f:
         v = sentencepieces.Vocabulary(f.read())
     ids = np.array([v.ids["▁the"], v.ids["and"]], np.int32)
@@ -82,7 +81,8 @@ def test_sampling_follows_the_distribution(vocabulary, monkeypatch):
         assert abs(c / n - q) < 5 * math.sqrt(q * (1 - q) / n) + 1e-3
     assert kept / n == pytest.approx(1.0, abs=0.05)  # inclusion scores make the estimate of 1 unbiased
     everything = sentencepieces.sample(v, ids, 10_000, np.random.Generator(np.random.PCG64(1)))
-    assert {tuple(d[3].tolist()) for d in everything} == set(p) and all(d[2] == 0 for d in everything)
+    listed = [[tuple(x) for _, x in v.ways(v.pieces[i])] for i in ids]  # those that the scores rule out too
+    assert {tuple(d[3].tolist()) for d in everything} == {x + y for x in listed[0] for y in listed[1]} > set(p) and all(d[2] == 0 for d in everything)
 
 
 def test_samples_come_from_the_whole_lattice(spark, vocabulary):
@@ -124,13 +124,32 @@ def test_samples_come_from_the_whole_lattice(spark, vocabulary):
         assert abs(c / n - q) < 5 * math.sqrt(q * (1 - q) / n) + 1e-3
     # A word's length doesn't matter, nor does a lattice's being computed anew.
     word = "unbelievable" * 3000
-    drawn = sentencepieces.draw(vocabulary, *vocabulary.chain([word, "unbel in"]), 3, np.array([1, 2], np.uint64))
+    chains = lambda texts: [vocabulary.runs_of(x) for x in vocabulary.words_of(texts)]
+    drawn = sentencepieces.draw(vocabulary, chains([word, "unbel in"]), 3, np.array([1, 2], np.uint64))
     assert all(vocabulary.decode(s[3]).decode() == t for d, t in zip(drawn, (word, "unbel in"), strict=True) for s in d)
     vocabulary.forget()
-    again = sentencepieces.draw(vocabulary, *vocabulary.chain(["unbel in"]), 3, np.array([2], np.uint64))
+    again = sentencepieces.draw(vocabulary, chains(["unbel in"]), 3, np.array([2], np.uint64))
     assert all(a[:3] == b[:3] and np.array_equal(a[3], b[3]) for a, b in zip(drawn[1], again[0], strict=True))
 
 
+def test_words_give_the_whole_text(vocabulary, monkeypatch):
+    """Canonical ids of a text's words are those of the whole text, also where the table of words overflows; samples don't depend on it."""
+    texts = [t for t in TEXTS if t and "▁" not in t] + ["  two  blanks   here ", "x" * 300 + " y", "a.b,c\nd\te (f) $$$ éß漢字", "the cat " * 50 + "sat"]
+    want = [vocabulary.sp.encode(t) for t in texts]
+    drawn = []
+    for most in (4_000_000, 10):
+        monkeypatch.setattr(sentencepieces, "MOST_EDGES", most)
+        vocabulary.forget()
+        got = []
+        for t in texts + texts:
+            words = vocabulary.words_of([t])
+            got.append(vocabulary.canonical(words[0]).tolist())
+            drawn.append([(*x[:3], x[3].tolist()) for x in sentencepieces.draw(vocabulary, [vocabulary.runs_of(words[0])], 2, np.array([5], np.uint64))[0]])
+        assert got == want + want
+    assert drawn[: 2 * len(texts)] == drawn[2 * len(texts) :]
+    vocabulary.forget()
+
+
 def test_forest_on_held_out_findings():
     forest = secrets.train(secrets.findings(3000, 1))
     held = secrets.findings(2000, 99)

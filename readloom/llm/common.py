@@ -12,12 +12,14 @@ BLANKS = "' \\t\\n\\u000B\\u000C\\r'"  # the same characters, as an SQL literal
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset and the driver is the only machine."""
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
     if not known.isEmpty():
         return known.get()
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="readloom-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -36,5 +38,13 @@ def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_prefix(docs: DataFrame) -> str:
+    """A beginning of names that no column of docs has, whatever the case of its letters."""
+    prefix = "own_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,17 +1,17 @@
 """Quality rules with risk-controlled thresholds, DataFrame operations only.
 
-Each rule gives a document a value in thousandths, higher is worse. For each stratum and rule, cutoffs of a fixed grid are
-tested on labelled holdout documents: a cutoff is certified if the exact binomial upper bound of its rate of rejected good
-documents stays under the rule's share of the risk, at a confidence that is divided by all tests made (Bonferroni), so that any choice
-among certified cutoffs is valid. The most active certified cutoff that rejects more bad than good documents is taken; a stratum without a certified cutoff rejects
-nothing by that rule.
+Each rule gives a document a value in thousandths, higher is worse. For each stratum a sequence of verdicts over all rules together is laid out first, from strict to loose: step t rejects what reaches, by any rule, the
+lowest cutoff at which t percent of the documents there are bad, as estimated from the bad labels and all documents. Labels of good documents have no part in that, so
+they can test the steps: in order, a step is certified if the exact binomial upper bound of its rate of rejected good documents stays under the risk; the first that fails ends the sequence (fixed-sequence
+testing needs no further correction), and confidence is divided by the number of strata (Bonferroni). The last certified step is taken; a stratum without one rejects nothing beyond the base rules. So the risk
+holds for all rules of a stratum together, and certifying a step takes as few good labels as the risk itself allows.
 
 Counting a text's words, repeated windows and lines happens inside its own row with array functions: no shuffle, and a
-text costs n log n at most. Only counts leave the rows.
+text costs n log n at most. Only counts leave the rows; what is joined to all rows is one row for each stratum, broadcast only if it was counted to be FEW at most.
 
 Defined results: a null or empty text has no words and fails the base rules; a repeated row is judged as often as it
-occurs; documents without a label take no part in calibration, an unknown id in labels none either; the label of an id
-that has several is the worst; a null stratum is a stratum of its own; without labels nothing but the base rules rejects.
+occurs; documents without a label take no part in the tests, an unknown id in labels none either; the label of an id
+that has several is the worst; a null stratum is a stratum of its own; without labels nothing but the base rules rejects; columns of any other name pass through.
 Two 3-word windows count as equal if their 64-bit hashes are.
 """
 
@@ -19,12 +19,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.llm.common import BLANKS, cut, table
+from readloom.llm.common import BLANKS, free_prefix, stored, table
 
 RISK, CONFIDENCE = 0.02, 0.95  #: rejected good documents of a stratum, over all rules; certainty of that
+STEPS = (100, 90, 80, 70, 60, 50, 40, 30, 20, 10)  #: percent of bad documents, estimated, from a cutoff on: strict to loose
+FEW = 10_000  #: strata whose cutoffs are broadcast
 GRID = (5, 10, 20, 30, 50, 75, 100, 150, 200, 250, 300, 400, 500, 600, 700, 800, 900, 1000)  #: cutoffs in thousandths
 MIN_WORDS, MAX_REPEAT = 50, 50  #: the contract's base rules
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -88,52 +90,105 @@ def binomial_cdf(x: str, n: str, p: str) -> Column:
     return F.expr(f"case when {x} >= {n} * {p} then 1D else exp({top}) * {ratios} end")
 
 
-def calibrate(features: DataFrame, labels: DataFrame, id_col: str, stratum: str, rules: Sequence[str], risk: float = RISK, confidence: float = CONFIDENCE, grid: Sequence[int] = GRID) -> DataFrame:
-    """features: id, stratum and a value for each rule. A row for each stratum with certified cutoffs: stratum, cutoff_<rule> (null: none).
+def beside(rows: DataFrame, few: DataFrame, stratum: Column) -> DataFrame:
+    """rows with the columns of few, a table with one row for each stratum that was written before. Its size is counted; a table of more than FEW rows is joined by shuffle."""
+    small = F.broadcast(few) if few.count() <= FEW else few
+    return rows.join(small, stratum.eqNullSafe(few["stratum"]), "left")
 
-    labels: id_col and quality (1: good). Bad and good documents are counted for each stratum and rule with partial
-    aggregation; what is left has strata x rules rows."""
+
+def calibrate(features: DataFrame, labels: DataFrame, id_col: str, stratum: str, rules: Sequence[str], risk: float = RISK, confidence: float = CONFIDENCE, grid: Sequence[int] = GRID, steps: Sequence[int] = STEPS) -> DataFrame:
+    """features: id, stratum and a value for each rule. A row for each stratum: stratum, cutoff_<rule> (null: none). labels: id_col and quality (1: good).
+
+    Documents are counted for each stratum, rule and place in the grid with partial aggregation; what is left has strata x rules x places rows."""
     judged = labels.where("quality is not null").groupBy(labels[id_col].alias("label_id")).agg(F.min("quality").alias("quality"))
-    held = features.join(judged, features[id_col] == judged.label_id).select(F.col(stratum).alias("stratum"), "quality", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("value")) for r in rules])).alias("r"))
-    counts = [F.struct(F.lit(g).alias("cutoff"), F.count_if((F.col("r.value") >= g) & (F.col("quality") >= 1)).alias("good"), F.count_if((F.col("r.value") >= g) & (F.col("quality") < 1)).alias("bad")) for g in grid]
-    sums = cut(held.groupBy("stratum", F.col("r.rule").alias("rule")).agg(F.count_if(F.col("quality") >= 1).alias("n"), F.count_if(F.col("quality") < 1).alias("n_bad"), F.array(*counts).alias("tests")))
-    tests = max(1, sums.count() * len(grid))
-    p = f"{risk / len(rules)}D"
-    tried = sums.select("stratum", "rule", F.col("n").cast("double").alias("n"), F.col("n_bad").cast("double").alias("n_bad"), F.inline("tests")).select("stratum", "rule", "n", "n_bad", "cutoff", F.col("good").cast("double").alias("x"), F.col("bad").cast("double").alias("bad"))
-    certified = tried.where((F.col("n") > 0) & (F.col("bad") * F.col("n") > F.col("x") * F.col("n_bad")) & (F.col("bad") > F.col("x"))).where(binomial_cdf("x", "n", p) <= (1 - confidence) / tests)
-    return certified.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cutoff_{r}") for r in rules])
-
-
-def rejected_by(rules: Sequence[str], prefix: str = "") -> Column:
-    """Whether any rule's value reaches its stratum's cutoff."""
+    slim = features.select(features[id_col].alias("id"), features[stratum].alias("of"), F.array(*[features[r].cast("bigint") for r in rules]).alias("values"))
+    held = stored(slim.join(judged, slim.id == judged.label_id, "left").select("of", "values", "quality"))
+    reached = F.expr("case " + " ".join(f"when value >= {g} then {g}L" for g in sorted(grid, reverse=True)) + " end")
+    cells = held.select("of", "quality", F.posexplode("values").alias("rule", "value")).groupBy("of", "rule", reached.alias("cutoff")).agg(F.count("*").alias("n"), F.count("quality").alias("labelled"), F.count_if(F.col("quality") < 1).alias("bad"))
+    every = Window.partitionBy("of", "rule")
+    upward = every.orderBy(F.desc_nulls_last("cutoff")).rowsBetween(Window.unboundedPreceding, 0)
+    cells = cells.select("of", "rule", "cutoff", F.sum("n").over(upward).alias("n"), F.sum("bad").over(upward).alias("bad"), F.sum("n").over(every).alias("all_n"), F.sum("labelled").over(every).alias("all_labelled"))
+    lowest = [F.min(F.when((F.col("bad") > 0) & (100 * F.col("bad") * F.col("all_n") >= t * F.col("all_labelled") * F.col("n")), F.col("cutoff"))) for t in steps]
+    by_rule = cells.groupBy("of", "rule").agg(F.array(*lowest).alias("cutoffs"))
+    plan = stored(by_rule.groupBy(F.col("of").alias("stratum")).agg(F.expr("transform(sort_array(collect_list(struct(rule, cutoffs))), x -> x.cutoffs)").alias("cutoffs")))
+
+    # How many steps pass before one rejects: a later one rejects all that an earlier one does.
+    first = F.expr(f"array_min(transform(sequence(0, {len(rules) - 1}), i -> size(filter(get(cutoffs, i), c -> c is null or get(values, i) < c))))")
+    good = beside(held.where("quality >= 1"), plan, F.col("of")).groupBy("stratum", first.alias("first")).agg(F.count("*").alias("k"))
+    tried = stored(good.groupBy("stratum").agg(F.sum("k").cast("double").alias("n"), *[F.coalesce(F.sum(F.when(F.col("first") <= j, F.col("k"))), F.lit(0)).cast("double").alias(f"x{j}") for j in range(len(steps))]))
+    level = (1 - confidence) / max(1, tried.count())
+    passed = F.lit(len(steps))
+    for j in reversed(range(len(steps))):
+        passed = F.when(binomial_cdf(f"x{j}", "n", f"{risk}D") > level, j).otherwise(passed)
+    last = tried.select(F.col("stratum").alias("of"), (passed - 1).alias("last")).where("last >= 0")
+    return plan.join(last, plan.stratum.eqNullSafe(last.of)).select("stratum", *[F.expr(f"get(get(cutoffs, {i}), last)").alias(f"cutoff_{r}") for i, r in enumerate(rules)])
+
+
+def rejected_by(rules: Sequence[str], values: str = "", cutoffs: str = "cutoff_") -> Column:
+    """Whether any rule's value reaches its stratum's cutoff. values, cutoffs: what their columns' names begin with."""
     out = F.lit(False)
     for r in rules:
-        out = out | F.coalesce(F.col(f"{prefix}{r}") >= F.col(f"cutoff_{r}"), F.lit(False))
+        out = out | F.coalesce(F.col(f"{values}{r}") >= F.col(f"{cutoffs}{r}"), F.lit(False))
     return out
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
     """A row for each row of docs: id, the counts, base_failed, kept and each rule's value and cutoff."""
-    slim = docs.select(docs[id_col].alias("__id"), docs[stratum_col].cast("string").alias("__stratum"), docs[text_col].alias("text"))
+    slim = docs.select(docs[id_col].alias("id"), docs[stratum_col].cast("string").alias("lang"), docs[text_col].alias("text"))
     rows = measured(slim, "text").drop("text").withColumn("base_failed", base_failed()).withColumns(rule_values())
-    rows = cut(rows)  # the counts cost much, and both the calibration and the verdicts need them
-    cutoffs = calibrate(rows.where("not base_failed"), labels.withColumnRenamed(id_col, "__id"), "__id", "__stratum", list(RULES), risk, confidence)
-    out = rows.join(cutoffs, rows["__stratum"].eqNullSafe(cutoffs["stratum"]), "left").drop("stratum")
-    return out.withColumn("kept", ~F.col("base_failed") & ~rejected_by(list(RULES))).withColumnRenamed("__id", id_col).withColumnRenamed("__stratum", "stratum")
+    rows = stored(rows)  # the counts cost much, and both the calibration and the verdicts need them
+    cutoffs = stored(calibrate(rows.where("not base_failed"), labels.withColumnRenamed(id_col, "id"), "id", "lang", list(RULES), risk, confidence))
+    out = beside(rows, cutoffs, F.col("lang")).drop("stratum")
+    return out.withColumn("kept", ~F.col("base_failed") & ~rejected_by(list(RULES))).withColumnRenamed("id", id_col).withColumnRenamed("lang", "stratum")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
-    """The rows of docs that judge() keeps, with the columns of docs. Texts are not shuffled: they are measured again next to the cutoffs."""
-    slim = docs.select(docs[id_col].alias("__id"), docs[stratum_col].cast("string").alias("__stratum"), docs[text_col].alias("text"))
-    rows = measured(slim, "text").drop("text").where(~base_failed()).withColumns(rule_values())
-    cutoffs = cut(calibrate(rows, labels.withColumnRenamed(id_col, "__id"), "__id", "__stratum", list(RULES), risk, confidence))
-    p = "__q_"
-    full = measured(docs, text_col, p).where(~base_failed(p)).withColumns({f"{p}{r}": c for r, c in rule_values(p).items()})
-    full = full.join(cutoffs, full[stratum_col].cast("string").eqNullSafe(cutoffs["stratum"]), "left").where(~rejected_by(list(RULES), p))
-    return full.select(*[full[c] for c in docs.columns])
+    """The rows of docs that judge() keeps, with the columns of docs. What passes the base rules is written once with its values, for the calibration and for the verdicts; texts are not shuffled."""
+    p = free_prefix(docs)
+    rows = measured(docs, text_col, p).where(~base_failed(p)).withColumns({f"{p}{r}": c for r, c in rule_values(p).items()})
+    rows = stored(rows.withColumn(f"{p}of", F.col(f"`{stratum_col}`").cast("string")).drop(*[f"{p}{n}" for n in COUNTS]))
+    slim = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(f"{p}of").alias("lang"), *[F.col(f"{p}{r}").alias(r) for r in RULES])
+    cutoffs = stored(calibrate(slim, labels.withColumnRenamed(id_col, "id"), "id", "lang", list(RULES), risk, confidence).select("stratum", *[F.col(f"cutoff_{r}").alias(f"{p}cutoff_{r}") for r in RULES]))
+    names = [f"`{c}`" for c in docs.columns]
+    kept = beside(rows.withColumnsRenamed({c: f"{p}own_{i}" for i, c in enumerate(docs.columns)}), cutoffs, F.col(f"{p}of")).where(~rejected_by(list(RULES), p, f"{p}cutoff_"))
+    return kept.select(*[F.col(f"{p}own_{i}").alias(c.strip("`")) for i, c in enumerate(names)])
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     """The contract's columns of judge() over the whole table documents, calibrated on the whole table labels."""
     out = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum", *RULES, *[f"cutoff_{r}" for r in RULES])
+
+
+def _sql() -> str:
+    rules = list(RULES)
+    values = {"symbols": "1000 * n_symbols // greatest(word_chars, 1)", "dup_lines": "1000 * n_dup_lines // greatest(n_lines, 1)", "repeats": "1000 * n_repeat_words // greatest(n_words, 1)", "long_words": "least(1000, 20 * word_chars // greatest(n_words, 1))"}
+    grid = "[" + ", ".join(map(str, GRID)) + "]"
+    cdf = f"list_sum(list_transform(range(0, CAST(x AS BIGINT) + 1), lambda i: exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({RISK}) + (n - i) * ln(1 - {RISK}))))"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rn, doc_id, lang, text, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM d),
+l AS (SELECT rn, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT rn, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY 1),
+g AS (SELECT rn, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 3),
+r AS (SELECT rn, i FROM (SELECT rn, i, count(*) OVER (PARTITION BY rn, g) AS k FROM g) WHERE k > 1),
+p AS (SELECT rn, CAST(sum(least(3, coalesce(nxt - i, 3))) AS BIGINT) AS n_repeat_words FROM (SELECT rn, i, lead(i) OVER (PARTITION BY rn ORDER BY i) AS nxt FROM r) GROUP BY 1),
+m AS (SELECT w.rn, doc_id, lang AS stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN l USING (rn) LEFT JOIN p USING (rn)),
+f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words AS base_failed, {", ".join(f"CAST({values[r]} AS BIGINT) AS {r}" for r in rules)} FROM m),
+j AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY 1),
+h AS (SELECT f.stratum, [{", ".join(rules)}] AS v, quality FROM f LEFT JOIN j ON f.doc_id = j.doc_id WHERE NOT base_failed),
+e AS (SELECT stratum, quality, unnest(v) AS value, unnest(range(0, {len(rules)})) AS rule FROM h),
+c AS (SELECT stratum, rule, list_max(list_filter({grid}, lambda g: g <= value)) AS cutoff, count(*) AS n, count(quality) AS labelled, count(*) FILTER (quality < 1) AS bad FROM e GROUP BY 1, 2, 3),
+u AS (SELECT stratum, rule, cutoff, sum(n) OVER up AS n, sum(bad) OVER up AS bad, sum(n) OVER (PARTITION BY stratum, rule) AS all_n, sum(labelled) OVER (PARTITION BY stratum, rule) AS all_labelled FROM c WINDOW up AS (PARTITION BY stratum, rule ORDER BY cutoff DESC NULLS LAST ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT unnest([{", ".join(map(str, STEPS))}]) AS t, unnest(range(0, {len(STEPS)})) AS step),
+k AS (SELECT stratum, step, {", ".join(f"min(cutoff) FILTER (rule = {i} AND bad > 0 AND 100 * bad * all_n >= t * all_labelled * n) AS c{i}" for i in range(len(rules)))} FROM u, s GROUP BY 1, 2),
+x AS (SELECT k.stratum, k.step, count(*) AS n, count(*) FILTER ({" OR ".join(f"coalesce(v[{i + 1}] >= c{i}, false)" for i in range(len(rules)))}) AS x FROM h JOIN k ON h.stratum IS NOT DISTINCT FROM k.stratum WHERE quality >= 1 GROUP BY 1, 2),
+t AS (SELECT stratum, step, x >= n * {RISK} OR {cdf} > {1 - CONFIDENCE} / (SELECT count(*) FROM (SELECT DISTINCT stratum FROM x)) AS failed FROM x),
+b AS (SELECT stratum, coalesce(min(step) FILTER (failed), {len(STEPS)}) - 1 AS last FROM t GROUP BY 1),
+z AS (SELECT k.* FROM k JOIN b ON k.stratum IS NOT DISTINCT FROM b.stratum AND k.step = b.last)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({" OR ".join(f"coalesce({r} >= c{i}, false)" for i, r in enumerate(rules))}) AS kept,
+  f.stratum, {", ".join(rules)}, {", ".join(f"CAST(c{i} AS BIGINT) AS cutoff_{r}" for i, r in enumerate(rules))} FROM f LEFT JOIN z ON f.stratum IS NOT DISTINCT FROM z.stratum
+"""
+
+
+OP4_SQL = _sql()

@@ -114,26 +114,53 @@ def test_cutoffs_hold_the_risk(spark):
 def test_chat_round_trip(spark):
     turns = [
         (1, 0, "user", "</s>[INST] <|end|> \\l \\\\b \\ ["), (1, 1, "assistant", "é\\"), (1, 2, "user", None), (1, 3, "Assistant", "two"), (1, 4, "user", "last"),
-        (2, 0, "user", "alone"), (3, 0, "assistant", ""), (4, None, None, "x"), (4, 1, "assistant", "y"), (4, 1, "assistant", "y"), (None, 0, "we<ird|>", "z"), (None, 1, "assistant", "w" * 100_000),
+        (2, 0, "user", "alone"), (3, 0, "assistant", ""), (4, None, None, "x"), (4, 1, "assistant", "y"), (4, 1, "assistant", "y"), (None, 0, "we<ird|>", "z"), (None, 1, "assistant", "w" * 100_000), (None, 1, "assistant", "w"),
     ]
-    df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").selectExpr("*", "1 as formatted", "2 as examples")
+    df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").selectExpr("*", "1 as formatted", "2 as examples", "3 as row")
     made = chat.format_conversations(df)
-    back = {r.conv_id: r for r in chat.read_back(made).collect()}
-    examples = chat.expand_targets(made).collect()
-    for c in {t[0] for t in turns}:
+    back = {(r.conv_id, r.formatted): r for r in chat.read_back(made).collect()}
+    examples = chat.replies(chat.expand_targets(made.withColumn("whole", made.formatted))).collect()
+    assert sum(c is None for c, _ in back) == 3 and len(back) == 7
+    for (c, formatted), r in back.items():
         own = sorted(((t[1], t[2] or "", t[3] or "") for t in turns if t[0] == c), key=lambda x: (x[0] is not None, x[0], x[1], x[2]))
-        assert [(t.role, t.text) for t in back[c].turns] == [(r, x) for _, r, x in own]
-        replies = [x for _, r, x in own if r.lower() == "assistant"]
-        assert back[c].loss_texts == replies
-        mine = sorted((e for e in examples if e.conv_id == c), key=lambda e: e.chars)
-        assert sum(e.target is not None for e in mine) == len(replies)
+        if c is None:
+            own = [x for x in own if x[1:] == tuple(r.turns[0])]
+        assert [(t.role, t.text) for t in r.turns] == [(a, x) for _, a, x in own]
+        replies = [x for _, a, x in own if a.lower() == "assistant"]
+        mine = sorted((e for e in examples if e.whole == formatted), key=lambda e: e.chars)
+        assert [e.reply for e in mine if e.target is not None] == replies
         for e in mine:
-            assert back[c].formatted.startswith(e.prompt + e.completion) and len(e.prompt + e.completion) == e.chars
+            assert formatted[: e.context_chars] == e.prompt and formatted[e.context_chars : e.chars] == e.completion
             if e.target is not None:
                 assert e.completion.endswith(chat.END) and e.completion.count("<") == 1
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_chat_mask_decides(spark):
+    """Replies are what the mask covers; a mask that is off gives other text or an error, never the turn that was meant."""
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(1, 0, "user", "ab"), (1, 1, "assistant", "cdef")], "conv_id bigint, turn bigint, role string, text string")
+    made = chat.format_conversations(rows)
+    moved = made.withColumn("examples", F.expr("transform(examples, e -> struct(e.target, e.context_chars + 1 as context_chars, e.chars))"))
+    assert [r.reply for r in chat.replies(chat.expand_targets(moved)).collect()] == ["def"]
+    for wrong in ("struct(e.target, e.context_chars, e.chars - 1 as chars)", "struct(e.target, 0L as context_chars, e.chars)", "struct(e.target - 1 as target, e.context_chars, e.chars)"):
+        with pytest.raises(Exception, match="loss mask"):
+            chat.expand_targets(made.withColumn("examples", F.expr(f"transform(examples, e -> {wrong})"))).collect()
+
+
+def test_chat_long_conversation(spark, tmp_path):
+    """80,000 turns of one conversation, which took a minute when each turn copied all places before it."""
+    import time
+
+    rows = spark.range(80_000).selectExpr("7L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('text <', id) as text")
+    rows.write.parquet(str(tmp_path / "conversations.parquet"))
+    begin = time.time()
+    out = {r.conv_id: r for r in chat.op5_chat_format(spark, str(tmp_path)).collect()}
+    loss = "".join(f"text <{i}" for i in range(1, 80_000, 2))
+    assert out[7].n_turns == 80_000 and out[7].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest() and time.time() - begin < 30
+
+
 def test_chat_query_digest(spark, tmp_path):
     spark.createDataFrame([(5, 0, "user", "a"), (5, 1, "assistant", "b<")], "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     out = {r.conv_id: r for r in chat.op5_chat_format(spark, str(tmp_path)).collect()}
@@ -176,3 +203,56 @@ def test_long_license_expressions_are_read_to_their_line_end():
     for behind in ("", "\nmore text"):
         row = licenses.scan(("SPDX-License-Identifier: " + "MIT OR " * 500 + "Apache-2.0 AND GPL-3.0-only" + behind).encode())
         assert "gpl-3.0-only" in row[5].lower() and row[7][0]["text"].lower().endswith("gpl-3.0-only")
+
+
+def quality_corpus(spark, tmp_path):
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(2400):
+        bad = rng.random() < 0.1
+        words = ["".join(rng.choices("abcdefghij", k=rng.randrange(3, 9))) for _ in range(rng.randrange(55, 80))]
+        if bad:
+            for _ in range(rng.randrange(8, 30)):
+                words.insert(rng.randrange(len(words)), rng.choice(["$$$", "###", "<|>"]))
+        text = " ".join(words) + ("\n#" if rng.random() < 0.1 else "")
+        rows.append((i, text, ("a", "b", None)[i % 3], "s", 1, i, "k", 5))
+        if i % 4:
+            labels.append((i, int(not bad), 0))
+    docs = spark.createDataFrame([*rows, (rows[0][0], *rows[0][1:]), (None, None, None, None, None, None, None, None)], "doc_id bigint, text string, lang string, source string, n_chars bigint, own_symbols bigint, cutoff_symbols string, n_words bigint")
+    labels = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    return docs, labels, {r[0]: r for r in rows}
+
+
+def test_quality_certifies_every_stratum(spark, tmp_path):
+    """Cutoffs in each stratum, rejected good documents of all rules together within the risk, the query equal to its SQL, and columns of clashing names kept."""
+    import duckdb
+
+    docs, labels, _ = quality_corpus(spark, tmp_path)
+    out = quality.judge(docs, labels).collect()
+    quality_of = {r.doc_id: r.quality for r in labels.collect()}
+    for s in ("a", "b", None):
+        own = [r for r in out if r.stratum == s and not r.base_failed]
+        assert own[0].cutoff_symbols is not None
+        good = [r.kept for r in own if quality_of.get(r.doc_id) == 1]
+        bad = [r.kept for r in own if quality_of.get(r.doc_id) == 0]
+        assert good.count(False) <= 0.02 * len(good) and bad.count(True) < 0.2 * len(bad)
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and sorted(kept.collect(), key=str) == sorted((r for r in docs.collect() if r.doc_id in {x.doc_id for x in out if x.kept}), key=str)
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    query = quality.op4_quality_rules(spark, str(tmp_path))
+    expected = con.execute(quality.OP4_SQL)
+    order = [[c[0] for c in expected.description].index(c) for c in query.columns]
+    assert sorted(map(tuple, query.collect()), key=str) == sorted((tuple(r[i] for i in order) for r in expected.fetchall()), key=str)
+
+
+def test_quality_bound_without_enough_labels(spark):
+    """No cutoff where too few good labels bound the risk."""
+    rows = [(i, "s", 900 if i % 10 == 0 else 0) for i in range(200)]
+    features = spark.createDataFrame(rows, "id bigint, stratum string, noise bigint")
+    labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(100)], "id bigint, quality int")
+    assert [r.cutoff_noise for r in quality.calibrate(features, labels, "id", "stratum", ["noise"]).collect()] in ([], [None])
+    assert [r.cutoff_noise for r in quality.calibrate(features, labels, "id", "stratum", ["noise"], risk=0.2).collect()] == [900]

@@ -1,7 +1,7 @@
 r"""Line dedup by a deletion-neighbourhood join, DataFrame operations only.
 
 Lines are what stands between \n; lines without a word are never touched. Of equal lines the earliest stays, by (doc_id, line number). A line of
-NEAR_WORDS words or more also goes if an earlier line of as many words at least lies within one edit of it, where an edit inserts, removes or replaces one word. Lines
+near_words words or more (NEAR_WORDS; 2 at least) also goes if an earlier line of as many words at least lies within one edit of it, where an edit inserts, removes or replaces one word. Lines
 are compared with all earlier ones, those that go included, so the result doesn't depend on an order of work.
 
 Emitting each word-deletion of each line would multiply the corpus, so lines first meet on a cheaper key that any pair within the bound shares: one edit
@@ -19,9 +19,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import cut, stored, table
+from readloom.llm.common import cut, free_prefix, stored, table
 
-NEAR_WORDS = 8  #: shorter lines are only compared for equality: one word is too much of them
+NEAR_WORDS = 8  #: shorter lines are only compared for equality by default: one word is too much of them
 _GAP = r"[\\x20\\x09-\\x0D]+"
 
 
@@ -31,7 +31,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return out.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(7), "line")})
 
 
-def _meeting_keys() -> str:
+def _meeting_keys(near_words: int) -> str:
     """SQL for the keys that a line of words w meets others on. A power of two also belongs with the lines that are a word shorter."""
 
     def both(k: str) -> str:
@@ -39,7 +39,7 @@ def _meeting_keys() -> str:
         return f"xxhash64('first', {k}, slice(w, 1, {h})), xxhash64('last', {k}, slice(w, size(w) - {h} + 1, {h}))"
 
     k = "cast(floor(log2(size(w))) as int)"
-    return f"case when size(w) < {NEAR_WORDS} then cast(array() as array<bigint>) when pow(2, {k}) = size(w) then array({both(k)}, {both(f'({k} - 1)')}) else array({both(k)}) end"
+    return f"case when size(w) < {max(2, near_words)} then cast(array() as array<bigint>) when pow(2, {k}) = size(w) then array({both(k)}, {both(f'({k} - 1)')}) else array({both(k)}) end"
 
 
 def near_lines(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -48,8 +48,9 @@ def near_lines(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str)
     met = keyed.groupBy("key").agg(F.min(F.struct("doc", "no")).alias("a"), F.max(F.struct("doc", "no")).alias("b")).where("not a <=> b").select("key")
     suspects = keyed.join(met, "key", "left_semi").groupBy("doc").agg(F.collect_set("no").alias("nos"))
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    taken = texts.join(suspects, texts.id.eqNullSafe(suspects.doc)).select("doc", F.explode("nos").alias("no"), F.split("text", "\n").alias("all"))
-    lines = stored(taken.select("doc", "no", F.expr(f"array_remove(split(get(all, no), '{_GAP}'), '')").alias("w")).where("w is not null").groupBy("doc", "no").agg(F.min("w").alias("w")))
+    # A text is split once, whatever the number of its lines that are wanted.
+    taken = texts.join(suspects, texts.id.eqNullSafe(suspects.doc)).select("doc", F.inline(F.expr("flatten(transform(array(split(text, '\\n')), all -> transform(nos, n -> struct(n as no, get(all, n) as line))))")))
+    lines = stored(taken.select("doc", "no", F.expr(f"array_remove(split(line, '{_GAP}'), '')").alias("w")).where("w is not null").groupBy("doc", "no").agg(F.min("w").alias("w")))
 
     words = lines.repartition("doc", "no").select("doc", "no", F.posexplode("w").alias("i", "word"))
     own = "over (partition by doc, no)"
@@ -84,10 +85,10 @@ def within_one_edit(a: str, b: str):
       when size({a}) + 1 = size({b}) then slice({a}, cast({at} as int), size({a})) = slice({b}, cast({at} as int) + 1, size({b})) else false end""")
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near_words: int = NEAR_WORDS) -> DataFrame:
     """doc, removed (sorted numbers of its lines that go, from 0), n_near (how many of them equal no earlier line): for each document that loses a line."""
     lines = _lines(docs, id_col, text_col)
-    keys = lines.withColumn("w", F.expr(f"array_remove(split(line, '{_GAP}'), '')")).select("doc", "no", "h1", "h2", F.expr(_meeting_keys()).alias("keys"))
+    keys = lines.withColumn("w", F.expr(f"array_remove(split(line, '{_GAP}'), '')")).select("doc", "no", "h1", "h2", F.expr(_meeting_keys(near_words)).alias("keys"))
     distinct = stored(keys.groupBy("h1", "h2").agg(F.min(F.struct("doc", "no")).alias("at"), F.max(F.struct("doc", "no")).alias("last"), F.any_value("keys").alias("keys")).select("h1", "h2", "at.doc", "at.no", (~F.col("at").eqNullSafe(F.col("last"))).alias("again"), "keys"))
     near = cut(near_lines(distinct, docs, id_col, text_col).select(F.col("doc").alias("near_of"), F.col("no").alias("near_at")))
     # What repeats and what is near an earlier line decides; all other lines stay.
@@ -98,15 +99,35 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return hit.groupBy("doc").agg(F.sort_array(F.collect_set("no")).alias("removed"), F.size(F.collect_set(F.when(first, F.col("no")))).alias("n_near"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near_words: int = NEAR_WORDS) -> DataFrame:
     """docs, same columns and rows, without the lines that removed_lines() names."""
-    gone = removed_lines(docs, id_col, text_col).select(F.col("doc").alias("__doc"), F.col("removed").alias("__removed"))
-    out = docs.join(gone, docs[id_col].eqNullSafe(gone["__doc"]), "left")
-    text = F.expr(f"case when __removed is null then cast(`{text_col}` as string) else array_join(filter(split(cast(`{text_col}` as string), '\\n'), (x, i) -> not array_contains(__removed, i)), '\\n') end")
-    return out.withColumn(text_col, text).select(*docs.columns)
+    p = free_prefix(docs)
+    gone = removed_lines(docs, id_col, text_col, near_words).select(F.col("doc").alias(f"{p}doc"), F.col("removed").alias(f"{p}removed"))
+    out = docs.join(gone, docs[id_col].eqNullSafe(gone[f"{p}doc"]), "left")
+    # Numbers of lines that stay by one set difference; the text is split once.
+    left = f"array_join(flatten(transform(array(split(cast(`{text_col}` as string), '\\n')), all -> transform(array_except(sequence(0, size(all) - 1), {p}removed), i -> get(all, i)))), '\\n')"
+    text = F.expr(f"case when {p}removed is null then cast(`{text_col}` as string) else {left} end")
+    return out.withColumn(text_col, text).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """What removed_lines() decides over the whole table documents: doc_id, n_removed, n_near, first_removed, last_removed, removed."""
+    """What removed_lines() decides over the whole table documents: doc_id, n_removed, n_near, removed (numbers of lines)."""
     out = removed_lines(table(spark, sf_dir, "documents"))
     return out.select(F.col("doc").alias("doc_id"), F.size("removed").cast("bigint").alias("n_removed"), F.col("n_near").cast("bigint").alias("n_near"), F.array_join("removed", ",").alias("removed"))
+
+
+OP10_SQL = rf"""
+WITH d AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS no FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, no, line, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+o AS (SELECT DISTINCT doc_id, no, line, w, dense_rank() OVER (ORDER BY doc_id NULLS FIRST, no) AS ord FROM l),
+f AS (SELECT line, min(ord) AS ord, any_value(w) AS w FROM o GROUP BY 1),
+k AS (SELECT ord, array_to_string(w, ' ') AS own FROM f WHERE len(w) >= {NEAR_WORDS}),
+v AS (SELECT ord, i, array_to_string(w[1:i - 1] || w[i + 1:], ' ') AS v FROM (SELECT ord, w, unnest(range(1, len(w) + 1)) AS i FROM f WHERE len(w) >= {NEAR_WORDS})),
+near AS (
+  SELECT v.ord FROM v JOIN (SELECT v, i, min(ord) AS low FROM v GROUP BY 1, 2) g ON v.v = g.v AND v.i = g.i WHERE g.low < v.ord
+  UNION SELECT v.ord FROM v JOIN (SELECT own, min(ord) AS low FROM k GROUP BY 1) g ON v.v = g.own WHERE g.low < v.ord
+  UNION SELECT k.ord FROM k JOIN (SELECT v, min(ord) AS low FROM v GROUP BY 1) g ON k.own = g.v WHERE g.low < k.ord
+  UNION SELECT k.ord FROM k JOIN (SELECT own, min(ord) AS low FROM k GROUP BY 1) g ON k.own = g.own WHERE g.low < k.ord),
+h AS (SELECT o.doc_id, o.no, o.ord = f.ord AS first FROM o JOIN f ON o.line = f.line WHERE o.ord <> f.ord OR f.ord IN (SELECT ord FROM near))
+SELECT doc_id, count(*) AS n_removed, count(*) FILTER (first) AS n_near, string_agg(CAST(no AS VARCHAR), ',' ORDER BY no) AS removed FROM h GROUP BY 1
+"""

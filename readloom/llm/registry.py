@@ -16,4 +16,4 @@ QUERIES = {
     "op9_license_scan": licenses.op9_license_scan,
     "op10_line_dedup": lines.op10_line_dedup,
 }
-ORACLES = {"op1_ngram_jaccard": jaccard.OP1_SQL, "op3_topk_search": topk.OP3_SQL, "op4_quality_rules": quality.OP4_SQL, "op5_chat_format": chat.OP5_SQL}
+ORACLES = {"op1_ngram_jaccard": jaccard.OP1_SQL, "op3_topk_search": topk.OP3_SQL, "op4_quality_rules": quality.OP4_SQL, "op5_chat_format": chat.OP5_SQL, "op10_line_dedup": lines.OP10_SQL}

@@ -115,8 +115,8 @@ def test_components(spark):
     assert out == {x: root(x) for a, b in chain for x in (a, b) if a != b}
 
 
-def near(a, b):
-    if abs(len(a) - len(b)) > 1 or min(len(a), len(b)) < lines.NEAR_WORDS:
+def near(a, b, near_words=lines.NEAR_WORDS):
+    if abs(len(a) - len(b)) > 1 or min(len(a), len(b)) < near_words:
         return False
     if len(a) < len(b):
         a, b = b, a
@@ -125,14 +125,14 @@ def near(a, b):
     return any(a[:i] + a[i + 1 :] == b for i in range(len(a)))
 
 
-def brute_lines(rows):
+def brute_lines(rows, near_words=lines.NEAR_WORDS):
     """doc_id to its numbers of lines that go."""
     split = lambda s: [w for w in re.split(r"[\x20\x09-\x0D]+", s) if w]
     at = sorted({((i is not None, i), n, line) for i, text, *_ in rows if text is not None for n, line in enumerate(text.split("\n")) if split(line)})
     gone, seen = defaultdict(set), []
     for (_, i), n, line in at:
         w = split(line)
-        if any(line == x or near(w, v) for x, v in seen):
+        if any(line == x or near(w, v, near_words) for x, v in seen):
             gone[i].add(n)
         seen.append((line, w))
     return {i: sorted(v) for i, v in gone.items()}
@@ -169,6 +169,27 @@ def test_lines_against_brute_force(spark):
     assert lines.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_short_lines_take_part(spark):
+    rng = random.Random(3)
+    rows = [(i, "\n".join(" ".join(rng.choices("abc", k=rng.randrange(1, 6))) for _ in range(rng.randrange(1, 4)))) for i in range(40)]
+    assert {r.doc: r.removed for r in lines.removed_lines(frame(spark, rows), near_words=2).collect()} == brute_lines(rows, 2)
+    rows = [(i, "\n".join(" ".join(rng.choices("abcdef", k=rng.randrange(3, 6))) for _ in range(rng.randrange(1, 3)))) for i in range(60)]
+    assert {r.doc: r.removed for r in lines.removed_lines(frame(spark, rows), near_words=4).collect()} == brute_lines(rows, 4)
+
+
+def test_a_document_of_many_lines(spark):
+    """100,000 near lines in one text, and clashing names of columns."""
+    import time
+
+    n = 100_000
+    text = "\n".join(f"a b c d e f g h{i // 2} i{i}" for i in range(n))
+    docs = spark.createDataFrame([(1, text, 2, "x", 3), (2, "own line", 2, "y", 4)], "doc_id bigint, text string, own_removed bigint, __removed string, doc bigint")
+    begin = time.time()
+    out = {r.doc_id: r for r in lines.dedup_lines(docs).collect()}
+    assert out[1].text == "\n".join(text.split("\n")[::2]) and out[2].text == "own line" and time.time() - begin < 60
+    assert lines.dedup_lines(docs).columns == docs.columns and out[2].own_removed == 2 and out[1]["__removed"] == "x"
+
+
 def test_within_one_edit(spark):
     cases = [("", ""), ("a", ""), ("a b", "a"), ("a b", "b"), ("a b c", "a x c"), ("a b c", "x y c"), ("a b", "b a"), ("a", "b c"), ("a b c d", "a c d"), ("a a", "a")]
     rows = spark.createDataFrame([(a.split(), b.split()) for a, b in cases], "a array<string>, b array<string>").select(lines.within_one_edit("a", "b"), lines.within_one_edit("b", "a")).collect()

@@ -123,6 +123,16 @@ def _head(text: str) -> str:
     return " ".join(tokens)
 
 
+def _behind(raw: bytes, tags: list[int]) -> Iterator[str]:
+    """For each tag, by the number of its first word, the rest of the line that its last word stands in, without what parts a tag from its expression."""
+    kept = np.concatenate([[False], np.isin(np.frombuffer(raw.translate(_FOLD), np.uint8), np.frombuffer(_KEEP, np.uint8)), [False]])
+    ends = np.flatnonzero(kept[:-1] & ~kept[1:])  # of words
+    for i in tags:
+        at = int(ends[i + TAG.count(" ")])
+        stop = raw.find(b"\n", at)
+        yield raw[at : stop if stop >= 0 else len(raw)].decode("utf-8", "replace").lstrip(" \t\r:=")
+
+
 def scan(raw: bytes, allowed: frozenset[str] = PERMISSIVE) -> tuple:
     """One text's row of SCHEMA without its id."""
     words = raw.translate(_FOLD).split()
@@ -139,11 +149,10 @@ def scan(raw: bytes, allowed: frozenset[str] = PERMISSIVE) -> tuple:
     for label_weight in {(BASE[p], BASE_WEIGHT) if p in BASE else NOTICES[p] for _, p in places if p != TAG}:
         miss *= 1 - label_weight[1]
     labels = {x[0] for x in spans}
-    if any(p == TAG for _, p in places):
-        text = raw.decode("utf-8", "replace")
-        for m in re.finditer(r"(?i)spdx[^a-z0-9\n]*licen[sc]e[^a-z0-9\n]*identifier\s*[:=]?\s*", text):
-            stop = text.find("\n", m.end())
-            head = _head(text[m.end() : stop if stop >= 0 else len(text)])
+    tags = [i for i, p in places if p == TAG]
+    if tags:
+        for behind in _behind(raw, tags):
+            head = _head(behind)
             if head and (found := evaluate(head, allowed)):
                 expressions.append({"text": head, "ids": found[0], "permitted": found[1]})
                 labels |= {x for x in found[0] if "," not in x}
@@ -170,6 +179,19 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.select(docs[id_col].cast("bigint"), docs[text_col].cast("string")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
+BASE_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+h AS (SELECT doc_id, w, list_filter(range(0, len(w)), lambda i: w[i + 2] = 'license' AND w[i + 1] IN ('mit', 'apache')) || list_filter(range(0, len(w)), lambda i: w[i + 1] = 'general' AND w[i + 2] = 'public' AND w[i + 3] = 'license') AS hits FROM w)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(hits) AS BIGINT) AS n_base, list_min(hits) AS first_word, list_max(hits) AS last_word,
+  coalesce(array_to_string(list_sort(list_distinct(list_transform(hits, lambda i: CASE w[i + 1] WHEN 'general' THEN 'gpl' ELSE w[i + 1] END))), ','), '') AS base_labels FROM h
+"""
+
+
+def license_base(spark, sf_dir: str) -> DataFrame:
+    """The base columns of op9_license_scan, which SQL can express; labels, score, expressions and spans are the method's own."""
+    return op9_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def op9_license_scan(spark, sf_dir: str) -> DataFrame:
     """The contract's digest of scan_licenses over the whole table documents."""
     from readloom.llm.common import table

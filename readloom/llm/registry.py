@@ -15,5 +15,8 @@ QUERIES = {
     "op8_suffix_dedup": suffixes.op8_suffix_dedup,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_line_dedup": lines.op10_line_dedup,
+    # Those parts of op6 and op9 that SQL can express.
+    "mixing_weights": mixing.mixing_weights,
+    "license_base": licenses.license_base,
 }
-ORACLES = {"op1_ngram_jaccard": jaccard.OP1_SQL, "op3_topk_search": topk.OP3_SQL, "op4_quality_rules": quality.OP4_SQL, "op5_chat_format": chat.OP5_SQL, "op10_line_dedup": lines.OP10_SQL}
+ORACLES = {"op1_ngram_jaccard": jaccard.OP1_SQL, "op3_topk_search": topk.OP3_SQL, "op4_quality_rules": quality.OP4_SQL, "op5_chat_format": chat.OP5_SQL, "op10_line_dedup": lines.OP10_SQL, "mixing_weights": mixing.WEIGHTS_SQL, "license_base": licenses.BASE_SQL}

@@ -210,7 +210,7 @@ def brute_weights(tokens, budget, max_repeats, part):
     low, high = 0.0, 1.0
     if fits(0.0):
         return 0.0, weights(0.0)
-    for _ in range(mixing.STEPS):
+    for _ in range(60):
         mid = (low + high) / 2
         low, high = (low, mid) if fits(mid) else (mid, high)
     return high, weights(high)
@@ -248,6 +248,21 @@ def test_mixing_weights_and_budgets(spark, budget, max_repeats, part):
     assert mixed.columns == docs.columns and mixed.count() == sum(r["__copies"] for r in drawn)
 
 
+def test_mixing_clashing_names_and_long_texts(spark):
+    rows = [(i, "w " * (200_000 if i == 3 else 5), "x" if i % 4 else "y", 1, 2, 3, 4) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, __copies int, __src int, src int, own_copies int")
+    out = mixing.mix(docs)
+    assert out.columns == docs.columns and {tuple(r) for r in out.collect()} <= set(rows)
+
+
+def test_mixing_many_sources(spark):
+    """No row holds all sources: more sources than are broadcast, with ties."""
+    n = mixing.FEW + 500
+    sizes = spark.range(n).selectExpr("cast(id as string) as src", "1L as docs", "1 + id % 7 as tokens")
+    out = mixing.source_weights(sizes).agg({"weight": "sum", "src": "count"}).first()
+    assert out[0] == pytest.approx(1.0) or out[1] == pytest.approx(1.0)
+
+
 def test_mixing_edges(spark):
     docs = frame(spark, [(1, "a b", "en", "x"), (1, "a b", "en", "x"), (2, "c", "en", "x")])
     assert mixing.mix(docs).count() >= 2 and mixing.mix(docs.limit(0)).count() == 0

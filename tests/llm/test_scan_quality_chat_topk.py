@@ -256,3 +256,32 @@ def test_quality_bound_without_enough_labels(spark):
     labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(100)], "id bigint, quality int")
     assert [r.cutoff_noise for r in quality.calibrate(features, labels, "id", "stratum", ["noise"]).collect()] in ([], [None])
     assert [r.cutoff_noise for r in quality.calibrate(features, labels, "id", "stratum", ["noise"], risk=0.2).collect()] == [900]
+
+
+def test_license_tags_are_where_the_automaton_found_them():
+    cases = [
+        ("SPDX-License-Identifier: MIT", "mit"), ("// spdx license identifier = Apache-2.0 OR MIT */", "apache-2.0,mit"), ("SPDX_LICENSE_IDENTIFIER:\tISC\r\nGPL-2.0", "isc"), ("SPDX\nLicense\nIdentifier: Zlib", "zlib"),
+        ("spdx license identifiers: MIT", ""), ("SPDX-License-Identifier:\nMIT", ""), ("é SPDX-License-Identifier: 0BSD é", "0bsd"), ("SPDX-License-Identifier: MIT SPDX-License-Identifier: ISC", "isc,mit"), ("SPDX-License-Identifier:", ""),
+    ]
+    for text, labels in cases:
+        assert licenses.scan(text.encode())[5] == labels, text
+    row = licenses.scan(("SPDX-License-Identifier: " + " OR ".join(f"License-{i}" for i in range(400))).encode())
+    assert len(row[5].split(",")) == 400
+
+
+def test_license_labels_and_score_exactly():
+    row = licenses.scan(TEXTS[7].encode())
+    assert row[4] == "" and row[5] == "apache-2.0,gpl-3.0-only,mit" and row[6] == 0.9 and row[7][0]["ids"] == ["apache-2.0", "gpl-3.0-only", "mit"] and row[7][0]["permitted"] is False
+    row = licenses.scan(b"BSD license, MIT license")
+    assert row[4:7] == ("mit", "bsd,mit", round(1 - 0.4 * 0.4, 6)) and [x["first_word"] for x in row[8]] == [0, 2]
+
+
+def test_license_base_columns_against_sql(spark, docs, tmp_path):
+    import duckdb
+
+    docs.where("doc_id is not null").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    expected = con.execute(licenses.BASE_SQL).fetchall()
+    out = licenses.license_base(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, out), key=str) == sorted(expected, key=str)

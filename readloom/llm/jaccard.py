@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import cut, stored, table
+from readloom.llm.common import cut, free_prefix, stored, table
 from readloom.llm.graph import components
 from readloom.llm.shingles import set_prints, shingle_sets
 
@@ -277,11 +277,12 @@ def ngram_jaccard(documents: DataFrame, width: int = 5, num: int = 80, den: int
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc")).alias("component_id"))
 
 
-def one_of_each_group(documents: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """documents, same columns, with the row of the smallest doc_id of each component only; rows without doc_id stay."""
-    found = ngram_jaccard(documents, width, num, den, id_col, text_col)
-    extra = found.where(f"`{id_col}` is not null and `{id_col}` <> component_id").select(F.col(id_col).alias("__gone")).distinct()
-    return documents.join(extra, documents[id_col].cast("bigint") == extra["__gone"], "left_anti")
+def one_of_each_group(documents: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", judged: DataFrame | None = None) -> DataFrame:
+    """documents, same columns, with the row of the smallest doc_id of each component only; rows without doc_id stay. judged: ids and texts to link them by, if not their own."""
+    found = ngram_jaccard(documents if judged is None else judged, width, num, den, id_col, text_col)
+    name = f"{free_prefix(documents)}gone"
+    extra = found.where(f"`{id_col}` is not null and `{id_col}` <> component_id").select(F.col(id_col).alias(name)).distinct()
+    return documents.join(extra, documents[id_col].cast("bigint") == extra[name], "left_anti")
 
 
 def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

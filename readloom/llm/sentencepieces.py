@@ -1,19 +1,19 @@
 """SentencePiece encoding and decoding, with distinct sampled segmentations: Gumbel top-k without replacement by a perturbed A-star search.
 
 A text's canonical encoding comes from the library and a public model file. Its lattice holds every way to cut the whole text into pieces of the vocabulary; a character that no piece covers is spelled in bytes.
-A piece weighs exp(ALPHA * score - PIECE_COST), a segmentation the product over its pieces, and log-probabilities are normalised over all of a text's segmentations. No piece crosses from a word into the blank behind it, so a
-text's lattice is the chain of those of its words (each with the blanks before it), and its canonical encoding that of its words. Summed from their ends backwards, lattices give each piece's exact probability at its place.
+A piece weighs exp(ALPHA * score - PIECE_COST), a segmentation the product over its pieces, and log-probabilities are normalised over all of a text's segmentations. A text is cut into runs between characters that no piece holds next to each other (before
+blanks, for one): its lattice is the chain of those of its runs, and so is its canonical encoding. Summed from their ends backwards, lattices give each piece's exact probability at its place.
 
-Perturbing every segmentation's log-probability with Gumbel noise and taking the k largest draws k segmentations without replacement. The search never lists them: a node (the ways of the words
-before, and what is excluded as the next word's way) has as bound the exact maximum of its perturbed leaves, drawn top-down: what isn't the maximal child gets, as one group, a Gumbel with its log-mass as
+Perturbing every segmentation's log-probability with Gumbel noise and taking the k largest draws k segmentations without replacement. The search never lists them: a node (the ways of the runs
+before, and what is excluded as the next run's way) has as bound the exact maximum of its perturbed leaves, drawn top-down: what isn't the maximal child gets, as one group, a Gumbel with its log-mass as
 location, truncated at its parent's maximum. The largest bound in the queue is expanded: its own maximal leaf is the next sample, its siblings go into the queue. The (k+1)-th maximum is
 the threshold that inclusion scores refer to: log(1 - exp(-exp(log_prob - threshold))).
 
-Words are cut further into runs of characters that no piece leaves. Most runs take their likeliest pieces, so each run's way over these is kept whole; one that deviates draws the place, the piece and all that follows from its lattice, and excluded ways are left out by
+Most runs take their likeliest pieces, so each run's way over these is kept whole; one that deviates draws the place, the piece and all that follows from its lattice, and excluded ways are left out by
 drawing from what branches off them. No way is left out, however small its share.
 
-Each row's noise is a hash of its key, the sample's number and the place in the text, so results don't depend on partitions or retries. The model's path is a parameter; words' lattices are computed
-where first met and kept up to MOST_EDGES; then the words that come often stay, and others are computed anew.
+Each row's noise is a hash of its key, the sample's number and the place in the text, so results don't depend on partitions or retries. The model's path is a parameter; runs' lattices are computed
+where first met and kept up to MOST_EDGES; then the runs that come often stay, and others are computed anew.
 
 Defined results: a null or empty text has no ids and one segmentation; a text with fewer segmentations than k gives all it has, with an inclusion score of 0 (certain); a null key
 counts as key 0 with its text's hash; repeated rows get equal samples; decoding gives back any text exactly, the meta symbol U+2581 included; other columns are ignored.
@@ -22,7 +22,6 @@ counts as key 0 with its text's hash; repeated rows get equal samples; decoding
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain, repeat
@@ -36,9 +35,9 @@ from readloom.llm.common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 K, SEED = 3, 11
 ALPHA, PIECE_COST = 1 / 8000, 3.0
-MOST_EDGES, MOST_WORD, OFTEN = 4_000_000, 64, 4  #: kept by a worker; characters of a word that is kept; times that a word must have come to outlast a full table
+MOST_EDGES, MOST_RUN, OFTEN = 2_000_000, 64, 4  #: kept by a worker; characters of a run that is kept; times that a run must have come to outlast a full table
 LOT = 1 << 18  #: bytes of texts that are drawn together, up to one text over
-LETTERS_AT_HAND = 256  #: letters whose steps in the trie are in a table
+LETTERS_AT_HAND = 64  #: letters whose steps in the trie are in a table
 META = "▁"
 SAMPLE = "rank int, n_ids int, log_prob double, perturbed double, log_inclusion double, ids_sha256 string, ids array<int>, decodes boolean"
 
@@ -58,10 +57,10 @@ def _log_sums(x: np.ndarray, heads: np.ndarray, counts: np.ndarray) -> np.ndarra
 
 
 class Vocabulary:
-    """The model's pieces, and the lattices of runs met so far in flat arrays, runs by their numbers; words as chains of runs.
+    """The model's pieces, and the lattices of runs met so far in flat arrays, runs by their numbers.
 
     A node is a place in a run, the next node the next place; node i has the edges first[i] to first[i + 1], shortest first, with log-probabilities log_p and nodes to (-1: the run's end).
-    Run i has the likeliest pieces way_n[i] from way_at[i] on in way (edges); apart has the log-mass of all that leaves this way at each of its places, way_rest their sum, way_log the way's own."""
+    Run i has the likeliest pieces way_n[i] from way_at[i] on in way (edges), spelled as say_n[i] ids from say_at[i] on in say (an unknown character, always a run of its own, as its bytes), and the canonical ids id_n[i] from id_at[i] on in id; apart has the log-mass of all that leaves this way at each of its places, way_rest their sum, way_log the way's own."""
 
     def __init__(self, model: bytes):
         import sentencepiece
@@ -115,14 +114,13 @@ class Vocabulary:
 
     def forget(self) -> None:
         """Nothing is met."""
-        self.words: dict[str, int] = {}
         self.runs: dict[str, int] = {}
-        self.nodes = self.edges = self.n_words = self.n_runs = self.steps = self.n_ids = self.n_links = 0
+        self.nodes = self.edges = self.n_runs = self.steps = self.n_ids = self.n_says = 0
         self.first, self.log_p, self.piece, self.to = np.zeros(1, np.int32), np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.root, self.way_at, self.way_n, self.size = (np.zeros(0, np.int32) for _ in range(4))
         self.way_log, self.way_p, self.way_rest = np.zeros(0), np.zeros(0), np.zeros(0)
         self.way, self.apart = np.zeros(0, np.int32), np.zeros(0)
-        self.id_at, self.id_n, self.id, self.times, self.link_at, self.link_n, self.link = (np.zeros(0, np.int32) for _ in range(7))
+        self.id_at, self.id_n, self.id, self.say_at, self.say_n, self.say, self.times = (np.zeros(0, np.int32) for _ in range(7))
 
     def ways(self, piece: str) -> list[tuple[float, list[int]]]:
         """All segmentations of a short string with their log-weights, listed."""
@@ -151,7 +149,7 @@ class Vocabulary:
         return out
 
     def meet(self, words: list[str]) -> np.ndarray:
-        """Adds the lattices of runs (blanks as blanks, none empty) to the tables; their numbers."""
+        """Adds the lattices and canonical ids of runs (blanks as blanks, none empty) to the tables; their numbers."""
         text = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         size = np.array([len(w) for w in words])
         root = np.cumsum(size) - size
@@ -229,67 +227,50 @@ class Vocabulary:
             self._add(name, self.n_runs, new)
         for name, new in (("way", way + self.edges), ("apart", apart)):
             self._add(name, self.steps, new)
+        say, say_n = self.spell(piece[way]), way_n.copy()
+        bad = np.flatnonzero(piece[way[way_at]] < 0)
+        say_n[bad] = [len(chr(-1 - int(piece[way[way_at[i]]])).encode()) for i in bad.tolist()]
+        # The library puts a blank before what it encodes; an unknown character behind that keeps the run apart, and their ids are left out.
+        ids = [list(x) for x in self.encode(["\n" + w for w in words])]
+        id_n = np.fromiter(map(len, ids), np.int64, len(ids)) - 2
+        self._add("id", self.n_ids, np.fromiter(chain.from_iterable(x[2:] for x in ids), np.int32, int(id_n.sum())))
+        self._add("say", self.n_says, say)
+        for name, new in (("say_at", np.cumsum(say_n) - say_n + self.n_says), ("say_n", say_n), ("id_at", np.cumsum(id_n) - id_n + self.n_ids), ("id_n", id_n), ("times", np.zeros(len(words)))):
+            self._add(name, self.n_runs, new)
+        self.n_ids, self.n_says = self.n_ids + int(id_n.sum()), self.n_says + len(say)
         number = np.arange(self.n_runs, self.n_runs + len(words))
         self.nodes, self.edges, self.steps, self.n_runs = self.nodes + n, self.edges + m, self.steps + len(way), self.n_runs + len(words)
         return number
 
-    def _learn(self, words: list[str]) -> np.ndarray:
-        """Adds words without their first blank: their runs and canonical ids. Their numbers."""
-        joined = " " + " ".join(words)
-        text = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        c = self.letter[text]
-        apart = np.ones(len(text) + 1, bool)
-        apart[1:-1] = (c[:-1] < 0) | (c[1:] < 0) | ~self.joined[c[:-1], c[1:]]
-        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        begin = np.cumsum(size) - size
-        apart[begin] = True
-        cuts = np.flatnonzero(apart)
-        runs = list(map(joined.__getitem__, map(slice, cuts[:-1].tolist(), cuts[1:].tolist())))
-        new = [x for x in dict.fromkeys(runs) if x not in self.runs]
-        if new:
-            self.runs.update(zip(new, self.meet(new).tolist(), strict=True))
-        link = np.fromiter(map(self.runs.__getitem__, runs), np.int32, len(runs))
-        link_at = np.searchsorted(cuts, begin)
-        ids = self.sp.encode(words, num_threads=1) if META not in joined else [x.tolist() for x in self.encode(words)]
-        for i in np.flatnonzero(size == 1).tolist():
-            ids[i] = [self.ids[META]]
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        number = np.arange(self.n_words, self.n_words + len(words))
-        for name, part in (("id_at", np.cumsum(n) - n + self.n_ids), ("id_n", n), ("link_at", link_at + self.n_links), ("link_n", np.diff(link_at, append=len(link))), ("times", np.zeros(len(words)))):
-            self._add(name, self.n_words, part)
-        self._add("id", self.n_ids, np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum())))
-        self._add("link", self.n_links, link)
-        self.n_ids, self.n_links, self.n_words = self.n_ids + int(n.sum()), self.n_links + len(link), self.n_words + len(words)
-        return number
-
-    def words_of(self, texts: list[str]) -> list[np.ndarray]:
-        """The numbers of each text's words."""
+    def chains(self, texts: list[str]) -> list[np.ndarray]:
+        """The numbers of each text's runs."""
         if self.edges > MOST_EDGES:
-            times = self.times[: self.n_words]
-            often = sorted(((w, i) for w, i in self.words.items() if times[i] >= OFTEN), key=lambda x: -times[x[1]])[: self.n_words // 4]
+            often = sorted(((-int(self.times[i]), w) for w, i in self.runs.items() if self.times[i] >= OFTEN))[: self.n_runs // 4]
             self.forget()
             if often:
-                self.words.update(zip((w for w, _ in often), self._learn([w for w, _ in often]).tolist(), strict=True))
-        # A word's first blank is left out of its key.
-        parts = [([] if not t else _WORD.findall(" " + t) if "  " in t or t[0] == " " or t[-1] == " " else t.split(" ")) for t in texts]
-        flat = list(chain.from_iterable(parts))
-        number = np.fromiter(map(self.words.get, flat, repeat(-1)), np.int64, len(flat))
+                self.runs.update(zip((w for _, w in often), self.meet([w for _, w in often]).tolist(), strict=True))
+        texts = [" " + t if t else "" for t in texts]
+        joined = "".join(texts)
+        c = self.letter[np.frombuffer(joined.encode("utf-32-le"), np.uint32)]
+        apart = np.ones(len(c) + 1, bool)
+        apart[1:-1] = (c[:-1] < 0) | (c[1:] < 0) | ~self.joined[c[:-1], c[1:]]
+        ends = np.cumsum([0, *map(len, texts)])
+        apart[ends] = True
+        cuts = np.flatnonzero(apart)
+        flat = list(map(joined.__getitem__, map(slice, cuts[:-1].tolist(), cuts[1:].tolist())))
+        number = np.fromiter(map(self.runs.get, flat, repeat(-1)), np.int64, len(flat))
         new = np.flatnonzero(number < 0)
         if len(new):
             missing = list(dict.fromkeys(flat[i] for i in new.tolist()))
-            found = dict(zip(missing, self._learn(missing).tolist(), strict=True))
+            found = dict(zip(missing, self.meet(missing).tolist(), strict=True))
             number[new] = [found[flat[i]] for i in new.tolist()]
-            self.words.update((w, i) for w, i in found.items() if len(w) <= MOST_WORD)
-        self.times[: self.n_words] += np.bincount(number, minlength=self.n_words).astype(np.int32)
-        return np.split(number, np.cumsum([len(p) for p in parts])[:-1])
-
-    def canonical(self, words: np.ndarray) -> np.ndarray:
-        """The canonical ids of a chain of words."""
-        return self.id[_spread(self.id_at[words], self.id_n[words])]
+            self.runs.update((w, i) for w, i in found.items() if len(w) <= MOST_RUN)
+        self.times[: self.n_runs] += np.bincount(number, minlength=self.n_runs).astype(np.int32)
+        return np.split(number, np.searchsorted(cuts, ends[1:-1]))
 
-    def runs_of(self, words: np.ndarray) -> np.ndarray:
-        """A chain of words as one of runs."""
-        return self.link[_spread(self.link_at[words], self.link_n[words])]
+    def canonical(self, runs: np.ndarray) -> np.ndarray:
+        """The canonical ids of a chain of runs."""
+        return self.id[_spread(self.id_at[runs], self.id_n[runs])]
 
     def spell(self, ids: np.ndarray) -> np.ndarray:
         """ids with unknown characters (under 0) as their bytes."""
@@ -302,12 +283,13 @@ class Vocabulary:
             last = i + 1
         return np.concatenate([*parts, ids[last:]]).astype(np.int32)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str]) -> list:
         """Canonical ids. The library reads the meta symbol as a blank, so it is passed as a character the text lacks, and spelled in bytes."""
         stand_in = [next(c for c in map(chr, range(0xE000, 0xF8FF)) if c not in t and c not in self.ids) if META in t else "" for t in texts]
-        out = [np.array(x, np.int32) for x in self.sp.encode([t.replace(META, s) if s else t for t, s in zip(texts, stand_in, strict=True)], num_threads=1)]
+        out = self.sp.encode([t.replace(META, s) if s else t for t, s in zip(texts, stand_in, strict=True)], num_threads=1)
         for i, s in enumerate(stand_in):
             if s:
+                out[i] = np.array(out[i], np.int32)
                 old, new = ([self.byte_id[b] for b in c.encode()] for c in (s, META))
                 hit = np.flatnonzero((out[i][:-2] == old[0]) & (out[i][1:-1] == old[1]) & (out[i][2:] == old[2]))
                 for k in range(3):
@@ -328,7 +310,6 @@ def vocabulary(model: bytes) -> Vocabulary:
     return Vocabulary(model)
 
 
-_WORD = re.compile(" ( *[^ ]*)")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -475,17 +456,12 @@ def _spelled(v: Vocabulary, chains: list[np.ndarray], samples: list[_Sample]) ->
     sizes = np.array([len(c) for c in chains])
     shift = np.cumsum(sizes) - sizes
     of, count = np.concatenate([x.of + b for x, b in zip(samples, shift.tolist(), strict=True)]), np.concatenate([x.count for x in samples])
-    n = v.way_n[runs].astype(np.int64)
-    n[of] = 0
-    plain = v.way[_spread(v.way_at[runs], n)]
-    n[of] = count
+    n = v.say_n[runs].astype(np.int64)
+    n[of] = count  # in their places, the first of the run's table for the time being
     ends = np.cumsum(n)
-    edges = np.empty(int(n.sum()), np.int64)
-    own = np.zeros(len(edges), bool)
-    own[_spread((ends - n)[of], count)] = True
-    edges[own], edges[~own] = np.concatenate([x.edges for x in samples]), plain
-    ids = np.split(v.piece[edges], np.concatenate([[0], ends])[shift[1:]])
-    return [v.spell(x) for x in ids]
+    ids = np.take(v.say, _spread(v.say_at[runs], n), mode="clip")
+    ids[_spread((ends - n)[of], count)] = v.piece[np.concatenate([x.edges for x in samples])]
+    return np.split(ids, np.concatenate([[0], ends])[shift[1:]])
 
 
 def draw(v: Vocabulary, chains: list[np.ndarray], k: int, seeds: np.ndarray) -> list[list[tuple[float, float, float, np.ndarray]]]:
@@ -523,10 +499,10 @@ def draw(v: Vocabulary, chains: list[np.ndarray], k: int, seeds: np.ndarray) ->
             to = v.to[[x[6][j] for x, j in zip(found, picks, strict=True)]]
             more, n = _walk(v, to, np.array([int(places[i][t]) - int(v.root[chains[i][t]]) for i, _, t, *_ in found]) + to, seed_r[which])
             more = [x.tolist() for x in np.split(more, np.cumsum(n)[:-1])]
-            for (i, old, t, out, _, prefix, edge), j, rest, u in zip(found, picks, more, noise, strict=True):
+            for (i, old, t, out, mass, prefix, edge), j, rest, u in zip(found, picks, more, noise, strict=True):
                 way = (*out[prefix[j][0]][: prefix[j][1]], edge[j], *rest)
                 out = [*out, way]
-                mass, _, _ = _branches(v, int(v.root[chains[i][t]]), out)
+                mass = np.delete(mass, j) if v.to[edge[j]] < 0 else _branches(v, int(v.root[chains[i][t]]), out)[0]
                 turns.append((i, old, t, way, (float(np.logaddexp.reduce(mass)) if len(mass) else -np.inf) + u, out))
         many = [len(chains[i]) - t - 1 for i, _, t, *_ in turns]
         number = np.concatenate([np.arange(t + 1, len(chains[i])) for i, _, t, *_ in turns])
@@ -603,11 +579,11 @@ def encode(docs: DataFrame, k: int = K, seed: int = SEED, model_path: str = MODE
             for start, end in zip(*(x.tolist() for x in _runs_of_equal(size)), strict=True):
                 c = b.slice(start, end - start)
                 ids, texts = c.column(0), [t or "" for t in c.column(1).to_pylist()]
-                words = v.words_of(texts)
-                canonical = [v.canonical(x) for x in words]
+                chains = v.chains(texts)
+                canonical = [v.canonical(x) for x in chains]
                 keys = [f"{seed} {i}" if i is not None else f"{seed} - {hashlib.blake2b(t.encode(), digest_size=8).hexdigest()}" for i, t in zip(ids.to_pylist(), texts, strict=True)]
                 seeds = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big") for x in keys], np.uint64)
-                drawn = draw(v, [v.runs_of(x) for x in words], k, seeds)
+                drawn = draw(v, chains, k, seeds)
                 flat = [(r + 1, *s) for d in drawn for r, s in enumerate(d)]
                 samples = pa.StructArray.from_arrays([
                     pa.array([x[0] for x in flat], pa.int32()), pa.array([len(x[4]) for x in flat], pa.int32()), *(pa.array([x[j] for x in flat], pa.float64()) for j in (1, 2, 3)),
@@ -634,9 +610,10 @@ def decode(encoded: DataFrame, model_path: str = MODEL, id_col: str = "doc_id",
 
 
 def op7_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    """A row for each sampled segmentation of each whole text of documents: its ids and their digest, the canonical ids, and whether both give the text back."""
+    """For each whole text of documents a row of rank 0 with its canonical ids, and one for each sampled segmentation: ids, their digest (of samples), and whether they give the text back."""
     from pyspark.sql import functions as F
 
     out = encode(table(spark, sf_dir, "documents"))
-    out = out.select("doc_id", F.col("n_ids").alias("n_canonical"), F.col("ids").alias("canonical_ids"), "decodes", F.explode("samples").alias("s"))
-    return out.select("doc_id", "n_canonical", (F.col("decodes") & F.col("s.decodes")).alias("decodes"), "s.rank", "s.n_ids", F.round("s.log_prob", 6).alias("log_prob"), F.round("s.perturbed", 6).alias("perturbed"), F.round("s.log_inclusion", 6).alias("log_inclusion"), "s.ids_sha256", "canonical_ids", "s.ids")
+    plain = F.struct(F.lit(0).alias("rank"), "n_ids", *[F.lit(None).cast(t).alias(c) for c, t in (("log_prob", "double"), ("perturbed", "double"), ("log_inclusion", "double"), ("ids_sha256", "string"))], "ids", "decodes")
+    out = out.select("doc_id", F.explode(F.concat(F.array(plain), "samples")).alias("s"))
+    return out.select("doc_id", "s.rank", "s.decodes", "s.n_ids", F.round("s.log_prob", 6).alias("log_prob"), F.round("s.perturbed", 6).alias("perturbed"), F.round("s.log_inclusion", 6).alias("log_inclusion"), "s.ids_sha256", "s.ids")

@@ -124,11 +124,10 @@ def test_samples_come_from_the_whole_lattice(spark, vocabulary):
         assert abs(c / n - q) < 5 * math.sqrt(q * (1 - q) / n) + 1e-3
     # A word's length doesn't matter, nor does a lattice's being computed anew.
     word = "unbelievable" * 3000
-    chains = lambda texts: [vocabulary.runs_of(x) for x in vocabulary.words_of(texts)]
-    drawn = sentencepieces.draw(vocabulary, chains([word, "unbel in"]), 3, np.array([1, 2], np.uint64))
+    drawn = sentencepieces.draw(vocabulary, vocabulary.chains([word, "unbel in"]), 3, np.array([1, 2], np.uint64))
     assert all(vocabulary.decode(s[3]).decode() == t for d, t in zip(drawn, (word, "unbel in"), strict=True) for s in d)
     vocabulary.forget()
-    again = sentencepieces.draw(vocabulary, chains(["unbel in"]), 3, np.array([2], np.uint64))
+    again = sentencepieces.draw(vocabulary, vocabulary.chains(["unbel in"]), 3, np.array([2], np.uint64))
     assert all(a[:3] == b[:3] and np.array_equal(a[3], b[3]) for a, b in zip(drawn[1], again[0], strict=True))
 
 
@@ -142,9 +141,9 @@ def test_words_give_the_whole_text(vocabulary, monkeypatch):
         vocabulary.forget()
         got = []
         for t in texts + texts:
-            words = vocabulary.words_of([t])
-            got.append(vocabulary.canonical(words[0]).tolist())
-            drawn.append([(*x[:3], x[3].tolist()) for x in sentencepieces.draw(vocabulary, [vocabulary.runs_of(words[0])], 2, np.array([5], np.uint64))[0]])
+            runs = vocabulary.chains([t])[0]
+            got.append(vocabulary.canonical(runs).tolist())
+            drawn.append([(*x[:3], x[3].tolist()) for x in sentencepieces.draw(vocabulary, [runs], 2, np.array([5], np.uint64))[0]])
         assert got == want + want
     assert drawn[: 2 * len(texts)] == drawn[2 * len(texts) :]
     vocabulary.forget()
@@ -196,6 +195,7 @@ def test_secret_scan(spark):
 
 
 def test_pipeline(spark, tmp_path):
+    """Stage by stage: what goes and what stays, near copies that line dedup hollowed out, null, empty and very long texts, repeated rows, further columns of clashing names."""
     import random
 
     import corpus_pipeline as pipeline
@@ -205,25 +205,50 @@ def test_pipeline(spark, tmp_path):
     def prose(n):
         return " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(n))
 
-    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-    base = [prose(90) + "\n" + prose(40) for _ in range(60)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, own_src string, n_words bigint, token string"
+    base = [prose(90) + "\n" + prose(60) for _ in range(60)]
     rows = [(i, t, "en", "ab"[i % 2]) for i, t in enumerate(base)]
-    rows += [(100 + i, t.replace(" ", "  ", 1) + " tail", "en", "a") for i, t in enumerate(base[:10])]  # near copies
-    rows += [(200 + i, "short text", "en", "b") for i in range(5)] + [(300, None, None, None), (301, "x y z " * 40, "en", "a")]
-    spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    hollow = [(100 + i, t.replace(" ", "  ", 1) + " tail", "en", "a") for i, t in enumerate(base[:10])]  # each line is near an earlier one
+    changed = []
+    for i, t in enumerate(base[10:20]):  # two changed words in the first line, which stays; the second goes
+        w = t.split(" ")
+        w[20], w[50] = "changed", "words"
+        changed.append((120 + i, " ".join(w), "en", "b"))
+    rows += hollow + changed + [(140, base[30], "en", "a")]
+    rows += [(200 + i, "short text", "en", "b") for i in range(5)] + [(300, None, None, None), (301, "x y z " * 40, "en", "a"), (302, "", "en", "a"), (None, prose(70), None, None), (303, prose(30_000), "fr", "c"), rows[3]]
+    spark.createDataFrame([(*r, len(r[1] or ""), "x", 1, "y") for r in rows], schema).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    ids = []
+    columns, ids = docs.columns, []
     for name, stage in pipeline.STAGES[:4]:
         docs = stage(spark, docs, str(tmp_path))
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+        assert docs.columns == columns, name
         docs.write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
         ids.append([r.doc_id for r in docs.select("doc_id").collect()])
-    assert set(ids[0]) == set(range(60)) | set(range(100, 110)) and sorted(ids[1]) == sorted(ids[0])
-    assert set(ids[2]) >= set(range(60)) and set(ids[3]) <= set(ids[2])
+    clean = [*range(60), 3, 303, None]
+    assert Counter(ids[0]) == Counter([*clean, *(r[0] for r in hollow + changed), 140])
+    assert Counter(ids[1]) == Counter([*clean, *(r[0] for r in changed)])
+    assert Counter(ids[2]) == Counter(clean) and set(ids[3]) <= set(ids[2])
     out = pipeline.run(spark, str(tmp_path)).collect()
-    assert Counter(r.doc_id for r in out) == Counter(ids[3]) and all(r.decodes for r in out)
+    assert Counter(r.doc_id for r in out) == Counter(ids[3]) and all(r.decodes and r.n_ids > 0 for r in out)
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_of_documents_that_the_table_lacks(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    text = " ".join(f"w{i}" for i in range(100))
+    spark.createDataFrame([(1, text)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.createDataFrame([(1, "rest"), (7, text), (8, "other " + text[:200]), (None, text)], "doc_id bigint, text string")
+    assert sorted((r.doc_id for r in pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()), key=str) == [1, 8, None]
 
 
 def test_pipeline_ends_with_ids(spark, vocabulary):
@@ -236,7 +261,7 @@ def test_pipeline_ends_with_ids(spark, vocabulary):
     assert len(out) == 3
     for r in out:
         text = texts[r.doc_id]
-        assert r.decodes and r.ids == vocabulary.encode([text])[0].tolist() and r.n_ids == len(r.ids) and len(r.samples) == (3 if text else 1)
+        assert r.decodes and r.ids == list(vocabulary.encode([text])[0]) and r.n_ids == len(r.ids) and len(r.samples) == (3 if text else 1)
         for s in r.samples:
             assert s.decodes and s.n_ids == len(s.ids) and vocabulary.decode(s.ids).decode() == text
             assert s.ids_sha256 == hashlib.sha256(np.array(s.ids, "<i4").tobytes()).hexdigest()
@@ -246,8 +271,8 @@ def test_query_returns_ids(spark, tmp_path, vocabulary):
     texts = [None, "", "unbelievable results", "a  b"]
     spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
     out = sentencepieces.op7_sentencepiece(spark, str(tmp_path)).collect()
-    assert Counter(r.doc_id for r in out) == {0: 1, 1: 1, 2: 3, 3: 3}
+    assert Counter(r.doc_id for r in out) == {0: 2, 1: 2, 2: 4, 3: 4}
     for r in out:
         text = texts[r.doc_id] or ""
-        assert r.decodes and r.n_canonical == len(r.canonical_ids) and r.n_ids == len(r.ids)
-        assert r.canonical_ids == vocabulary.encode([text])[0].tolist() and vocabulary.decode(r.ids).decode() == text
+        assert r.decodes and r.n_ids == len(r.ids) and vocabulary.decode(r.ids).decode() == text
+        assert (r.ids == list(vocabulary.encode([text])[0]) and r.log_prob is None) if r.rank == 0 else r.log_prob <= 0

@@ -37,6 +37,13 @@ def moments(samples: DataFrame) -> DataFrame:
     return out.withColumn("stddev", F.sqrt(F.greatest(F.col("squares") / F.col("n") - F.col("average") * F.col("average"), F.lit(0.0))))
 
 
+def named(rows: DataFrame) -> DataFrame:
+    """name, value (strings) of one row's columns, or of rows of name, value, at (a number that tells later from earlier): the last of each name."""
+    if {"name", "value", "at"} <= set(rows.columns):
+        return rows.groupBy("name").agg(F.max_by(F.col("value").cast("string"), "at").alias("value"))
+    return rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in rows.columns])).alias("x")).select("x.*")
+
+
 def value_counts(values: DataFrame, column: str) -> DataFrame:
     return values.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("count"))
 

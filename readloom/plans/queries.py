@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.functions import sequences as fn
-from readloom.operators import approximate, clean, contigs, contract, correct, graph, overlap, simplify, stats
-from readloom.plans import assemble, fixtures
+from readloom.operators import approximate, clean, correct, graph, order, overlap, simplify, stats
+from readloom.plans import fixtures
 from readloom.plans.fixtures import GRAPH_SQL, PARAMS, SQL
+from readloom.sources.sinks import COLOURS, graphviz
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,7 +25,7 @@ def query(sql: str | None = None, recursive: bool = False, on: str = SQL):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = f"WITH {'RECURSIVE ' if recursive else ''}{on.strip()}{sql}"
+            ORACLES[f.__name__] = sql if not on and not sql.lstrip().startswith("primes") else f"WITH {'RECURSIVE ' if recursive else ''}{on.strip()}{sql}"
         return f
 
     return add
@@ -68,14 +68,10 @@ def prefix_contained_reads(spark, d):
     return clean.contained_in_longer(clean.dedup(r.unionByName(r.select((F.col("id") - 1).alias("id"), fn.reverse_complement(F.col("seq")).alias("seq")))))
 
 
-@query(", o AS (SELECT id, seq, lead(seq) OVER (PARTITION BY substr(seq, 1, 8) ORDER BY translate(seq, 'AGCT', 'ABCD'), length(seq), id) AS nxt FROM line_reads) SELECT id, CASE WHEN nxt IS NULL THEN 0 WHEN starts_with(nxt, seq) THEN length(seq) ELSE len(list_filter(range(1, length(seq) + 1), lambda k: substr(seq, 1, k) = substr(nxt, 1, k))) END AS lcp FROM o")
+@query(", o AS (SELECT id, seq, lead(seq) OVER (ORDER BY translate(seq, 'AGCT', 'ABCD'), length(seq), id) AS nxt FROM line_reads) SELECT id, CASE WHEN nxt IS NULL THEN 0 WHEN starts_with(nxt, seq) THEN length(seq) ELSE len(list_filter(range(1, length(seq) + 1), lambda k: substr(seq, 1, k) = substr(nxt, 1, k))) END AS lcp FROM o")
 def sorted_read_lcp(spark, d):
-    """Neighbours in the sorted order (A, G, C, T), within reads of equal beginnings: none but these share a longer prefix."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(F.substring("seq", 1, 8)).orderBy(F.translate("seq", "AGCT", "ABCD"), F.length("seq"), "id")
-    o = fixtures.line_reads(spark, d).withColumn("nxt", F.lead("seq").over(order))
-    return o.select("id", F.when(F.col("nxt").isNull(), 0).otherwise(fn.common_prefix("seq", "nxt")).cast("bigint").alias("lcp"))
+    """Neighbours in the sorted order (A, G, C, T) of all reads."""
+    return order.neighbour_lcp(fixtures.line_reads(spark, d))
 
 
 @query(", k AS (SELECT substr(seq, CAST(i AS INTEGER), 15) AS kmer FROM (SELECT seq, unnest(generate_series(1, length(seq) - 14)) AS i FROM line_reads)), c AS (SELECT kmer, count(*) AS times FROM k GROUP BY 1) SELECT times, count(*) AS kmers FROM c GROUP BY 1")
@@ -104,9 +100,10 @@ def min_period(spark, d):
     return fixtures.trimmed_reads(spark, d).select("rn", fn.min_period("seq").alias("period"))
 
 
-@query("SELECT rn, len(list_filter(range(0, 77), lambda i: substr(seq, CAST(i + 1 AS INTEGER), 4) = substr(seq, 1, 4))) AS hits FROM trimmed")
+@query("SELECT rn, array_to_string(list_filter(range(0, 77), lambda i: substr(seq, CAST(i + 1 AS INTEGER), 4) = substr(seq, 1, 4)), ',') AS places FROM trimmed")
 def kmp_positions(spark, d):
-    return fixtures.trimmed_reads(spark, d).withColumn("head", F.substring("seq", 1, 4)).select("rn", F.size(fn.occurrences("seq", "head")).cast("bigint").alias("hits"))
+    """All places of a read's first four bases in it."""
+    return fixtures.trimmed_reads(spark, d).withColumn("head", F.substring("seq", 1, 4)).select("rn", F.array_join(fn.occurrences("seq", "head"), ",").alias("places"))
 
 
 @query("SELECT rn, list_min(list_transform(range(0, 80), lambda i: substr(seq, CAST(i + 1 AS INTEGER)) || substr(seq, 1, CAST(i AS INTEGER)) || lpad(CAST(i AS VARCHAR), 2, '0'))) AS r FROM trimmed")
@@ -121,31 +118,31 @@ def bit_hamming(spark, d):
     return t.select("rn", fn.differing_bits("a", "b").alias("bits"))
 
 
-@query("SELECT id, list_reduce(list_transform(range(1, 31), lambda i: CAST(instr('ACGT', substr(seq, CAST(i AS INTEGER), 1)) - 1 AS BIGINT)), lambda a, b: a * 4 + b) AS code, substr(seq, 1, 30) AS back FROM reads")
+@query("""SELECT id, CAST(length(seq) AS INTEGER) AS n, array_to_string(list_transform(range(1, length(seq) + 1, 31), lambda p: list_reduce(list_transform(range(p, least(p + 31, length(seq) + 1)), lambda i: CAST(instr('ACGT', substr(seq, CAST(i AS INTEGER), 1)) - 1 AS BIGINT)), lambda a, b: a * 4 + b)), ',') AS codes, seq AS back FROM reads""")
 def packed_reads(spark, d):
-    t = fixtures.reads(spark, d).select("id", F.substring("seq", 1, 30).alias("s")).select("id", fn.pack("s").alias("code"))
-    return t.select("id", "code", fn.unpack("code", 30).alias("back"))
-
-
-@query()
-def packed_whole_reads(spark, d):
-    """All bases of each read; packed_reads and its SQL have the first 30."""
+    """All bases of each read in numbers of 31 bases, and read back from them."""
     t = fixtures.reads(spark, d).select("id", F.length("seq").alias("n"), fn.pack_whole("seq").alias("codes"))
-    return t.select("id", "n", "codes", fn.unpack_whole("codes", "n").alias("back"))
+    return t.select("id", "n", F.array_join("codes", ",").alias("codes"), fn.unpack_whole("codes", "n").alias("back"))
 
 
 # Overlaps.
 
-_CAND = f""", cand AS (SELECT a.id AS src, b.id AS dst, CAST(a.off AS INTEGER) AS off, CAST(length(a.seq) - a.off AS INTEGER) AS ov, a.seq AS s FROM (SELECT id, seq, unnest(generate_series(0, length(seq) - {L})) AS off FROM reads) a JOIN reads b ON substr(a.seq, CAST(a.off + 1 AS INTEGER), {L}) = substr(b.seq, 1, {L}) AND a.id <> b.id AND starts_with(b.seq, substr(a.seq, CAST(a.off + 1 AS INTEGER)))),
+
+
+def overlap_sql(reads: str, least: int, most: int) -> str:
+    """Common tables of the overlap graph of the relation reads: cand (all overlaps of least to most bases), small, pre, final."""
+    return f""", cand AS (SELECT a.id AS src, b.id AS dst, CAST(a.off AS INTEGER) AS off, CAST(length(a.seq) - a.off AS INTEGER) AS ov, a.seq AS s FROM (SELECT id, seq, unnest(generate_series(greatest(0, length(seq) - {most}), length(seq) - {least})) AS off FROM {reads}) a JOIN {reads} b ON substr(a.seq, CAST(a.off + 1 AS INTEGER), {least}) = substr(b.seq, 1, {least}) AND a.id <> b.id AND starts_with(b.seq, substr(a.seq, CAST(a.off + 1 AS INTEGER)))),
 small AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY ov DESC, dst) AS r FROM cand WHERE ov < {R}) WHERE r <= {TOP}),
 pre AS (SELECT src, dst, min(off) AS off, any_value(s) AS s FROM (SELECT src, dst, off, s FROM cand WHERE ov >= {R} UNION ALL SELECT src, dst, off, s FROM small) GROUP BY 1, 2),
 final AS (SELECT src, dst, off FROM pre p WHERE NOT EXISTS (SELECT 1 FROM cand b WHERE b.ov >= {R} AND b.dst = p.dst AND b.src <> p.src AND b.off > 0 AND p.off >= b.off AND length(b.s) + p.off - b.off - length(p.s) >= 0 AND substr(p.s, p.off - b.off + 1, b.off) = substr(b.s, 1, b.off))) """
 
 
-@query(_CAND + "SELECT src, count(*) AS n, min(off) AS least, CAST(sum(off) AS BIGINT) AS total FROM cand GROUP BY 1")
+_CAND = overlap_sql("reads", L, PARAMS.max_overlap)
+
+
+@query(_CAND + "SELECT src, dst, off, ov FROM cand")
 def overlap_candidates(spark, d):
-    c = overlap.candidates(fixtures.reads(spark, d), PARAMS)
-    return c.groupBy("src").agg(F.count("*").alias("n"), F.min("off").alias("least"), F.sum("off").alias("total"))
+    return overlap.candidates(fixtures.reads(spark, d), PARAMS).select("src", "dst", "off", F.col("ov").cast("int").alias("ov"))
 
 
 @query(_CAND + "SELECT src, dst, off, ov FROM small")
@@ -158,11 +155,12 @@ def overlap_edges(spark, d):
     return overlap.overlap_edges(fixtures.reads(spark, d), PARAMS)
 
 
-@query(_CAND + "SELECT f.src, f.dst, f.off FROM final f JOIN reads a ON a.id = f.src JOIN reads b ON b.id = f.dst WHERE NOT starts_with(b.seq, substr(a.seq, f.off + 1))")
+@query(_CAND + ", f AS (SELECT * FROM final UNION ALL SELECT src, dst, off + 1 FROM final WHERE src % 5 = 1) SELECT f.src, f.dst, f.off FROM f JOIN reads a ON a.id = f.src JOIN reads b ON b.id = f.dst WHERE NOT starts_with(b.seq, substr(a.seq, f.off + 1))")
 def edge_validation(spark, d):
-    """No row: all edges of the overlap graph match."""
+    """All edges of the overlap graph match; some that are moved by a base don't."""
     r = fixtures.reads(spark, d)
-    return overlap.wrong_edges(overlap.overlap_edges(r, PARAMS), r)
+    e = overlap.overlap_edges(r, PARAMS)
+    return overlap.wrong_edges(e.unionByName(e.where("src % 5 = 1").withColumn("off", F.col("off") + 1)), r)
 
 
 @query(_CAND + ", c AS (SELECT src, dst, off FROM cand), m AS (SELECT xor(dst, 1) AS src, xor(src, 1) AS dst, off FROM cand) SELECT count(*) AS candidates, (SELECT count(*) FROM (SELECT * FROM m EXCEPT ALL SELECT * FROM c)) AS unmatched FROM c")
@@ -174,35 +172,26 @@ def candidate_complement_closure(spark, d):
     return n.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("candidates"), F.coalesce(F.sum(F.when(F.col("k") < 0, -F.col("k")).otherwise(0)), F.lit(0)).alias("unmatched"))
 
 
-_APPROX = ", " + _minimizer_sql("error_reads", 20, 3) + """, cp AS (SELECT DISTINCT a.read_id AS src, b.read_id AS dst, CAST(a.pos - b.pos AS INTEGER) AS off FROM mins a JOIN mins b ON a.kmer = b.kmer AND a.read_id <> b.read_id AND a.pos >= b.pos WHERE 80 - (a.pos - b.pos) >= 47),
+def _all_orders(source: str, k: int, m: int) -> str:
+    parts = ",\n".join(_minimizer_sql(source, k, m, r).replace("k AS (", f"k{i} AS (", 1).replace("mins AS (", f"mins{i} AS (", 1).replace(" FROM k GROUP", f" FROM k{i} GROUP") for i, r in enumerate(approximate.ROTATIONS))
+    return parts + ", mins AS (" + " UNION ALL ".join(f"SELECT {i} AS r, * FROM mins{i}" for i in range(len(approximate.ROTATIONS))) + ")"
+
+
+_APPROX = ", " + _all_orders("error_reads", 20, 3) + """, cp AS (SELECT DISTINCT a.read_id AS src, b.read_id AS dst, CAST(a.pos - b.pos AS INTEGER) AS off FROM mins a JOIN mins b ON a.r = b.r AND a.kmer = b.kmer AND a.read_id <> b.read_id AND a.pos >= b.pos WHERE 80 - (a.pos - b.pos) >= 47),
 al AS (SELECT c.src, c.dst, c.off, substr(x.seq, c.off + 1, 80 - c.off) AS a, substr(y.seq, 1, 80 - c.off) AS b FROM cp c JOIN error_reads x ON x.id = c.src JOIN error_reads y ON y.id = c.dst) """
 
 
-@query(_APPROX + "SELECT src, count(*) AS n, CAST(sum(off) AS BIGINT) AS total FROM cp GROUP BY 1")
+@query(_APPROX + "SELECT src, dst, off FROM cp")
 def approx_candidates(spark, d):
-    c = approximate.approximate_candidates(fixtures.error_reads(spark, d), 20, 3, L, rotations=("ACGT",))
-    return c.groupBy("src").agg(F.count("*").alias("n"), F.sum("off").alias("total"))
+    """Under all four orders of bases."""
+    return approximate.approximate_candidates(fixtures.error_reads(spark, d), 20, 3, L)
 
 
 @query(_APPROX + """, g AS (SELECT *, CAST(list_sum(list_transform(range(1, length(a) + 1), lambda i: CASE WHEN substr(a, CAST(i AS INTEGER), 1) = substr(b, CAST(i AS INTEGER), 1) THEN 0 WHEN translate(substr(a, CAST(i AS INTEGER), 1), 'ACGT', 'TGCA') = substr(b, CAST(i AS INTEGER), 1) THEN 2 ELSE 1 END)) AS INTEGER) AS bits FROM al WHERE substr(a, 1, 3) = substr(b, 1, 3) AND (substr(a, 4, 1) IN ('C', 'T')) = (substr(b, 4, 1) IN ('C', 'T')) AND right(a, 3) = right(b, 3))
 SELECT src, dst, CAST(min(off) AS INTEGER) AS off FROM g WHERE 100 * ((2 * length(a) - bits) // 2) >= 95 * length(a) GROUP BY 1, 2""")
 def low_error_alignments(spark, d):
-    r = fixtures.error_reads(spark, d)
-    return approximate.low_error_alignments(approximate.approximate_candidates(r, 20, 3, L, rotations=("ACGT",)), r, 95)
-
-
-@query()
-def approx_candidates_all_orders(spark, d):
-    """Under all four orders of bases; approx_candidates and its SQL have one."""
-    c = approximate.approximate_candidates(fixtures.error_reads(spark, d), 20, 3, L)
-    return c.groupBy("src").agg(F.count("*").alias("n"), F.sum("off").alias("total"))
-
-
-@query()
-def low_error_alignments_all_orders(spark, d):
-    """Under all four orders of bases; low_error_alignments and its SQL have one."""
-    r = fixtures.error_reads(spark, d)
-    return approximate.low_error_alignments(approximate.approximate_candidates(r, 20, 3, L), r, 95)
+    """Under all four orders of bases."""
+    return approximate.approximate_overlaps(fixtures.error_reads(spark, d), 20, 3, L, 95)
 
 
 @query(", k AS (SELECT substr(seq, CAST(i + 5 AS INTEGER), 30) AS big, substr(seq, CAST(i AS INTEGER), 5) AS small FROM (SELECT seq, unnest(generate_series(1, length(seq) - 34)) AS i FROM error_reads)), c AS (SELECT big, small, count(*) AS n FROM k GROUP BY 1, 2 HAVING count(*) >= 2) SELECT n, count(*) AS contexts FROM c GROUP BY 1")
@@ -210,7 +199,20 @@ def context_frequencies(spark, d):
     return correct.context_frequencies(fixtures.error_reads(spark, d)).groupBy("n").agg(F.count("*").alias("contexts"))
 
 
-@query()
+def _corrected_sql(rel: str, out: str) -> str:
+    """Common tables of one pass over the relation rel (id, seq); the last is named out."""
+    unlike = [f"substr(p.have, {k}, 1) <> substr(k.small, {k}, 1)" for k in range(1, 6)]
+    return f"""{out}_p AS (SELECT id, i, substr(seq, i + 5, 30) AS big, substr(seq, i, 5) AS have FROM (SELECT id, seq, CAST(unnest(range(1, length(seq) - 33)) AS INTEGER) AS i FROM {rel} WHERE length(seq) >= 35)),
+{out}_k AS (SELECT big, have AS small, count(*) AS n FROM {out}_p GROUP BY 1, 2 HAVING count(*) >= 2),
+{out}_q AS (SELECT * FROM {out}_p p WHERE NOT EXISTS (SELECT 1 FROM {out}_k k WHERE k.big = p.big AND k.small = p.have)),
+{out}_j AS (SELECT p.id, p.i, k.small, k.n, {" + ".join(f"CAST({u} AS INTEGER)" for u in unlike)} AS d, CASE {" ".join(f"WHEN {u} THEN {i + 1}" for i, u in enumerate(unlike))} ELSE 0 END AS k FROM {out}_q p JOIN {out}_k k ON k.big = p.big),
+{out}_f AS (SELECT id, i, max(struct_pack(n := n, small := small, k := k)) FILTER (d = 1 AND (i = 1 OR k BETWEEN 2 AND 4)) AS best FROM {out}_j GROUP BY 1, 2),
+{out}_y AS (SELECT id, i + best.k - 1 AS place, max(struct_pack(n := best.n, base := substr(best.small, best.k, 1))).base AS base FROM {out}_f WHERE best IS NOT NULL GROUP BY 1, 2),
+{out}_z AS (SELECT r.id, string_agg(coalesce(y.base, substr(r.seq, r.c, 1)), '' ORDER BY r.c) AS seq FROM (SELECT id, seq, CAST(unnest(range(1, length(seq) + 1)) AS INTEGER) AS c FROM {rel} WHERE id IN (SELECT id FROM {out}_y)) r LEFT JOIN {out}_y y ON y.id = r.id AND y.place = r.c GROUP BY 1),
+{out} AS (SELECT r.id, coalesce(z.seq, r.seq) AS seq FROM {rel} r LEFT JOIN {out}_z z ON z.id = r.id)"""
+
+
+@query(", " + _corrected_sql("error_reads", "first") + ", turned AS (SELECT id, reverse(translate(seq, 'ACGT', 'TGCA')) AS seq FROM first), " + _corrected_sql("turned", "second") + " SELECT id, reverse(translate(seq, 'ACGT', 'TGCA')) AS seq FROM second")
 def corrected_reads(spark, d):
     return correct.correct(fixtures.error_reads(spark, d))
 
@@ -223,10 +225,10 @@ def mate_pairs(spark, d):
     return fixtures.mate_pairs(spark, d)
 
 
-_MATES = ", m AS (SELECT 4 * rn + 1 AS id, mate1 AS seq FROM pairs UNION ALL SELECT 4 * rn + 3, mate2 FROM pairs), v AS (SELECT * FROM m WHERE NOT contains(seq, 'N') AND len(list_filter(range(1, 21), lambda p: starts_with(seq, substr(seq, CAST(p + 1 AS INTEGER))))) = 0), b AS (SELECT id FROM v UNION ALL SELECT id - 1 FROM v) "
+_MATES = ", m AS (SELECT 4 * rn + 1 AS id, mate1 AS seq FROM pairs UNION ALL SELECT 4 * rn + 3, mate2 FROM pairs), v AS (SELECT * FROM m WHERE NOT contains(seq, 'N') AND NOT (" + " OR ".join(f"starts_with(seq, substr(seq, {p + 1}))" for p in range(1, 21)) + ")), b AS (SELECT id, CASE WHEN id % 4 < 2 THEN id + 2 ELSE id - 2 END AS want FROM (SELECT id FROM v UNION ALL SELECT id - 1 FROM v)) "
 
 
-@query(_MATES + "SELECT b.id, o.id AS mate_id FROM b LEFT JOIN b o ON o.id = CASE WHEN b.id % 4 < 2 THEN b.id + 2 ELSE b.id - 2 END")
+@query(_MATES + "SELECT b.id, o.id AS mate_id FROM b LEFT JOIN b o ON o.id = b.want")
 def mate_ids(spark, d):
     raw = clean.pairs_to_raw(fixtures.mate_pairs(spark, d)).select("rn", F.col("raw").alias("seq"))
     return clean.with_mates(clean.both_strands(clean.valid(raw, PARAMS))).select("id", "mate_id")
@@ -251,10 +253,10 @@ def sources_sinks_tips(spark, d):
     return out.select("id", F.lit("from").alias("tip")).unionByName(into.select("id", F.lit("to").alias("tip")))
 
 
-@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT id FROM deg)", on=GRAPH_SQL)
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT src FROM edges WHERE src % 3 = 0 UNION SELECT dst FROM edges WHERE src % 3 = 0)", on=GRAPH_SQL)
 def isolated_nodes(spark, d):
     all_nodes = fixtures.table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
-    return all_nodes.join(graph.drop_isolated(all_nodes, fixtures.edges(spark, d)), "id", "left_anti")
+    return all_nodes.join(graph.drop_isolated(all_nodes, fixtures.edges(spark, d).where("src % 3 = 0")), "id", "left_anti")
 
 
 @query("SELECT dst AS src, src AS dst, off FROM edges", on=GRAPH_SQL)
@@ -272,9 +274,9 @@ def edge_count(spark, d):
     return fixtures.edges(spark, d).agg(F.count("*").alias("edges"))
 
 
-@query("SELECT src, count(*) AS n, min(off) AS nearest FROM edges GROUP BY 1", on=GRAPH_SQL)
+@query("SELECT src, string_agg(off || ':' || dst, ',' ORDER BY off, dst) AS ends FROM edges GROUP BY 1", on=GRAPH_SQL)
 def adjacency(spark, d):
-    return graph.adjacency(fixtures.edges(spark, d)).select("src", F.size("out").cast("bigint").alias("n"), F.expr("out[0].off").alias("nearest"))
+    return graph.adjacency(fixtures.edges(spark, d)).select("src", F.expr("array_join(transform(out, x -> concat(x.off, ':', x.dst)), ',')").alias("ends"))
 
 
 @query("SELECT (SELECT count(*) FROM (SELECT src, dst, off FROM edges EXCEPT ALL SELECT src, dst, off FROM multi)) = 0 AS contained, (SELECT count(*) FROM (SELECT src, dst, off FROM multi EXCEPT ALL SELECT src, dst, off FROM edges)) = 0 AS same", on=GRAPH_SQL)
@@ -342,42 +344,8 @@ def components(spark, d):
     return graph.components(fixtures.edges(spark, d))
 
 
-@query()
-def contracted_paths(spark, d):
-    c = contract.contract(fixtures.edges(spark, d), WEIGHT)
-    return c.select("src", "dst", "off", F.size("path").alias("steps"), F.array_join(F.transform("path", lambda x: x.node), ",").alias("nodes"))
-
-
-# Contigs.
-
-
-def _paths(spark, d):
-    r = fixtures.reads(spark, d)
-    return contigs.walks(contract.contract(overlap.overlap_edges(r, PARAMS), PARAMS.max_parallel_offset)), r
-
-
-@query()
-def path_strings(spark, d):
-    paths, r = _paths(spark, d)
-    return contigs.spelled(contigs.reads_on(paths), r)
-
-
-@query()
-def contig_consensus(spark, d):
-    paths, r = _paths(spark, d)
-    return contigs.consensus(contigs.contigs_of(paths, r, PARAMS), r, PARAMS).select("id", "seq")
-
-
-@query()
-def assembled_contigs(spark, d):
-    """From windows over all texts to contigs."""
-    return assemble.assemble(fixtures.raw_reads(spark, d)).select("id", "seq", F.size("reads").alias("n_reads"))
-
-
-@query()
-def contig_graphviz(spark, d):
-    from readloom.sources.sinks import graphviz
-
+@query(_CAND + "SELECT f.src || ' -> ' || f.dst || ' [label=\"(' || f.off || ',' || (least(length(a.seq), length(b.seq) + f.off) - f.off) || ')\", color=' || " + f"{list(COLOURS)}" + f"[f.src % {len(COLOURS)} + 1] || '];' AS value FROM final f JOIN reads a ON a.id = f.src JOIN reads b ON b.id = f.dst")
+def graph_graphviz(spark, d):
     r = fixtures.reads(spark, d)
     return graphviz(overlap.overlap_edges(r, PARAMS), r)
 
@@ -386,12 +354,3 @@ def contig_graphviz(spark, d):
 def contig_length_stats(spark, d):
     s = stats.full_statistics(fixtures.line_reads(spark, d))
     return s.withColumns({"average": F.round("average", 6), "stddev": F.round("stddev", 6)})
-
-
-@query()
-def mate_support(spark, d):
-    """Over the graph of mates' reads."""
-    raw = clean.pairs_to_raw(fixtures.mate_pairs(spark, d)).select("rn", F.col("raw").alias("seq"))
-    r = clean.drop_contained(clean.both_strands(clean.valid(raw, PARAMS)))
-    c = contract.contract(overlap.overlap_edges(r, PARAMS), PARAMS.max_parallel_offset)
-    return contigs.mate_support(c, clean.with_mates(r), replace(PARAMS, insert_size=300))

@@ -18,8 +18,9 @@ def format_of(path: str) -> str:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """no (from 0, in file order) and value. Spark's row numbers within a partition, moved by the sizes of the partitions before: one count for each partition is windowed, never the lines."""
-    lines = spark.read.text(path).withColumn("mid", F.monotonically_increasing_id()).withColumn("part", F.shiftright("mid", 33))
+    """no (from 0; of a folder's files in order of their names) and value. Spark's row numbers within a part of a file, moved by the sizes of the parts before: one count for each part is windowed, never the lines."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    lines = spark.read.text(path).select("value", place.alias("part"), F.monotonically_increasing_id().alias("mid"))
     sizes = lines.groupBy("part").agg(F.count("*").alias("n"), F.min("mid").alias("low"))
     before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("part", "low", F.coalesce("before", F.lit(0)).alias("before"))
     return lines.join(before, "part").select((F.col("mid") - F.col("low") + F.col("before")).alias("no"), "value")

@@ -208,10 +208,10 @@ def test_whole_reads_are_packed_and_all_orders_propose(spark, monkeypatch):
     monkeypatch.setattr(fixtures, "reads", lambda *_: df.unionByName(spark.createDataFrame([(1000, ""), (1001, "T" * 31), (1002, "GA" * 16)], "id bigint, seq string")))
     monkeypatch.setattr(fixtures, "error_reads", lambda *_: df)
     want = dict(enumerate(seqs)) | {1000: "", 1001: "T" * 31, 1002: "GA" * 16}
-    rows = queries.QUERIES["packed_whole_reads"](spark, "").collect()
+    rows = queries.QUERIES["packed_reads"](spark, "").collect()
     assert {r.id: r.back for r in rows} == want
     for r in rows:
-        assert r.codes == [int("".join(str("ACGT".index(c)) for c in want[r.id][p : p + 31]), 4) for p in range(0, r.n, 31)]
+        assert [int(x) for x in r.codes.split(",") if x] == [int("".join(str("ACGT".index(c)) for c in want[r.id][p : p + 31]), 4) for p in range(0, r.n, 31)]
 
     def least(s, order):  # (place, 20-mer) of each third of the places
         places = len(s) - 19
@@ -224,8 +224,36 @@ def test_whole_reads_are_packed_and_all_orders_propose(spark, monkeypatch):
             m = [least(s, o) for s in seqs]
             found[n] |= {(i, j, p - q) for i, x in enumerate(m) for j, y in enumerate(m) if i != j for p, a in x for q, b in y if a == b and p >= q and 80 - (p - q) >= queries.L}
     assert len(found[4]) > len(found[1])
-    got = {r.src: (r.n, r.total) for r in queries.QUERIES["approx_candidates_all_orders"](spark, "").collect()}
-    assert got == {i: (sum(x[0] == i for x in found[4]), sum(x[2] for x in found[4] if x[0] == i)) for i in {x[0] for x in found[4]}}
-    pairs = {(r.src, r.dst) for r in queries.QUERIES["low_error_alignments_all_orders"](spark, "").collect()}
-    one = {(r.src, r.dst) for r in queries.QUERIES["low_error_alignments"](spark, "").collect()}
-    assert one <= pairs <= {x[:2] for x in found[4]}
+    assert {tuple(r) for r in queries.QUERIES["approx_candidates"](spark, "").collect()} == found[4]
+    pairs = {(r.src, r.dst): r.off for r in queries.QUERIES["low_error_alignments"](spark, "").collect()}
+    from readloom.operators import approximate
+
+    apart = approximate.low_error_alignments(approximate.approximate_candidates(df, 20, 3, queries.L), df, 95)
+    assert pairs == {(r.src, r.dst): r.off for r in apart.collect()} and set(pairs) <= {x[:2] for x in found[4]}
+
+
+def test_neighbours_across_ranges(spark, seqs):
+    from readloom.operators import order
+
+    reads = [(i, s) for i, s in enumerate(seqs)] + [(900, "AAC"), (901, "AACG"), (902, "G"), (903, "TT"), (904, "TT")]
+    key = lambda r: (r[1].translate(str.maketrans("AGCT", "ABCD")), len(r[1]), r[0])
+    line = sorted(reads, key=key)
+    want = {}
+    for a, b in zip(line, [*line[1:], (None, "")], strict=True):
+        want[a[0]] = next((k for k in range(min(len(a[1]), len(b[1]))) if a[1][k] != b[1][k]), min(len(a[1]), len(b[1])))
+    assert {r.id: r.lcp for r in order.neighbour_lcp(spark.createDataFrame(reads, "id bigint, seq string")).collect()} == want
+
+
+def test_numbers_theory(spark):
+    import math
+
+    from readloom.functions import numbers
+
+    pairs = [(a, b) for a in range(0, 30) for b in range(1, 25)]
+    df = spark.createDataFrame(pairs, "a bigint, b bigint").select("a", "b", numbers.gcd("a", "b").alias("g"), numbers.inverse("a", "b").alias("i"))
+    for r in df.collect():
+        assert r.g == math.gcd(r.a, r.b)
+        assert r.i == (pow(r.a, -1, r.b) if r.g == 1 else -1)
+    below = spark.range(2, 300).select("id", numbers.lower_prime("id").alias("p")).collect()
+    prime = lambda n: n > 1 and all(n % k for k in range(2, int(n**0.5) + 1))
+    assert {r.id: r.p for r in below} == {n: max((k for k in range(2, n) if prime(k)), default=None) for n in range(2, 300)}

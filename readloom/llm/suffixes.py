@@ -9,10 +9,10 @@ A suffix array of the corpus is built bucket by bucket, only where it matters an
    bytes up to the next place of a difference cover, then by that place's rank (and the last few bytes in the same way). Ranks of the cover's places are computed beforehand
    for the whole block, for 40, 80 and 160 bytes by doubling, so ties of any length cost a few comparisons of integers. Hulls are laid out so that anchors stand on multiples of the cover's period: suffixes that can tie
    have one phase, and one shift reaches the cover for all. Neighbours that agree in all LENGTH bytes are repeats.
-3. A bucket of more than BUCKET_MAX different hulls (the edges of a passage that very many documents share) isn't held in one block: its suffixes are counted by 64-bit names of their
-   LENGTH bytes, with partial aggregation.
+3. A bucket of more than BUCKET_MAX different hulls (the edges of a passage that very many documents share) is split until its parts fit: its suffixes by their distance from the anchor, in two halves, and each half by
+   all bytes that its suffixes have in common, which are the more the fewer distances are left. A part of one distance has one whole string of LENGTH bytes: if it is still too large, all its suffixes repeat.
 
-Hashes are of 64 bits; which hulls of an anchor agree is decided by two of them, and in blocks by bytes.
+Hashes are of 64 bits; which hulls of an anchor agree is decided by two of them, and in parts and blocks by bytes. Filters that spare rows a shuffle are sized by what they hold, up to a fixed size; joins decide.
 
 Defined results: a null or empty text has no byte and loses none; matches never cross documents; every row is a document of its own, so repeated rows repeat all their strings, rows without doc_id too;
 texts of any length are treated whole; other columns are ignored; an empty table gives an empty result.
@@ -29,14 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import stored, table
+from readloom.llm.common import filter_bits, filter_of, passes, stored, table
 from readloom.llm.shingles import mixed
 
 LENGTH, HEAD = 200, 64
 PERIOD = 40  #: of the difference cover; LENGTH = PERIOD + 4 * PERIOD
 BLOCK_HULLS, BUCKET_MAX = 2000, 4000
 PIECE = 1 << 20
-FILTER_BITS = 1 << 23
+HALVINGS = 8  #: of the 137 distances from an anchor
+FEW = 10_000  #: keys that are broadcast
 _R = np.random.default_rng(31).integers(0, 1 << 63, 300, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -103,17 +104,6 @@ def anchors(of: list[int], at: list[int], parts: list[bytes]) -> dict[str, np.nd
     return {"text": np.array(of)[part], "start": s0 - begin[part] + np.array(at)[part], "more": more, "left": left, "anchor": mixed(h[p]).view(np.int64), "hull": hull.view(np.int64), "cut": s0}
 
 
-def window_names(data: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each LENGTH-byte string in data."""
-    h = _R[data]
-    for level in range(6):
-        m = 1 << level
-        high = h[m:]
-        h = h[:-m] * _R[256 + 2 * level] + (high ^ (high >> np.uint64(29))) * _R[257 + 2 * level]
-    n = len(data) - LENGTH + 1
-    return mixed(h[:n] * _R[280] + h[64 : 64 + n] * _R[281] + mixed(h[128 : 128 + n] * _R[282] + h[136 : 136 + n] * _R[283]))
-
-
 def repeated_in_block(bucket: np.ndarray, left: np.ndarray, hulls: list[bytes]) -> np.ndarray:
     """For all suffixes of all hulls, one hull after the other: whether another hull of the bucket has the same LENGTH bytes at the same distance from the anchor."""
     cover = difference_cover(PERIOD)
@@ -202,23 +192,19 @@ def repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
     seen = docs.mapInArrow(scan, "anchor bigint, hull bigint").groupBy("anchor").agg(F.count("*").alias("n"), F.min("hull").alias("lo"), F.max("hull").alias("hi"))
     several = stored(seen.where("n > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("differ")))
-    # Filters of fixed size, by the anchor's own bits: a fuller one lets more rows through, the join below decides.
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    unsure = bits.copy()
-    for differ, target in ((None, bits), (True, unsure)):
-        rows = several if differ is None else several.where("differ")
-        found = rows.select(F.expr(f"cast(anchor & {FILTER_BITS - 1}L as int)").alias("bit")).distinct().toArrow()["bit"].to_numpy()
-        np.bitwise_or.at(target, found >> 3, (1 << (found & 7)).astype(np.uint8))
-    known = documents.sparkSession.sparkContext.broadcast((bits.tobytes(), unsure.tobytes()))  # of fixed size
+    # By the anchor's own bits.
+    size = filter_bits(several.count())
+    bit_of = F.expr(f"anchor & {size - 1}L")
+    known = documents.sparkSession.sparkContext.broadcast((filter_of(several, bit_of), filter_of(several.where("differ"), bit_of)))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         has, open_ = (np.frombuffer(x, np.uint8) for x in known.value)
         for ids, parts, x in _lots(batches):
-            bit = x["anchor"] & (FILTER_BITS - 1)
-            keep = np.flatnonzero(has[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+            bit = x["anchor"] & (size - 1)
+            keep = np.flatnonzero(passes(has, bit))
             x = {k: v[keep] for k, v in x.items()}
             bit = bit[keep]
-            wanted = (open_[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+            wanted = passes(open_, bit)
             _, once = np.unique(np.stack([x["anchor"], x["hull"]]), axis=1, return_index=True) if len(keep) else (None, np.zeros(0, int))
             wanted &= np.isin(np.arange(len(keep)), once)
             lot = b"".join(parts)
@@ -231,42 +217,49 @@ def repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     apart = met.where("differ")
     copies = apart.groupBy("anchor", "hull").agg(F.count("*").alias("n"), F.any_value("data", True).alias("data"), F.any_value("left").alias("left"))
     copies = stored(copies)
-    sizes = copies.groupBy("anchor").agg(F.count("*").alias("hulls")).where(f"hulls > {BUCKET_MAX}")
-    n_blocks = max(1, math.ceil(copies.count() / BLOCK_HULLS))
+    # Rows of buckets that are small enough, and after HALVINGS those that aren't. lo, hi: the distances from the anchor that a row stands for.
+    rest = copies.select("anchor", "hull", "n", "left", "data", F.lit(0).alias("lo"), F.lit(LENGTH - HEAD).alias("hi"), F.lit(None).cast("binary").alias("same"))
+    fitting = None
+    for level in range(HALVINGS + 1):
+        key = ["anchor", "lo", "same"]
+        large = stored(rest.groupBy(*key).agg(F.count("*").alias("hulls")).where(f"hulls > {BUCKET_MAX}").drop("hulls"))
+        n_large = large.count()
+        named = large.select(*[F.col(c).alias(f"k_{c}") for c in key])
+        named = F.broadcast(named) if n_large <= FEW else named
+        met = (F.col("anchor") == F.col("k_anchor")) & (F.col("lo") == F.col("k_lo")) & F.col("same").eqNullSafe(F.col("k_same"))
+        fits = rest.join(named, met, "left_anti") if n_large else rest
+        fitting = fits if fitting is None else fitting.unionByName(fits)
+        if not n_large:
+            rest = None
+            break
+        rest = rest.join(named, met, "left_semi")
+        if level < HALVINGS:
+            halves = "array(struct(lo as lo, cast((lo + hi) div 2 as int) as hi), struct(cast((lo + hi) div 2 as int) + 1 as lo, hi as hi))"
+            rest = rest.withColumn("h", F.explode(F.expr(f"filter({halves}, h -> h.lo <= h.hi and h.lo <= left and h.hi >= left - (length(data) - {LENGTH}))")))
+            rest = stored(rest.select("anchor", "hull", "n", "left", "data", "h.lo", "h.hi", F.expr(f"substring(data, left - h.lo + 1, {LENGTH} - h.hi + h.lo)").alias("same")))
+    # What a row's suffixes need of its hull.
+    fitting = fitting.withColumns({"top": F.expr("least(hi, left)"), "low": F.expr(f"greatest(lo, left - (length(data) - {LENGTH}))")})
+    fitting = fitting.select("anchor", "hull", "n", F.expr("left - top").alias("base"), F.col("top").alias("left"), F.expr(f"substring(data, left - top + 1, top - low + {LENGTH})").alias("data"), F.xxhash64("anchor", "lo", "same").alias("bucket"))
+    fitting = stored(fitting)
+    n_blocks = max(1, math.ceil(fitting.count() / BLOCK_HULLS))
 
     def sort_block(t: pa.Table) -> pa.Table:
-        anchor, hull, n, left = (t[k].to_numpy() for k in ("anchor", "hull", "n", "left"))
+        anchor, hull, n, left, base, bucket = (t[k].to_numpy() for k in ("anchor", "hull", "n", "left", "base", "bucket"))
         data = t["data"].to_pylist()
-        again = repeated_in_block(anchor, left.astype(np.int64), data)
+        again = repeated_in_block(bucket, left.astype(np.int64), data)
         rows: list[tuple] = []
         at = 0
         for i, d in enumerate(data):
             m = len(d) - LENGTH + 1
             lo, hi = ([0], [m - 1]) if n[i] > 1 else _runs(again[at : at + m])
-            rows += [(anchor[i], hull[i], a, b) for a, b in zip(lo, hi, strict=True)]
+            rows += [(anchor[i], hull[i], a + base[i], b + base[i]) for a, b in zip(lo, hi, strict=True)]
             at += m
         return pa.table(dict(zip(("anchor", "hull", "first", "last"), (pa.array([r[k] for r in rows], pa.int64() if k < 2 else pa.int32()) for k in range(4)), strict=True)))
 
-    ranges = "anchor bigint, hull bigint, first int, last int"
-    blocks = copies.join(sizes, "anchor", "left_anti").withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(n_blocks)))
-    from_blocks = blocks.groupBy("block").applyInArrow(sort_block, ranges)
-
-    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for start in range(0, b.num_rows, 256):
-                c = b.slice(start, 256)
-                found = [window_names(np.frombuffer(d, np.uint8)) for d in c.column(2).to_pylist()]
-                at = np.repeat(np.arange(c.num_rows), [len(f) for f in found])
-                offset = np.concatenate([np.arange(len(f)) for f in found])
-                left = c.column(4).to_numpy()[at]
-                yield pa.RecordBatch.from_arrays([c.column(0).take(pa.array(at)), c.column(1).take(pa.array(at)), pa.array(offset.astype(np.int32)), pa.array((left - offset).astype(np.int32)), pa.array(np.concatenate(found).view(np.int64)), c.column(3).take(pa.array(at))], ["anchor", "hull", "first", "ahead", "name", "n"])
-
-    large = copies.join(sizes, "anchor", "left_semi").select("anchor", "hull", "data", "n", "left").mapInArrow(names, "anchor bigint, hull bigint, first int, ahead int, name bigint, n bigint")
-    twice = large.groupBy("anchor", "ahead", "name").agg(F.sum("n").alias("k")).where("k > 1").drop("k")
-    from_large = large.join(twice, ["anchor", "ahead", "name"]).select("anchor", "hull", "first", F.col("first").alias("last"))
-    # Single suffixes of a hull in a row become one range.
-    from_large = from_large.groupBy("anchor", "hull").agg(F.sort_array(F.collect_list("first")).alias("f")).select("anchor", "hull", F.inline(F.expr("transform(filter(f, (x, i) -> i = 0 or get(f, i - 1) <> x - 1), (x, i) -> struct(x as first, element_at(filter(f, (y, j) -> y >= x and coalesce(get(f, j + 1) <> y + 1, true)), 1) as last))")))
-    edges = apart.join(from_blocks.unionByName(from_large), ["anchor", "hull"]).select("doc", F.expr("start + first").alias("lo"), F.expr(f"start + last + {LENGTH}").alias("hi"))
+    ranges = fitting.withColumn("block", F.pmod(F.col("bucket"), F.lit(n_blocks))).groupBy("block").applyInArrow(sort_block, "anchor bigint, hull bigint, first int, last int")
+    if rest is not None:
+        ranges = ranges.unionByName(rest.select("anchor", "hull", F.expr("left - lo").alias("first"), F.expr("left - lo").alias("last")))
+    edges = apart.join(ranges, ["anchor", "hull"]).select("doc", F.expr("start + first").alias("lo"), F.expr(f"start + last + {LENGTH}").alias("hi"))
     return sure.unionByName(edges).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 

@@ -93,7 +93,25 @@ def test_block_against_brute_force():
     assert got.tolist() == [counts[n] > 1 for n in names] and 0 < got.sum() < len(got)
 
 
-def test_names_tell_strings_apart():
-    data = np.frombuffer(bytes(random.Random(3).choices(b"abc", k=3000)) * 2, np.uint8)
-    names = suffixes.window_names(data)
-    assert len(set(names[:2801].tolist())) == 2801 and (names[:2801] == names[3000:]).all()
+def test_hot_passage_is_split_by_bytes(spark, monkeypatch):
+    """Hundreds of documents that share a passage, each between words of its own: no bucket of theirs is held whole, and every part is sorted or of one string."""
+    monkeypatch.setattr(suffixes, "BUCKET_MAX", 8)
+    monkeypatch.setattr(suffixes, "BLOCK_HULLS", 20)
+    rng = random.Random(4)
+    passage = words(rng, 60)
+    rows = [(i, words(rng, 12) + passage[: rng.choice([230, 260, len(passage)])] + words(rng, 12)) for i in range(120)] + [(500 + i, passage[i : i + 215] + "#" + str(i)) for i in range(0, 60, 3)]
+    out = suffixes.without_repeats(spark.createDataFrame([(i, t, "s", 1, "h") for i, t in rows], DOCS))
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out.collect()), key=str) == brute(rows)
+
+
+def test_filters(spark):
+    from pyspark.sql import functions as F
+
+    from readloom.llm import common
+
+    for ids in ([], [0], [5, 32767, 32768, 65535, 70_000], list(range(0, 200_000, 7))):
+        bits = common.filter_bits(len(ids))
+        assert bits >= 8 * len(ids) and bits & (bits - 1) == 0
+        made = common.filter_of(spark.createDataFrame([(i,) for i in ids], "id bigint"), F.expr(f"id % {bits}"))
+        got = common.passes(np.frombuffer(made, np.uint8), np.arange(bits))
+        assert set(np.flatnonzero(got).tolist()) == {i % bits for i in ids}

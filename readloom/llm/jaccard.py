@@ -6,13 +6,15 @@ link can miss, plus one) and meet by scanning those. The boundary is the size at
 
 Lists of a passage or template that very many documents share are not multiplied out. First every list links its members to one pivot only; verified links
 form components; then only lists that still hold several components are scanned for pairs across components whose places in the token order leave room
-for the overlap. A pair within one component needs no test, a pair without that room can't be linked, so no link that matters is lost.
+for the overlap. The scan joins by classes of size: the larger of two sets asks for those sizes only that its place leaves room for, and the smaller one is listed only by its first places. A pair within one component
+needs no test, a pair without that room can't be linked, so no link that matters is lost.
 
-Counting tokens moves 6 bytes for each shingle: texts are hashed in batches, each batch sends sorted blobs to hash buckets, and a bucket answers each batch
-with the tokens that some other document holds too. Bucket number and batch size bound each task's memory. All pairs are verified on 64-bit shingle hashes of whole texts.
+One text of each class of equal sets is counted and linked. Counting tokens moves a few bytes for each shingle: texts are hashed in batches, each batch sends its different tokens, with how many of its texts hold them, to hash
+buckets, and a bucket answers with how rare each is. So a token that a third of all texts hold is one entry for each batch, and bucket and batch sizes bound each task's memory; both grow with the corpus, so that what goes from a batch to a
+bucket doesn't shrink to nothing. All pairs are verified on 64-bit shingle hashes of whole texts.
 
-Defined results: texts without a word have an empty set and are linked with nothing; equal sets are one class, its smallest doc_id stands for it; rows that share a doc_id are taken
-to repeat one text; a row without doc_id keeps its size, has no component and takes no part; other columns are ignored (ngram_jaccard) or kept (one_of_each_group).
+Defined results: texts without a word have an empty set and are linked with nothing; equal sets are one class, its smallest doc_id stands for it; rows that share a doc_id are one document: it is linked by any of its
+texts; a row without doc_id keeps its size, has no component and takes no part; other columns are ignored (ngram_jaccard) or kept (one_of_each_group).
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -28,15 +31,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import cut, free_prefix, stored, table
+from readloom.llm.common import filter_bits, filter_of, free_prefix, passes, stored, table
 from readloom.llm.graph import components
 from readloom.llm.shingles import set_prints, shingle_sets
 
 BATCH_BYTES, BATCH_DOCS = 4 << 20, 60_000  #: texts that are counted together
 BUCKET_BYTES = 8 << 20  #: text for each hash bucket
-SMALL_MAX = 24  #: sets over this size never enumerate subsets
-FILTER_BITS = 1 << 23  #: fixed size of the filter of documents whose texts are needed again
+GROWS_FROM, GROWS_TO = 30 << 30, 8  #: text from which both grow with its square root, and how many times at most
+MOST_SUBSETS = 4096  #: of one set
 PER_PIVOT = 64  #: texts verified against a pivot in one group
+PER_TEXT = 64  #: groups that one copy of a text is joined to
+CLASSES = 4  #: of size, for sizes that can be linked
+FEW = 10_000  #: rows that are broadcast
 
 
 def overlap_needed(a, b, num: int, den: int):
@@ -57,17 +63,26 @@ def subset_cost(n: int, num: int, den: int) -> int:
     return sum(math.comb(n, c) for c in subset_sizes(n, num, den).values())
 
 
+@lru_cache
+def small_max(num: int, den: int) -> int:
+    """The size up to which no set has more than MOST_SUBSETS subsets to enumerate."""
+    n = 0
+    while n < 64 and subset_cost(n + 1, num, den) <= MOST_SUBSETS:
+        n += 1
+    return n
+
+
 def _texts(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.large_binary()).to_pylist()]
 
 
-def _slices(b: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
+def _slices(b: pa.RecordBatch, batch_bytes: int = BATCH_BYTES) -> Iterator[tuple[list, list[bytes]]]:
     """Ids and texts in parts of bounded size."""
     ids, texts = b.column(0), b.column(1).cast(pa.large_binary())
     start, size = 0, 0
     sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
     for i, n in enumerate(sizes):
-        if i > start and (size + n > BATCH_BYTES or i - start >= BATCH_DOCS):
+        if i > start and (size + n > batch_bytes or i - start >= BATCH_DOCS):
             yield ids[start:i].to_pylist(), _texts(texts[start:i])
             start, size = i, 0
         size += n
@@ -89,90 +104,119 @@ def set_table(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, "doc bigint, n bigint, p1 bigint, p2 bigint")
 
 
-def rare_first_tokens(docs: DataFrame, width: int, num: int, den: int, n_buckets: int) -> DataFrame:
-    """doc, n, missing, tokens: the tokens that other documents hold too, rarest first, after missing that none does: all of a small set's, and of a
-    large one's as many as belong to its prefix. Documents that can't be linked have no row. docs: doc, text, without null ids."""
+def _high_first(x: np.ndarray) -> bytes:
+    """Bytes of one weight stand together, so that high ones compress."""
+    return np.ascontiguousarray(x.astype(x.dtype.newbyteorder(">")).view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def _back(data: bytes, kind, n: int, at: int) -> np.ndarray:
+    kind = np.dtype(kind)
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, kind.itemsize * n, at).reshape(kind.itemsize, n).T).view(kind.newbyteorder(">")).ravel().astype(kind)
+
+
+def rare_first_tokens(docs: DataFrame, wanted, width: int, num: int, den: int, n_buckets: int, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """doc, p1, p2, n, missing, tokens: the tokens that other texts hold too, rarest first, after missing that none does: all of a small set's, and of a
+    large one's as many as belong to its prefix. Texts that can't be linked have no row. docs: doc, text, without null ids; wanted: broadcast (bytes, bits) of the filter of p1 ^ doc of those that count."""
+    most_small = small_max(num, den)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
         from pyspark import TaskContext
 
+        has, bits = wanted.value
+        has = np.frombuffer(has, np.uint8)
         serial = TaskContext.get().partitionId() << 32
         for b in batches:
-            for ids, texts in _slices(b):
+            for ids, texts in _slices(b, batch_bytes):
                 of, h = shingle_sets(texts, width)
-                bucket, low = h % np.uint64(n_buckets), h >> np.uint64(32)
-                order = np.argsort(bucket << np.uint64(32) | low)
-                of, bucket, low = of[order].astype(np.uint16), bucket[order], low[order].astype(np.uint32)
-                cuts = np.searchsorted(bucket, np.arange(n_buckets + 1))
-                full = np.flatnonzero(np.diff(cuts))
-                # Bytes of one weight stand together, so that the sorted high ones compress.
-                blobs = [np.ascontiguousarray(low[cuts[k] : cuts[k + 1]].astype(">u4").view(np.uint8).reshape(-1, 4).T).tobytes() + of[cuts[k] : cuts[k + 1]].tobytes() for k in full]
-                head = np.array(ids, np.int64).tobytes() + np.bincount(of, minlength=len(ids)).astype(np.int64).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([*full.tolist(), serial % n_buckets], pa.int32()), pa.array([serial] * (len(full) + 1), pa.int64()), pa.array([False] * len(full) + [True]), pa.array([*blobs, head], pa.binary())], ["bucket", "batch", "head", "data"])
+                ids = np.array(ids, np.int64)
+                n, p1, p2 = set_prints(len(texts), of, h)
+                once = np.zeros(len(ids), bool)
+                once[np.unique(np.stack([ids, p1, p2]), axis=1, return_index=True)[1]] = True
+                keep = once & (n > 0) & passes(has, (p1 ^ ids) & (bits - 1))
+                if not keep.any():
+                    continue
+                pairs = keep[of]
+                of, h = (np.cumsum(keep) - 1)[of[pairs]].astype(np.uint16), h[pairs]
+                key = (h % np.uint64(n_buckets)) << np.uint64(32) | h >> np.uint64(32)
+                order = np.argsort(key)
+                key, of = key[order], of[order]
+                first = np.flatnonzero(np.diff(key, prepend=key[:1] ^ np.uint64(1)) != 0)
+                count = np.diff(first, append=len(key)).astype(np.uint16)
+                bucket, low = (key[first] >> np.uint64(32)).astype(np.int64), key[first].astype(np.uint32)
+                edge = np.flatnonzero(np.diff(bucket, prepend=-1) != 0)
+                size = np.diff(edge, append=len(bucket))
+                blobs = [_high_first(low[a : a + m]) + _high_first(count[a : a + m]) for a, m in zip(edge.tolist(), size.tolist(), strict=True)]
+                own = np.array([keep.sum(), len(edge), len(first), len(of)], np.int64).tobytes() + np.stack([ids[keep], n[keep], p1[keep], p2[keep]]).tobytes() + bucket[edge].tobytes() + size.astype(np.int64).tobytes() + _high_first(count) + _high_first(of)
+                yield pa.RecordBatch.from_arrays([pa.array([*bucket[edge].tolist(), n_buckets + hash((serial, "own")) % n_buckets], pa.int32()), pa.array([serial] * (len(edge) + 1), pa.int64()), pa.array([*blobs, own], pa.binary())], ["bucket", "batch", "data"])
                 serial += 1
 
     def count(t: pa.Table) -> pa.Table:
-        heads, data, bucket = t["head"].to_pylist(), t["data"].to_pylist(), t["bucket"][0].as_py()
-        parts = []
-        for head, d in zip(heads, data, strict=True):
-            m = 0 if head else len(d) // 6
-            parts.append((np.ascontiguousarray(np.frombuffer(d, np.uint8, 4 * m).reshape(4, m).T).view(">u4").ravel().astype(np.uint32), np.frombuffer(d, np.uint16, m, 4 * m)))
-        everything = np.concatenate([p[0] for p in parts])
-        everything.sort()
-        edge = np.flatnonzero(np.diff(everything, prepend=everything[:1] + np.uint32(1)) != 0) if len(everything) else np.zeros(0, np.int64)
-        sizes = np.diff(np.append(edge, len(everything)))
-        several = sizes > 1
-        tokens, rank = everything[edge[several]], np.minimum(255, np.rint(8 * np.log2(sizes[several]))).astype(np.uint8)
+        bucket = t["bucket"][0].as_py()
+        if bucket >= n_buckets:
+            return t
+        data = t["data"].to_pylist()
+        parts = [(_back(d, np.uint32, len(d) // 6, 0), _back(d, np.uint16, len(d) // 6, 4 * (len(d) // 6))) for d in data]
+        everything, held = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        order = np.argsort(everything, kind="stable")
+        everything, held = everything[order], held[order].astype(np.int64)
+        edge = np.flatnonzero(np.diff(everything, prepend=everything[:1] ^ np.uint32(1)) != 0)
+        total = np.add.reduceat(held, edge)
+        several = total > 1
+        tokens, rank = everything[edge[several]], np.minimum(255, np.rint(8 * np.log2(total[several]))).astype(np.uint8)
         out = []
-        for (h, of), head, d in zip(parts, heads, data, strict=True):
-            if head:
-                out.append(d)
-                continue
-            at = np.searchsorted(tokens, h)
+        for low, _ in parts:
+            at = np.searchsorted(tokens, low)
             hit = at < len(tokens)
-            hit[hit] = tokens[at[hit]] == h[hit]
-            out.append(h[hit].tobytes() + of[hit].tobytes() + rank[at[hit]].tobytes())
-        kept = [i for i, d in enumerate(out) if d]
-        return pa.table({"batch": t["batch"].combine_chunks().take(pa.array(kept, pa.int64())), "head": pa.array([heads[i] for i in kept], pa.bool_()), "bucket": pa.array([bucket] * len(kept), pa.int32()), "data": pa.array([out[i] for i in kept], pa.binary())})
+            hit[hit] = tokens[at[hit]] == low[hit]
+            ranks = np.zeros(len(low), np.uint8)
+            ranks[hit] = rank[at[hit]]
+            out.append(ranks.tobytes() + _high_first(low[hit]))
+        return pa.table({"bucket": t["bucket"], "batch": t["batch"], "data": pa.array(out, pa.binary())})
 
     def choose(t: pa.Table) -> pa.Table:
-        empty = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("missing", pa.int64()), ("tokens", pa.list_(pa.int64()))])
-        ids = n = None
-        token, of, rank = [], [], []
-        for head, bucket, d in zip(t["head"].to_pylist(), t["bucket"].to_pylist(), t["data"].to_pylist(), strict=True):
-            if head:
-                m = len(d) // 16
-                ids, n = np.frombuffer(d, np.int64, m), np.frombuffer(d, np.int64, m, 8 * m)
-                continue
-            m = len(d) // 7
-            token.append(np.frombuffer(d, np.uint32, m).astype(np.int64) | np.int64(bucket) << 32)
-            of.append(np.frombuffer(d, np.uint16, m, 4 * m))
-            rank.append(np.frombuffer(d, np.uint8, m, 6 * m))
-        if not token:
-            return empty.empty_table()
-        token, of, rank = np.concatenate(token), np.concatenate(of).astype(np.int64), np.concatenate(rank)
+        empty = pa.schema([(c, pa.int64()) for c in ("doc", "p1", "p2", "n", "missing")] + [("tokens", pa.list_(pa.int64()))])
+        answers = dict(zip(t["bucket"].to_pylist(), t["data"].to_pylist(), strict=True))
+        own = answers.pop(next(b for b in answers if b >= n_buckets))
+        n_docs, n_edges, n_first, n_pairs = np.frombuffer(own, np.int64, 4).tolist()
+        ids, n, p1, p2 = np.frombuffer(own, np.int64, 4 * n_docs, 32).reshape(4, n_docs)
+        at = 32 + 32 * n_docs
+        buckets, sizes = np.frombuffer(own, np.int64, 2 * n_edges, at).reshape(2, n_edges)
+        at += 16 * n_edges
+        counts, of = _back(own, np.uint16, n_first, at).astype(np.int64), _back(own, np.uint16, n_pairs, at + 2 * n_first).astype(np.int64)
+        rank, token = np.zeros(n_first, np.uint8), np.zeros(n_first, np.int64)
+        begin = 0
+        for bucket, m in zip(buckets.tolist(), sizes.tolist(), strict=True):
+            data = answers[bucket]
+            r = np.frombuffer(data, np.uint8, m)
+            rank[begin : begin + m] = r
+            token[begin : begin + m][r > 0] = _back(data, np.uint32, int((r > 0).sum()), m).astype(np.int64) | bucket << 32
+            begin += m
+        rank, token = np.repeat(rank, counts), np.repeat(token, counts)
+        hit = rank > 0
+        rank, token, of = rank[hit], token[hit], of[hit]
         order = np.lexsort((token, rank, of))
         token, of = token[order], of[order]
-        shared = np.bincount(of, minlength=len(ids))
+        shared = np.bincount(of, minlength=n_docs)
         begin = np.cumsum(shared) - shared
         missing = n - shared
-        take = np.where(n <= SMALL_MAX, shared, np.clip(prefix_length(n, num, den) - missing, 0, shared))
+        take = np.where(n <= most_small, shared, np.clip(prefix_length(n, num, den) - missing, 0, shared))
         take[prefix_length(n, num, den) <= missing] = 0
         rows = np.flatnonzero(take)
         flat = token[np.concatenate([np.arange(begin[r], begin[r] + take[r]) for r in rows])] if len(rows) else token[:0]
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take[rows])]).astype(np.int32)), pa.array(flat))
-        return pa.Table.from_arrays([pa.array(ids[rows]), pa.array(n[rows]), pa.array(missing[rows]), lists], schema=empty)
+        return pa.Table.from_arrays([*(pa.array(x[rows]) for x in (ids, p1, p2, n, missing)), lists], schema=empty)
 
-    blobs = docs.select("doc", "text").mapInArrow(emit, "bucket int, batch bigint, head boolean, data binary")
-    answers = blobs.groupBy("bucket").applyInArrow(count, "batch bigint, head boolean, bucket int, data binary")
-    return answers.groupBy("batch").applyInArrow(choose, "doc bigint, n bigint, missing bigint, tokens array<bigint>")
+    kind = "bucket int, batch bigint, data binary"
+    answers = docs.select("doc", "text").mapInArrow(emit, kind).groupBy("bucket").applyInArrow(count, kind)
+    return answers.groupBy("batch").applyInArrow(choose, "doc bigint, p1 bigint, p2 bigint, n bigint, missing bigint, tokens array<bigint>")
 
 
 def boundary(sizes: dict[int, int], scan_cost: float, num: int, den: int) -> int:
-    """The size up to which sets enumerate subsets. sizes: how many sets of each size up to SMALL_MAX; scan_cost: rows met for each row in a list."""
-    lists = {n: max(0, prefix_length(n, num, den)) * (1 + scan_cost) for n in range(1, SMALL_MAX + 1)}
-    costs = [sum(c * (subset_cost(n, num, den) if n <= b else lists[n]) for n, c in sizes.items()) for b in range(SMALL_MAX + 1)]
+    """The size up to which sets enumerate subsets. sizes: how many sets of each size up to small_max(); scan_cost: rows met for each row in a list."""
+    most = small_max(num, den)
+    lists = {n: max(0, prefix_length(n, num, den)) * (1 + scan_cost) for n in range(1, most + 1)}
+    costs = [sum(c * (subset_cost(n, num, den) if n <= b else lists[n]) for n, c in sizes.items() if n <= most) for b in range(most + 1)]
     return int(np.argmin(costs))
 
 
@@ -199,36 +243,41 @@ def subset_pairs(small: DataFrame, limit: int, num: int, den: int) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Those pairs (a, b) that are linked. Only texts of documents in pairs move, and no group holds more than about PER_PIVOT of them."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    bits = ids.select(F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).cast("int").alias("bit"), "id").groupBy("bit").agg(F.lit(1)).select("bit").toArrow()["bit"].to_numpy()
-    needed = np.zeros(FILTER_BITS // 8, np.uint8)
-    np.bitwise_or.at(needed, bits >> 3, (1 << (bits & 7)).astype(np.uint8))
-    known = docs.sparkSession.sparkContext.broadcast(needed.tobytes())  # FILTER_BITS / 8 bytes at any size of the corpus
+    ids = stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    bits = filter_bits(ids.count())
+    known = docs.sparkSession.sparkContext.broadcast(filter_of(ids, F.expr(f"xxhash64(id) & {bits - 1}L")))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         has = np.frombuffer(known.value, np.uint8)
         for b in batches:
-            bit = b.column(2).to_numpy()
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array((has[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool))) for c in b.columns[:2]], ["doc", "text"])
+            keep = pa.array(passes(has, b.column(2).to_numpy()))
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in b.columns[:2]], ["doc", "text"])
 
-    near = docs.select("doc", "text", F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS)).cast("int").alias("bit")).mapInArrow(pick, "doc bigint, text string")
-    texts = near.join(ids, near.doc == ids.id, "left_semi").dropDuplicates(["doc"])
+    near = docs.select("doc", "text", F.expr(f"xxhash64(doc) & {bits - 1}L").alias("bit")).mapInArrow(pick, "doc bigint, text string")
     parts = pairs.groupBy("a").agg(F.count("*").alias("m")).select("a", F.expr(f"cast(ceil(m / {PER_PIVOT}) as bigint)").alias("parts"))
     members = pairs.join(parts, "a").select("a", F.expr("pmod(xxhash64(b), parts)").alias("part"), F.col("b").alias("doc"))
     pivots = members.select("a", "part").distinct().select("a", "part", F.col("a").alias("doc"))
-    rows = members.unionByName(pivots).join(texts, "doc").select("a", "part", "doc", "text")
+    # A text that many groups need has a copy for each PER_TEXT of them.
+    needs = stored(members.unionByName(pivots))
+    salts = needs.groupBy("doc").agg(F.count("*").alias("k")).select("doc", F.expr(f"cast(ceil(k / {PER_TEXT}) as bigint)").alias("salts"))
+    texts = near.join(salts, "doc").dropDuplicates(["doc", "text"]).select("doc", "text", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"))
+    hot = stored(salts.where("salts > 1"))
+    named = F.broadcast(hot) if hot.count() <= FEW else hot
+    salted = needs.join(named, "doc", "left").select("a", "part", "doc", F.expr("pmod(xxhash64(a, part), coalesce(salts, 1L))").alias("salt"))
+    rows = salted.join(texts, ["doc", "salt"]).select("a", "part", "doc", "text")
 
     def check(t: pa.Table) -> pa.Table:
         a, ids, texts = t["a"][0].as_py(), t["doc"].to_pylist(), _texts(t["text"].combine_chunks())
         of, h = shingle_sets(texts, width)
         cuts = np.searchsorted(of, np.arange(len(ids) + 1))
-        own = h[cuts[ids.index(a)] : cuts[ids.index(a) + 1]] if a in ids else h[:0]
-        linked = []
+        owns = [h[cuts[i] : cuts[i + 1]] for i, b in enumerate(ids) if b == a]
+        linked = set()
         for i, b in enumerate(ids):
-            if b != a:
+            for own in owns if b != a and b not in linked else ():
                 both = len(np.intersect1d(own, h[cuts[i] : cuts[i + 1]], assume_unique=True))
                 if both and den * both >= num * (len(own) + cuts[i + 1] - cuts[i] - both):
-                    linked.append(b)
+                    linked.add(b)
+        linked = sorted(linked)
         return pa.table({"a": pa.array([a] * len(linked), pa.int64()), "b": pa.array(linked, pa.int64())})
 
     return rows.groupBy("a", "part").applyInArrow(check, "a bigint, b bigint")
@@ -238,15 +287,21 @@ def ngram_jaccard(documents: DataFrame, width: int = 5, num: int = 80, den: int
     """A row for each row of documents: doc_id, n_shingles, component_id. Sets are linked if den * intersection >= num * union."""
     docs = documents.select(documents[id_col].cast("bigint").alias("doc"), documents[text_col].cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_buckets = max(8, math.ceil(size / BUCKET_BYTES))
+    growth = min(GROWS_TO, max(1.0, math.sqrt(size / GROWS_FROM)))
+    n_buckets = max(8, math.ceil(size / (BUCKET_BYTES * growth)))
     sets = stored(set_table(docs, width))
     classes = sets.where("doc is not null and n > 0").groupBy("p1", "p2").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"))
     classes = stored(classes)
+    # Documents of several texts hold their classes together.
+    several = sets.where("doc is not null and n > 0").groupBy("doc").agg(F.min(F.struct("p1", "p2")).alias("lo"), F.max(F.struct("p1", "p2")).alias("hi")).where("lo <> hi").select("doc")
+    tied = stored(sets.join(several, "doc", "left_semi").join(classes, ["p1", "p2"]).select(F.col("doc").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct())
 
     named = docs.where("doc is not null")
-    tokens = rare_first_tokens(named, width, num, den, n_buckets)
-    tokens = stored(tokens.join(classes.select(F.col("rep").alias("doc"), "copies"), "doc").dropDuplicates(["doc"]))
-    small = tokens.where(F.col("n") <= SMALL_MAX)
+    bits = filter_bits(classes.count())
+    wanted = documents.sparkSession.sparkContext.broadcast((filter_of(classes, F.expr(f"(p1 ^ rep) & {bits - 1}L")), bits))
+    tokens = rare_first_tokens(named, wanted, width, num, den, n_buckets, int(BATCH_BYTES * growth))
+    tokens = stored(tokens.join(classes.select(F.col("rep").alias("doc"), "p1", "p2", "copies"), ["doc", "p1", "p2"]).dropDuplicates(["doc", "p1", "p2"]))
+    small = tokens.where(F.col("n") <= small_max(num, den))
     prefix = tokens.select("doc", "n", "copies", "missing", F.posexplode(F.expr(f"slice(tokens, 1, cast(n - cast(ceil(n * {num}D / {den}D - 1e-9D) as bigint) + 1 - missing as int))")).alias("i", "token")).withColumn("at", F.col("missing") + F.col("i"))
     held = prefix.groupBy("token").agg(F.count("*").alias("c")).agg(F.sum("c").alias("rows"), F.sum(F.col("c").cast("double") * F.col("c")).alias("scans")).first()
     scan_cost = (held["scans"] or 0) / max(1, held["rows"] or 0)
@@ -266,12 +321,18 @@ def ngram_jaccard(documents: DataFrame, width: int = 5, num: int = 80, den: int
     labelled = lists.join(found, lists.doc == found.id, "left").select("token", "doc", "n", "at", F.coalesce("component", "doc").alias("of"))
     mixed_lists = labelled.groupBy("token").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("token")
     labelled = stored(labelled.join(mixed_lists, "token", "left_semi"))
-    across = labelled.alias("x").join(labelled.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.of") != F.col("y.of")) & F.expr(fits)).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+    # x is the larger set, or of equal ones that with the greater id.
+    size_class = f"cast(floor({CLASSES}D * ln({{0}}) / ln({den}D / {num}D) + 1e-9D) as int)" if num < den else "cast({0} as int)"
+    least, most = f"ceil({num}D * n / {den}D - 1e-9D)", f"least(n, floor((n - at) * {num + den}D / {num}D + 1e-9D) - n)"
+    asking = labelled.where(f"{most} >= {least}").select("*", F.explode(F.expr(f"sequence({size_class.format(least)}, {size_class.format(most)})")).alias("size")).alias("x")
+    listed = labelled.where(f"n - at >= ceil({2 * num}D * n / {num + den}D - 1e-9D)").withColumn("size", F.expr(size_class.format("n"))).alias("y")
+    apart = F.expr("(x.n > y.n or (x.n = y.n and x.doc > y.doc)) and x.doc <> y.doc and x.of <> y.of")
+    across = asking.join(listed, (F.col("x.token") == F.col("y.token")) & (F.col("x.size") == F.col("y.size")) & apart & F.expr(fits)).select(F.expr("least(x.doc, y.doc)").alias("a"), F.expr("greatest(x.doc, y.doc)").alias("b")).distinct()
     tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     across = stored(across.join(tested, ["a", "b"], "left_anti"))
     more = stored(verified(across, named, width, num, den))
 
-    ends = components(links.unionByName(more))
+    ends = components(links.unionByName(more).unionByName(tied))
     own = classes.join(ends, classes.rep == ends.id, "left").select("p1", "p2", F.coalesce("component", "rep").alias("component_id"))
     out = sets.join(own, ["p1", "p2"], "left")
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc")).alias("component_id"))

@@ -90,6 +90,36 @@ def test_jaccard_edges(spark):
     assert kept.columns == docs.columns and sorted([r.doc_id for r in kept.collect()], key=str) == sorted([None, 1, 2], key=str)
 
 
+def test_jaccard_documents_of_several_texts(spark):
+    """Rows of one id and different texts are one document, whatever their order."""
+    rng = random.Random(9)
+    one, two, three = (" ".join(words_of(rng, 40)) for _ in range(3))
+    rows = [(5, one), (5, two), (2, two + " more"), (9, one), (7, three), (7, three + " x"), (8, "apart " + " ".join(words_of(rng, 30)))]
+    for order in (rows, rows[::-1]):
+        out = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard.ngram_jaccard(frame(spark, order), 3, 90, 100).collect()}
+        assert out == {(5, 38): 2, (2, 39): 2, (9, 38): 2, (7, 38): 7, (7, 39): 7, (8, 29): 8}
+
+
+def test_jaccard_of_a_template(spark):
+    """Many texts that share most of their shingles without being linked: no list is multiplied out, and no token's texts meet in one group."""
+    import time
+
+    shared = " ".join(f"t{i}" for i in range(58))  # 56 shingles of three words
+    docs = spark.range(60_000).selectExpr("id as doc_id", f"concat('{shared}', ' a', id, ' b', id, ' c', id, ' d', id, ' e', id, ' f', id, ' g', id, ' h', id) as text")
+    docs = docs.unionByName(docs.where("doc_id % 6000 = 0").selectExpr("doc_id + 100000 as doc_id", "concat(text, ' end') as text"))
+    begin = time.time()
+    out = {r.doc_id: r.component_id for r in jaccard.ngram_jaccard(docs, 3, 90, 100).collect()}
+    assert all(c == (d - 100_000 if d >= 100_000 else d) for d, c in out.items()) and len(out) == 60_010 and time.time() - begin < 120
+
+
+def test_blob_bytes():
+    import numpy as np
+
+    for kind in (np.uint16, np.uint32):
+        x = np.random.default_rng(1).integers(0, np.iinfo(kind).max, 37).astype(kind)
+        assert (jaccard._back(b"xy" + jaccard._high_first(x), kind, 37, 2) == x).all()
+
+
 def test_boundary_follows_cost():
     sizes = dict.fromkeys(range(1, 25), 10)
     assert jaccard.boundary(sizes, 1e9, 90, 100) == 24

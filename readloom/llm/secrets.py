@@ -1,7 +1,7 @@
 """Secret scans: patterns find candidates, a random forest trained from labelled findings removes false positives.
 
 Candidates are values assigned to telling names, strings with known prefixes, key blocks, and runs of 20 or more token characters that hold a digit. The forest looks at a candidate's
-length, its character transitions (mean log-likelihoods under a letter-pair model of words, and changes of character class), its dictionary coverage, whether it stands in a path or address,
+length, its character transitions (mean log-likelihoods under a letter-pair model of words, and changes of character class), its dictionary coverage (words of WORDS and the whole words of a public vocabulary, whose path is a parameter), whether it stands in a path or address,
 and the words next to it. It is grown here with numpy on a bounded sample of labelled findings (MAX_LABELS, at most) with bootstrapped rows and random subsets of features, and is the same for one seed.
 Without labelled findings of one's own, findings() makes some: secrets of common formats, and what is mistaken for them.
 
@@ -14,13 +14,15 @@ from __future__ import annotations
 import math
 import random
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from readloom.llm.common import table
+from readloom.llm.sentencepieces import MODEL
 
 MAX_LABELS, TREES, DEPTH, LEAST_LEAF, SEED = 20_000, 30, 10, 3, 5
 SIDE = 60  #: bytes of text on either side that features look at
@@ -61,32 +63,40 @@ def candidates(raw: bytes) -> list[tuple[int, int, str]]:
     return sorted(kept)
 
 
-def _pairs() -> np.ndarray:
-    """Log-probabilities of a lower-case letter after another, from WORDS."""
+def _pairs(words: Iterable[str]) -> np.ndarray:
+    """Log-probabilities of a lower-case letter after another in words."""
     counts = np.full((26, 26), 0.5)
-    for w in WORDS:
+    for w in words:
         for a, b in zip(w, w[1:], strict=False):
-            if a.isalpha() and b.isalpha():
-                counts[ord(a) - 97, ord(b) - 97] += 1
+            counts[ord(a) - 97, ord(b) - 97] += 1
     return np.log(counts / counts.sum(1, keepdims=True))
 
 
-_LL = _pairs()
+@lru_cache(maxsize=2)
+def lexicon(model_path: str = MODEL) -> tuple[frozenset[str], np.ndarray]:
+    """The dictionary and its letter pairs: WORDS, and what begins a word in the vocabulary file and has four letters or more. Read on the driver only."""
+    import sentencepiece
 
+    sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
+    found = {p[1:].lower() for p in (sp.id_to_piece(i) for i in range(sp.get_piece_size())) if re.fullmatch("\u2581[A-Za-z][a-z]{3,}", p)}
+    words = frozenset(found | {w for w in WORDS if re.fullmatch("[a-z]+", w)} | WORDS)
+    return words, _pairs(w for w in words if re.fullmatch("[a-z]+", w))
 
-def features(value: str, before: str, after: str) -> list[float]:
-    """FEATURES of a candidate and up to SIDE characters around it."""
+
+def features(value: str, before: str, after: str, known: tuple[frozenset[str], np.ndarray] | None = None) -> list[float]:
+    """FEATURES of a candidate and up to SIDE characters around it. known: a lexicon()."""
+    dictionary, likely = lexicon() if known is None else known
     n = max(1, len(value))
     counts = np.bincount(np.frombuffer(value.encode("latin-1", "replace"), np.uint8), minlength=256)
     p = counts[counts > 0] / n
     low = value.lower()
-    pairs = [_LL[ord(a) - 97, ord(b) - 97] for a, b in zip(low, low[1:], strict=False) if "a" <= a <= "z" and "a" <= b <= "z"]
+    pairs = [likely[ord(a) - 97, ord(b) - 97] for a, b in zip(low, low[1:], strict=False) if "a" <= a <= "z" and "a" <= b <= "z"]
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in value]
     covered = 0
     for part in re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()):
         at = 0
         while at < len(part):
-            size = next((k for k in range(min(12, len(part) - at), 2, -1) if part[at : at + k] in WORDS), 0)
+            size = next((k for k in range(min(12, len(part) - at), 2, -1) if part[at : at + k] in dictionary), 0)
             covered += size
             at += size or 1
     lead, trail = before.lower(), after.lower()
@@ -106,7 +116,7 @@ def findings(n: int, seed: int) -> list[tuple[str, str, str, int]]:
     """n labelled findings: value, text before, text after, label (1: a secret)."""
     rng = random.Random(seed)
     hexes, alnum, url = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
-    words = sorted(WORDS)
+    words = sorted(lexicon()[0])
 
     def pick(chars: str, k: int) -> str:
         return "".join(rng.choices(chars, k=k))
@@ -215,10 +225,11 @@ def train(labelled: Sequence[tuple[str, str, str, int]], seed: int = SEED) -> li
 
 def scan_secrets(docs: DataFrame, forest: list[tuple[np.ndarray, ...]] | None = None, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each candidate: doc_id, start and end (bytes), kind, value, score (the forest's), secret (score over threshold; key blocks always). No shuffle; the forest is of bounded size."""
-    known = docs.sparkSession.sparkContext.broadcast(forest if forest is not None else train(findings(4000, SEED)))
+    known = docs.sparkSession.sparkContext.broadcast((forest if forest is not None else train(findings(4000, SEED)), lexicon()))  # the vocabulary's size, whatever the corpus
     names = ["id", "start", "end", "kind", "value", "score", "secret"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grown, words = known.value
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 c = b.slice(at, 512)
@@ -226,8 +237,8 @@ def scan_secrets(docs: DataFrame, forest: list[tuple[np.ndarray, ...]] | None =
                 for i, raw in zip(c.column(0).to_pylist(), c.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
                     for s, e, kind in candidates(raw or b""):
                         rows.append((i, s, e, kind, raw[s:e].decode("utf-8", "replace")))
-                        seen.append(features(rows[-1][4], raw[max(0, s - SIDE) : s].decode("utf-8", "ignore"), raw[e : e + SIDE].decode("utf-8", "ignore")))
-                score = np.round(predict(known.value, np.array(seen)), 6) if rows else np.zeros(0)
+                        seen.append(features(rows[-1][4], raw[max(0, s - SIDE) : s].decode("utf-8", "ignore"), raw[e : e + SIDE].decode("utf-8", "ignore"), words))
+                score = np.round(predict(grown, np.array(seen)), 6) if rows else np.zeros(0)
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2)), *(pa.array([r[k] for r in rows], pa.string()) for k in (3, 4)), pa.array(score), pa.array([bool(p > threshold or r[3] == "block") for r, p in zip(rows, score, strict=True)], pa.bool_())], names)
 
     return docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "id bigint, start bigint, end bigint, kind string, value string, score double, secret boolean").withColumnRenamed("id", id_col)

@@ -170,6 +170,34 @@ def test_candidates():
     assert len(spans) == 0 or all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
 
 
+def test_query_against_brute_force(spark, tmp_path):
+    """The query over a table with planted findings: all places that plain patterns find, planted secrets reported, look-alikes not."""
+    import hashlib
+    import random
+    import re
+
+    rng = random.Random(21)
+    words = sorted(secrets.lexicon()[0])
+    rows, planted, lures = [], Counter(), 0
+    for i in range(300):
+        parts = [" ".join(rng.choices(words, k=rng.randrange(20, 80)))]
+        if i % 3 == 0:
+            value = "".join(rng.choices("0123456789abcdef", k=40))
+            planted[i, hashlib.sha256(value.encode()).hexdigest()] += 1
+            parts += [f'{rng.choice(["token", "api_key", "client_secret"])} = "{value}"', " ".join(rng.choices(words, k=30))]
+        elif i % 3 == 1:
+            lures += 1
+            parts += ["commit " + "".join(rng.choices("0123456789abcdef", k=40)), " ".join(rng.choices(words, k=30))]
+        rows.append((i, " ".join(parts)))
+    spark.createDataFrame([*rows, (900, None), (901, "")], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = secrets.op2_secret_scan(spark, str(tmp_path)).collect()
+    found = {(r.doc_id, r.start, r.end) for r in out}
+    brute = {(i, m.start(1), m.end(1)) for i, t in rows for m in re.finditer(r'(?:token|api_key|client_secret) = "([0-9a-f]{40})"', t)} | {(i, m.start(1), m.end(1)) for i, t in rows for m in re.finditer(r"commit ([0-9a-f]{40})", t)}
+    assert found == brute
+    told = Counter((r.doc_id, r.value_sha256) for r in out if r.secret)
+    assert sum((told & planted).values()) >= 0.95 * sum(planted.values()) and sum((told - planted).values()) <= 0.1 * lures
+
+
 def test_values_of_any_length():
     for n in (401, 1200, 5000):
         value = (b"Ab3dE6gH9jK" * n)[:n]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from readloom.llm import chat, jaccard, licenses, lines, mixing, quality, secrets, sentencepieces, suffixes, topk
+from readloom.llm import chat, jaccard, licenses, lines, mixing, negatives, quality, ranking, secrets, sentencepieces, suffixes, tokenfiles, topk
 
 QUERIES = {
     "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
@@ -15,8 +15,11 @@ QUERIES = {
     "op8_suffix_dedup": suffixes.op8_suffix_dedup,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_line_dedup": lines.op10_line_dedup,
+    "op11_ranked_search": ranking.op11_ranked_search,
+    "op12_token_files": tokenfiles.op12_token_files,
+    "op13_hard_negatives": negatives.op13_hard_negatives,
     # Those parts of op6 and op9 that SQL can express.
     "mixing_weights": mixing.mixing_weights,
     "license_base": licenses.license_base,
 }
-ORACLES = {"op1_ngram_jaccard": jaccard.OP1_SQL, "op3_topk_search": topk.OP3_SQL, "op4_quality_rules": quality.OP4_SQL, "op5_chat_format": chat.OP5_SQL, "op10_line_dedup": lines.OP10_SQL, "mixing_weights": mixing.WEIGHTS_SQL, "license_base": licenses.BASE_SQL}
+ORACLES = {"op1_ngram_jaccard": jaccard.OP1_SQL, "op3_topk_search": topk.OP3_SQL, "op4_quality_rules": quality.OP4_SQL, "op5_chat_format": chat.OP5_SQL, "op10_line_dedup": lines.OP10_SQL, "op11_ranked_search": ranking.OP11_SQL, "op13_hard_negatives": negatives.OP13_SQL, "mixing_weights": mixing.WEIGHTS_SQL, "license_base": licenses.BASE_SQL}

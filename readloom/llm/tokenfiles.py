@@ -59,22 +59,21 @@ def payload_of(data: bytes, where: str) -> bytes:
 
 
 def _cuts(data: np.ndarray) -> np.ndarray:
-    """Places (before a byte) where UTF-8 text may be cut without changing what the byte-level pre-tokenizer finds on either side.
+    """At which places (before a byte, or at the end) UTF-8 text may be cut without changing what the byte-level pre-tokenizer finds on either side.
 
     It ends a piece between a visible character and a blank or line feed, and behind a letter before anything but a letter; a single line feed between visible characters is a piece; a single blank belongs to what follows.
     Only characters are judged whose class is the same in all Unicode versions: visible ASCII, and letters of two bytes that begin with C3."""
+    cut = np.zeros(len(data) + 1, bool)
     if len(data) < 3:
-        return np.zeros(0, np.int64)
+        return cut
     before, here, after = data[:-2], data[1:-1], data[2:]
     accented = np.zeros(len(before), bool)
     accented[1:] = (data[:-3] == 0xC3) & (before[1:] != 0x97) & (before[1:] != 0xB7)
-    seen = _PLAIN[before] | accented
-    follows = _PLAIN[after] | (after == 0xC3)
-    blank = (here == 32) & seen & follows
-    stop = _STOP[here] & (_LETTER[before] | accented)
-    line = (here == 10) & seen & follows
-    behind = np.flatnonzero(line) + 2
-    return np.unique(np.concatenate([np.flatnonzero(blank | stop | line) + 1, behind]))
+    between = (_PLAIN[before] | accented) & (_PLAIN[after] | (after == 0xC3))
+    line = (here == 10) & between
+    cut[1:-2] = line | ((here == 32) & between) | (_STOP[here] & (_LETTER[before] | accented))
+    cut[2:-1] |= line
+    return cut
 
 
 class Encoder:
@@ -114,7 +113,9 @@ class Encoder:
         whole = [not self.cuts or any(s in t for s in self.special) for t in texts]
         ends = np.cumsum([0] + [0 if w else len(t) for t, w in zip(texts, whole, strict=True)])
         data = np.frombuffer(b"".join(t for t, w in zip(texts, whole, strict=True) if not w), np.uint8)
-        places = np.unique(np.concatenate([ends, _cuts(data)]))
+        cut = _cuts(data)
+        cut[ends] = True
+        places = np.flatnonzero(cut)
         n = len(places) - 1
         counts = np.zeros(0, np.int64)
         flat = np.zeros(0, self.kind)

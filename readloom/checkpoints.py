@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,4 +27,19 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _TABLES[id(out)] = weakref.ref(out), path
+    return out
+
+
+_TABLES: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Removes what cut has written for tables: those of earlier rounds, on which nothing depends that isn't written itself. Others are left alone."""
+    for df in tables:
+        known, path = _TABLES.get(id(df), (lambda: None, ""))
+        if df is not None and known() is df:
+            del _TABLES[id(df)]
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from readloom.functions import packed
+
+HASH_BASE, HASH_MODULUS = 1_000_003, 2**31 - 1  #: of prefix hashes: a product of two values fits 64 bits
+
 #: The order of bases, and the one that sorted reads follow.
 BASES, COMPLEMENT, SORT_ORDER = "ACGT", "TGCA", "AGCT"
 
@@ -110,22 +116,48 @@ def kmers(s: str, k: int) -> Column:
     return F.expr(f"case when length({s}) >= {k} then transform(sequence(1, length({s}) - {k} + 1), i -> substring({s}, i, {k})) else cast(array() as array<string>) end")
 
 
-def banded_lcs(a: str, b: str, band: int = 2) -> int:
-    """Longest common subsequence whose paired places are at most band apart."""
-    before: dict[int, int] = {j: 0 for j in range(-1, len(b) + 1)}
-    for i, x in enumerate(a):
-        row = {}
-        for j in range(max(0, i - band), min(len(b), i + band + 1)):
-            row[j] = max(row.get(j - 1, before.get(j - 1, 0)), before.get(j, 0), before.get(j - 1, 0) + (x == b[j]))
-        before = row or before
-    return max(before.values(), default=0)
-
-
-def alike_by_lcs(a: Column, b: Column, percent: float = 95) -> Column:
-    """Whether the banded common subsequence is over percent of the length."""
+def banded_lcs(a: Column, b: Column, band: int = 2) -> Column:
+    """Length of the longest common subsequence whose paired places are at most band apart; null where a string is. All pairs of a batch take each step together (functions/packed.py)."""
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf("int")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([100 * banded_lcs(p, q) > percent * len(p) for p, q in zip(x, y, strict=True)])
+        known = (x.notna() & y.notna()).to_numpy()
+        codes, lengths = packed.base_codes(pa.array([*x[known], *y[known]], pa.string()))
+        words, counts = packed.pack(codes, lengths)
+        starts, k = np.cumsum(counts) - counts, int(known.sum())
+        out = pd.Series(pd.array([None] * len(x), "Int32"))
+        out[known] = packed.banded_lcs(words, starts[:k], np.zeros(k, np.int64), lengths[:k], starts[k:], lengths[k:], band)
+        return out
 
     return run(a, b)
+
+
+def alike_by_lcs(a: Column, b: Column, percent: float = 95, band: int = 2) -> Column:
+    """Whether the banded common subsequence is over percent of the first one's length."""
+    return 100 * banded_lcs(a, b, band) > percent * F.length(a)
+
+
+def prefix_hashes(s: Column) -> Column:
+    """Hashes of all prefixes, the empty one first: of h (a prefix's) and the next base's code c, (HASH_BASE * h + c + 1) modulo HASH_MODULUS. Null for null."""
+
+    @F.pandas_udf("array<bigint>")
+    def run(x: pd.Series) -> pd.Series:
+        known = x.notna().to_numpy()
+        codes, lengths = packed.base_codes(pa.array(x[known], pa.string()))
+        hashes = packed.prefix_hashes(codes, lengths, HASH_BASE, HASH_MODULUS)
+        out = pd.Series([None] * len(x), dtype=object)
+        out[known] = pd.Series(np.split(hashes, np.cumsum(lengths + 1)[:-1]) if known.any() else [], index=np.flatnonzero(known), dtype=object)
+        return out
+
+    return run(s)
+
+
+def hash_power(n: str) -> Column:
+    """HASH_BASE to the power n, modulo HASH_MODULUS, by squaring."""
+    step = f"struct(case when getbit(cast({n} as bigint), i) = 1 then x.p * x.q % {HASH_MODULUS} else x.p end as p, x.q * x.q % {HASH_MODULUS} as q)"
+    return F.expr(f"aggregate(sequence(0, 30), struct(1L as p, {HASH_BASE}L as q), (x, i) -> {step}, x -> x.p)")
+
+
+def substring_hash(hashes: str, start: str, n: str) -> Column:
+    """The hash of n bases from the 0-based start on, from the string's prefix_hashes: two lookups and a power, whatever n is."""
+    return F.pmod(F.expr(f"get({hashes}, {start} + {n})") - F.expr(f"get({hashes}, {start})") * hash_power(n) % HASH_MODULUS, F.lit(HASH_MODULUS))

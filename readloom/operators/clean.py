@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom.config import Params
-from readloom.functions.sequences import BASES, has_period, reverse_complement, to_dna
+from readloom.functions.sequences import has_period, reverse_complement, to_dna
 
 
 def first_token(raw: Column) -> Column:
@@ -95,7 +95,3 @@ def pairs_to_raw(pairs: DataFrame) -> DataFrame:
 
 def long_enough(reads: DataFrame, p: Params) -> DataFrame:
     return reads.where(F.length("seq") >= p.min_read)
-
-
-def base_of(code: Column) -> Column:
-    return F.substring(F.lit(BASES), code + 1, F.lit(1))

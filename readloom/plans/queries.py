@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readloom.functions import bitsets
 from readloom.functions import sequences as fn
 from readloom.operators import approximate, clean, correct, graph, order, overlap, simplify, stats
 from readloom.plans import fixtures
@@ -194,6 +195,63 @@ def low_error_alignments(spark, d):
     return approximate.approximate_overlaps(fixtures.error_reads(spark, d), 20, 3, L, 95)
 
 
+_GROUPS = ", " + _all_orders("error_reads", 20, 3) + f""", bases AS (SELECT id, seq, translate(seq, 'ACGT', '0101') AS low, translate(seq, 'ACGT', '0011') AS high FROM error_reads),
+cp AS MATERIALIZED (SELECT a.r, a.kmer, a.read_id AS i, b.read_id AS j, CAST(a.pos AS INTEGER) AS pi, CAST(b.pos AS INTEGER) AS pj, CAST(a.pos - b.pos AS INTEGER) AS off FROM mins a JOIN mins b ON a.r = b.r AND a.kmer = b.kmer AND a.read_id <> b.read_id AND (a.pos > b.pos OR (a.pos = b.pos AND a.read_id < b.read_id)) WHERE 80 - (a.pos - b.pos) >= {L}),
+tried AS (SELECT d.*, substr(x.low, d.off + 1) AS al, substr(y.low, 1, 80 - d.off) AS bl, substr(x.high, d.off + 1) AS ah, substr(y.high, 1, 80 - d.off) AS bh FROM (SELECT DISTINCT i, j, off FROM cp) d JOIN bases x ON x.id = d.i JOIN bases y ON y.id = d.j),
+good AS MATERIALIZED (SELECT i, j, off FROM tried WHERE substr(al, 1, 3) = substr(bl, 1, 3) AND substr(ah, 1, 3) = substr(bh, 1, 3) AND substr(al, 4, 1) = substr(bl, 4, 1) AND right(al, 3) = right(bl, 3) AND right(ah, 3) = right(bh, 3)
+  AND 100 * ((2 * (80 - off) - bit_count(xor(al::BIT, bl::BIT)) - bit_count(xor(ah::BIT, bh::BIT))) // 2) >= 95 * (80 - off)),
+al AS MATERIALIZED (SELECT c.* FROM cp c JOIN good g ON g.i = c.i AND g.j = c.j AND g.off = c.off),
+reach AS (SELECT r, kmer, i, pi, j, pj FROM al UNION SELECT a.r, a.kmer, a.i, a.pi, t.j, t.pj FROM al a JOIN reach t ON t.r = a.r AND t.kmer = a.kmer AND t.i = a.j AND t.pi = a.pj),
+chained AS (SELECT DISTINCT a.r, a.kmer, a.i, a.pi, t.j, t.pj FROM al a JOIN reach t ON t.r = a.r AND t.kmer = a.kmer AND t.i = a.j AND t.pi = a.pj)
+SELECT i AS src, j AS dst, min(off) AS off FROM al WHERE (r, kmer, i, pi, j, pj) NOT IN (SELECT (r, kmer, i, pi, j, pj) FROM chained) GROUP BY 1, 2"""
+
+
+@query(_GROUPS, recursive=True)
+def approx_pairs_pruned(spark, d):
+    """Overlaps with errors that no chain of others within their k-mer's group connects."""
+    return approximate.approximate_overlaps(fixtures.error_reads(spark, d), 20, 3, L, 95, pruned=True)
+
+
+_LCS = """, lcs AS (SELECT rn, substr(seq, 1, 40) AS a, substr(seq, 41, 40) AS b, 0 AS i, [0, 0, 0, 0, 0] AS d FROM valid UNION ALL
+  SELECT rn, a, b, i + 1, list_reduce([0, 1, 2, 3, 4], lambda row, k: list_append(row, CASE WHEN i + k BETWEEN 2 AND 41 THEN greatest(CASE WHEN k > 0 THEN row[k] ELSE 0 END, CASE WHEN k < 4 THEN d[k + 2] ELSE 0 END, d[k + 1] + CASE WHEN substr(a, i + 1, 1) = substr(b, i + k - 1, 1) THEN 1 ELSE 0 END) ELSE d[k + 1] END), CAST([] AS INTEGER[])) FROM lcs WHERE i < 40) """
+
+
+@query(_LCS + "SELECT rn, list_max(d) AS n, 100 * list_max(d) > 95 * 40 AS alike FROM lcs WHERE i = 40", recursive=True)
+def banded_lcs(spark, d):
+    """Both halves of each read."""
+    t = clean.valid(fixtures.trimmed_reads(spark, d), PARAMS).select("rn", F.expr("substring(seq, 1, 40)").alias("a"), F.expr("substring(seq, 41, 40)").alias("b"))
+    return t.select("rn", fn.banded_lcs(F.col("a"), F.col("b")).alias("n"), fn.alike_by_lcs(F.col("a"), F.col("b")).alias("alike"))
+
+
+@query()
+def hybrid_alignments(spark, d):
+    """Overlaps whose bits agree, or else whose banded common subsequence is long enough; tests hold them against brute force."""
+    return approximate.approximate_overlaps(fixtures.error_reads(spark, d), 20, 3, L, 95, lcs=95)
+
+
+@query(f", c AS (SELECT rn, seq, list_transform(range(1, 81), lambda i: CAST(instr('ACGT', substr(seq, CAST(i AS INTEGER), 1)) AS BIGINT)) AS codes FROM valid), h AS (SELECT rn, CAST(rn % 40 AS INTEGER) AS start, list_reduce(codes, lambda h, x: (h * {fn.HASH_BASE} + x) % {fn.HASH_MODULUS}, CAST(0 AS BIGINT)) AS whole, list_reduce(codes[rn % 40 + 1 : rn % 40 + 30], lambda h, x: (h * {fn.HASH_BASE} + x) % {fn.HASH_MODULUS}, CAST(0 AS BIGINT)) AS part FROM c) SELECT * FROM h")
+def substring_hashes(spark, d):
+    """Of each read the hash of thirty bases, from those of its prefixes, and of the whole."""
+    t = clean.valid(fixtures.trimmed_reads(spark, d), PARAMS).select("rn", F.expr("cast(rn % 40 as int)").alias("start"), fn.prefix_hashes(F.col("seq")).alias("h"))
+    return t.select("rn", "start", F.element_at("h", -1).alias("whole"), fn.substring_hash("h", "start", "30").alias("part"))
+
+
+@query(""", s AS (SELECT rn, translate(seq, 'ACGTN', '01010') AS a, translate(seq, 'ACGTN', '00110') AS b, CAST(rn % 80 AS INTEGER) AS k, CAST(least(rn % 80, rn // 80 % 80) AS INTEGER) AS lo, CAST(greatest(rn % 80, rn // 80 % 80) AS INTEGER) AS hi FROM trimmed)
+SELECT rn, CAST(a::BIT & b::BIT AS VARCHAR) AS both, CAST(a::BIT | b::BIT AS VARCHAR) AS either, CAST(xor(a::BIT, b::BIT) AS VARCHAR) AS one_of, CAST(~(a::BIT) AS VARCHAR) AS none_of, substr(a, k + 1) || repeat('0', k) AS down, repeat('0', k) || substr(a, 1, 80 - k) AS up,
+substr(a, 1, lo) || repeat('1', hi - lo + 1) || substr(a, hi + 2) AS filled, substr(a, 1, lo) || repeat('0', hi - lo + 1) || substr(a, hi + 2) AS emptied, substr(a, 1, lo) || translate(substr(a, lo + 1, hi - lo + 1), '01', '10') || substr(a, hi + 2) AS flipped, substr(a, k + 1, 1) = '1' AS holds,
+CAST(bit_count(a::BIT) AS INTEGER) AS n, CAST(length(replace(substr(a, lo + 1, hi - lo + 1), '0', '')) AS INTEGER) AS n_between, CASE WHEN instr(substr(a, k + 1), '1') = 0 THEN -1 ELSE CAST(k + instr(substr(a, k + 1), '1') - 1 AS INTEGER) END AS first_from, CASE WHEN instr(substr(a, k + 2), '1') = 0 THEN -1 ELSE CAST(k + instr(substr(a, k + 2), '1') AS INTEGER) END AS first_after,
+CAST(instr(CAST(xor(a::BIT, b::BIT) AS VARCHAR), '1') - 1 AS INTEGER) AS first_difference, array_to_string(list_filter(range(0, 80), lambda i: substr(a, CAST(i + 1 AS INTEGER), 1) = '1'), ',') AS places FROM s""")
+def bit_sets(spark, d):
+    """Of each read the places of C and T as one set, those of G and T as the other."""
+    of = lambda bases: bitsets.from_places(f"filter(sequence(0, 79), i -> contains('{bases}', substring(seq, i + 1, 1)))", 80)
+    s = fixtures.trimmed_reads(spark, d).select("rn", of("CT").alias("a"), of("GT").alias("b"), F.expr("cast(rn % 80 as int)").alias("k"), F.expr("cast(least(rn % 80, rn div 80 % 80) as int)").alias("lo"), F.expr("cast(greatest(rn % 80, rn div 80 % 80) as int)").alias("hi"))
+    made = {"both": bitsets.both("a", "b"), "either": bitsets.either("a", "b"), "one_of": bitsets.one_of("a", "b"), "none_of": bitsets.none_of("a", 80), "down": bitsets.moved_down("a", "k"), "up": bitsets.moved_up("a", "k", 80), "filled": bitsets.with_range("a", "lo", "hi", True, 80), "emptied": bitsets.with_range("a", "lo", "hi", False, 80), "flipped": bitsets.flipped("a", "lo", "hi", 80)}
+    s = s.select("*", *[c.alias(n) for n, c in made.items()])
+    numbers = [bitsets.holds("a", "k").alias("holds"), bitsets.size_of("a").alias("n"), bitsets.size_between("a", "lo", "hi").alias("n_between"), bitsets.first_from("a", "k").alias("first_from"), bitsets.first_after("a", "k").alias("first_after"), bitsets.first_difference("a", "b").alias("first_difference")]
+    s = s.select("rn", *[bitsets.text(n, 80).alias(n) for n in made], *numbers, bitsets.places("a").alias("p"))
+    return s.withColumn("places", F.array_join("p", ",")).drop("p")
+
+
 @query(", k AS (SELECT substr(seq, CAST(i + 5 AS INTEGER), 30) AS big, substr(seq, CAST(i AS INTEGER), 5) AS small FROM (SELECT seq, unnest(generate_series(1, length(seq) - 34)) AS i FROM error_reads)), c AS (SELECT big, small, count(*) AS n FROM k GROUP BY 1, 2 HAVING count(*) >= 2) SELECT n, count(*) AS contexts FROM c GROUP BY 1")
 def context_frequencies(spark, d):
     return correct.context_frequencies(fixtures.error_reads(spark, d)).groupBy("n").agg(F.count("*").alias("contexts"))

@@ -141,7 +141,8 @@ def test_bit_similarity(spark, seqs):
 
     for b, expected in ((base, True), (change(50, "A"), True), (change(0, "C"), False), (change(3, "A"), False), (change(3, "C"), True), (change(98, "A"), False), (base[:40] + "TTTTTTTTTTTT" + base[52:], False)):
         assert one(spark, fn.similar("a", "b", 95), a=base, b=b) is expected, b
-    assert fn.banded_lcs("ACGT", "ACGT") == 4 and fn.banded_lcs("ACGTAC", "CGTACG") == 5 and fn.banded_lcs("", "A") == 0 and fn.banded_lcs("AAAAACCCCC", "CCCCCAAAAA") <= 5
+    for a, b, n in (("ACGT", "ACGT", 4), ("ACGTAC", "CGTACG", 5), ("", "A", 0)):
+        assert one(spark, fn.banded_lcs(F.col("a"), F.col("b")), a=a, b=b) == n
     assert one(spark, fn.alike_by_lcs(F.col("a"), F.col("b")), a=base, b=base[1:] + "A") is True
 
 

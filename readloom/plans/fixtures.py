@@ -82,8 +82,8 @@ def parallel_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = f"""
 genomes AS (SELECT doc_id, translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), '{LETTERS}', '{AS_BASES}') AS g FROM documents),
-raw_reads AS (SELECT doc_id * {DOC} + p // {STEP} AS rn, substr(g, CAST(p + 1 AS INTEGER), {WINDOW}) AS raw FROM (SELECT doc_id, g, unnest(generate_series(0, length(g) - {WINDOW}, {STEP})) AS p FROM genomes WHERE length(g) >= {WINDOW})),
-trimmed AS (SELECT rn, substr(raw, {TRIM + 1}, {WINDOW - 2 * TRIM}) AS seq FROM raw_reads),
+raw_reads AS MATERIALIZED (SELECT doc_id * {DOC} + p // {STEP} AS rn, substr(g, CAST(p + 1 AS INTEGER), {WINDOW}) AS raw FROM (SELECT doc_id, g, unnest(generate_series(0, length(g) - {WINDOW}, {STEP})) AS p FROM genomes WHERE length(g) >= {WINDOW})),
+trimmed AS MATERIALIZED (SELECT rn, substr(raw, {TRIM + 1}, {WINDOW - 2 * TRIM}) AS seq FROM raw_reads),
 valid AS (SELECT * FROM trimmed WHERE NOT contains(seq, 'N') AND NOT ({" OR ".join(f"starts_with(seq, substr(seq, {p + 1}))" for p in range(1, 21))})),
 strands AS (SELECT 2 * rn + 1 AS id, seq FROM valid UNION ALL SELECT 2 * rn, reverse(translate(seq, 'ACGT', 'TGCA')) FROM valid),
 reads AS (SELECT max(id) AS id, seq FROM strands WHERE seq <> reverse(translate(seq, 'ACGT', 'TGCA')) GROUP BY seq),

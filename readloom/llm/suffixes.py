@@ -260,7 +260,7 @@ def repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     if rest is not None:
         ranges = ranges.unionByName(rest.select("anchor", "hull", F.expr("left - lo").alias("first"), F.expr("left - lo").alias("last")))
     edges = apart.join(ranges, ["anchor", "hull"]).select("doc", F.expr("start + first").alias("lo"), F.expr(f"start + last + {LENGTH}").alias("hi"))
-    return sure.unionByName(edges).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    return sure.unionByName(edges).groupBy("doc").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))  # equal rows share their key and have the same spans
 
 
 def _kept(raw: bytes, spans: list | None) -> tuple[int, int, bytes]:

@@ -104,6 +104,16 @@ def test_hot_passage_is_split_by_bytes(spark, monkeypatch):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out.collect()), key=str) == brute(rows)
 
 
+def test_many_equal_rows(spark):
+    """Rows of one key give their spans once, however many they are; null ids too."""
+    rng = random.Random(6)
+    text = words(rng, 60) + "unique" + words(rng, 100)
+    part = text[40:300]
+    rows = [(7, text)] * 3000 + [(None, part)] * 3000 + [(9, words(rng, 30) + part)]
+    out = suffixes.without_repeats(spark.createDataFrame([(i, t, "s", 1, "h") for i, t in rows], DOCS).repartition(4))
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out.collect()) == Counter(brute(rows))
+
+
 def test_filters(spark):
     from pyspark.sql import functions as F
 

@@ -7,8 +7,9 @@ the score from above: by the sum of n * (m_q * m_v + s_q * s_v). Bounds are take
 Queries and candidates are dealt into blocks of bounded size, and each pair of a query block and a candidate block is one task's group; no side is
 broadcast or collected. Each group returns k rows for each of its queries, and a window takes the k best of those.
 
-Defined results: vectors that are null or hold null, NaN or infinite components, and rows without vec_id, take no part; rows of one vec_id count once, with the smallest vector; only
-vectors of one dimension are compared; fewer candidates than k give fewer rows; ties go to the smaller vec_id; other columns are ignored.
+Defined results: vectors that are null or hold null, NaN or infinite components, and rows without vec_id, take no part; each row is a vector of its own, so rows of one vec_id are
+candidates to each other; only vectors of one dimension are compared; fewer candidates than k give fewer rows; ties go to the smaller vec_id; components of any
+finite size are treated exactly, and a score of the result that no 64-bit integer holds raises an error; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.llm.common import table
+from readloom.llm.common import stored, table
 
 LEVELS = (1, 4, 16)
 QUERY_BLOCK, CANDIDATE_BLOCK, PART = 1024, 4096, 64
-FOUND = "query_id bigint, vec_id bigint, score bigint"
+FOUND = "query_row bigint, query_id bigint, vec_id bigint, score bigint"
+LONG = 1 << 63
 
 
 def _stats(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
@@ -36,20 +38,23 @@ def _stats(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
     return np.hstack([mean, dev]), (x * x).sum(1)
 
 
-def _best(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k: int, counts: list | None = None) -> pd.DataFrame:
-    """The k best candidates of each query within one pair of blocks. v is sorted by id. counts: gets the pairs left after each level.
+def _best(q: np.ndarray, q_ids: np.ndarray, q_rows: np.ndarray, v: np.ndarray, v_ids: np.ndarray, v_rows: np.ndarray, k: int, counts: list | None = None) -> pd.DataFrame:
+    """The k best candidates of each query within one pair of blocks, but for its own row. v is sorted by id. counts: gets the pairs left after each level.
 
     Bounds and exact scores are matrix products over the candidates that some query of the part still needs."""
     fq, fv = q.astype(float), v.astype(float)
-    # Sums under 2^53 are exact in doubles, whose products are much faster.
-    small = not q.size or not v.size or float(np.abs(fq).max()) * float(np.abs(fv).max()) * q.shape[1] < 2.0**53
-    x, y = (fq, fv) if small else (q, v)
-    stats = [(_stats(fq, n), _stats(fv, n)) for n in LEVELS]
-    least = np.iinfo(np.int64).min
+    # Sums under 2^53 are exact in doubles, whose products are much faster; those that 64 bits don't hold are Python integers.
+    largest = float(np.abs(fq).max()) * float(np.abs(fv).max()) * q.shape[1] if q.size and v.size else 0.0
+    kind = np.int64 if largest < 2.0**62 else object
+    x, y = (fq, fv) if largest < 2.0**53 else (q.astype(kind), v.astype(kind))
+    # A common factor changes no order, and keeps squares of components within doubles.
+    unit = max(1.0, float(np.abs(fq).max(initial=0)), float(np.abs(fv).max(initial=0))) if kind is object else 1.0
+    stats = [(_stats(fq / unit, n), _stats(fv / unit, n)) for n in LEVELS]
+    least = np.iinfo(np.int64).min if kind is np.int64 else -math.inf
 
     def score(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-        out = (x[rows] @ y[cols].T).astype(np.int64)
-        out[q_ids[rows, None] == v_ids[None, cols]] = least
+        out = (x[rows] @ y[cols].T).astype(kind)
+        out[q_rows[rows, None] == v_rows[None, cols]] = least
         return out
 
     found = []
@@ -60,11 +65,11 @@ def _best(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k:
         n_seeds = min(len(v), k + 1)
         seeds = np.unique(np.argpartition(-(a[rows] @ b.T), n_seeds - 1, axis=1)[:, :n_seeds])
         scores = score(rows, seeds)
-        limit = np.partition(scores, len(seeds) - k, axis=1)[:, len(seeds) - k] if len(seeds) >= k else np.full(len(rows), least)
+        limit = np.sort(scores, axis=1)[:, len(seeds) - k] if len(seeds) >= k else np.full(len(rows), least, kind)
         alive, left = np.ones((len(rows), len(v)), bool), [len(rows) * len(v)]
         for (a, na), (b, nb) in stats:
             slack = 1e-9 * (na[rows, None] + nb[None, cols]) + 1e-6
-            alive &= a[rows] @ b[cols].T + slack >= limit[:, None]
+            alive &= a[rows] @ b[cols].T + slack >= limit.astype(float)[:, None] / unit**2
             some = alive.any(0)
             cols, alive = cols[some], alive[:, some]
             left.append(int(alive.sum()))
@@ -73,35 +78,47 @@ def _best(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k:
         scores = score(rows, cols)
         r, c = np.nonzero(alive & (scores >= limit[:, None]) & (scores > least))
         ids, s = v_ids[cols[c]], scores[r, c]
-        order = np.lexsort((ids, -s, r))  # no score here is least, so -s holds
+        order = np.argsort(ids, kind="stable")
+        order = order[np.argsort(-s[order], kind="stable")]  # no score here is least, so -s holds
+        order = order[np.argsort(r[order], kind="stable")]
         r, ids, s = r[order], ids[order], s[order]
         rank = np.arange(len(r)) - np.searchsorted(r, r)
-        found.append(pd.DataFrame({"query_id": q_ids[rows[r]], "vec_id": ids, "score": s})[rank < k])
-    return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
+        r, ids, s = r[rank < k], ids[rank < k], s[rank < k]
+        if kind is object and any(not -LONG <= z < LONG for z in s):
+            raise OverflowError("a score doesn't fit into 64 bits")
+        found.append(pd.DataFrame({"query_row": q_rows[rows[r]], "query_id": q_ids[rows[r]], "vec_id": ids, "score": s.astype(np.int64)}))
+    return pd.concat(found, ignore_index=True) if found else pd.DataFrame({c: [] for c in ("query_row", "query_id", "vec_id", "score")}, dtype=np.int64)
+
+
+def _integers(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x), in doubles: as 64-bit integers where all fit, else as Python integers."""
+    y = np.floor(scale * x)
+    return y.astype(np.int64) if not y.size or np.abs(y).max() < 2.0**62 else np.array([[int(c) for c in r] for r in y], object).reshape(x.shape)
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score. Components become floor(scale * x); queries: rows whose id is divisible by every."""
     x = vectors.select(vectors[id_col].cast("bigint").alias("vec_id"), vectors[vector_col].cast("array<double>").alias("x")).where("vec_id is not null and x is not null and forall(x, c -> c is not null and not isnan(c) and abs(c) < double('Infinity'))")
-    x = x.groupBy("vec_id").agg(F.min(F.expr(f"transform(x, c -> cast(floor({scale}D * c) as bigint))")).alias("v"))
-    n, n_queries = vectors.select(F.count("*"), F.count_if(F.col(id_col) % every == 0)).first()
+    # Written, so that a row is the same one on both sides.
+    keyed = stored(x.select("vec_id", "x", F.size("x").alias("dim"))).withColumn("row", F.monotonically_increasing_id())
+    n, n_queries = keyed.select(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
     p, qn = max(1, math.ceil(n / candidate_block)), max(1, math.ceil(n_queries / query_block))
-    block = F.xxhash64("vec_id")
-    keyed = x.withColumn("dim", F.size("v"))
-    queries = keyed.where(F.col("vec_id") % every == 0).select("vec_id", "v", "dim", F.pmod(block, F.lit(qn)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(p - 1).cast("bigint"))).alias("cb"))
-    candidates = keyed.select("vec_id", "v", "dim", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(qn - 1).cast("bigint"))).alias("qb"), F.pmod(block, F.lit(p)).alias("cb"))
+    block = F.xxhash64("row")
+    queries = keyed.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("vec_id"), F.col("row").alias("row"), F.col("x").alias("x"), F.col("dim").alias("dim"), F.pmod(block, F.lit(qn)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(p - 1).cast("bigint"))).alias("cb"))
+    candidates = keyed.select("vec_id", "row", "x", "dim", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(qn - 1).cast("bigint"))).alias("qb"), F.pmod(block, F.lit(p)).alias("cb"))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
-        right = right.sort_values("vec_id")
+            return pd.DataFrame({c: [] for c in ("query_row", "query_id", "vec_id", "score")}, dtype=np.int64)
+        right = right.sort_values(["vec_id", "row"])
         dim = int(left["dim"].iloc[0])
-        q, v = (np.stack(t["v"].to_list()).astype(np.int64).reshape(len(t), dim) for t in (left, right))
-        return _best(q, left["vec_id"].to_numpy(np.int64), v, right["vec_id"].to_numpy(np.int64), k)
+        q, v = (_integers(np.stack(t["x"].to_list()).astype(float).reshape(len(t), dim), scale) for t in (left, right))
+        (q_ids, q_rows), (v_ids, v_rows) = ((t["vec_id"].to_numpy(np.int64), t["row"].to_numpy(np.int64)) for t in (left, right))
+        return _best(q, q_ids, q_rows, v, v_ids, v_rows, k)
 
     keys = ["dim", "qb", "cb"]
     found = queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(search, FOUND)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -169,11 +169,12 @@ def test_chat_query_digest(spark, tmp_path):
 
 
 def brute_top_k(rows, k, every):
-    ok = {i: [math.floor(256 * x) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    ok = [(r, i, [math.floor(256 * x) for x in v]) for r, (i, v) in enumerate(rows) if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in (i for i in ok if i % every == 0):
-        scored = sorted((-sum(a * b for a, b in zip(ok[q], v, strict=True)), i) for i, v in ok.items() if i != q and len(v) == len(ok[q]))
-        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
+    for r, q, x in ok:
+        if q % every == 0:
+            scored = sorted((-sum(a * b for a, b in zip(x, v, strict=True)), i) for s, i, v in ok if s != r and len(v) == len(x))
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
     return sorted(out)
 
 
@@ -182,20 +183,36 @@ def test_top_k_against_brute_force(spark, blocks):
     rng = random.Random(1)
     rows = [(i, [rng.gauss(i % 3, 1) for _ in range(10)]) for i in range(240)]
     rows += [(i, [0.5] * 10) for i in range(300, 330)] + [(i, [-0.25] * 10) for i in range(330, 340)]  # ties, far vectors
-    rows += [(400, None), (401, [None] * 10), (402, [float("nan")] * 10), (403, [float("inf")] * 10), (None, [1.0] * 10), (450, [1.0, 2.0]), (451, [3.0, 4.0]), (rows[7][0], rows[7][1])]
+    rows += [(400, None), (401, [None] * 10), (402, [float("nan")] * 10), (403, [float("inf")] * 10), (None, [1.0] * 10), (450, [1.0, 2.0]), (451, [3.0, 4.0]), (rows[7][0], rows[7][1]), (20, rows[20][1]), (20, rows[21][1])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").selectExpr("*", "1 as score", "2 as v")
     out = topk.top_k(df, 5, 10, query_block=blocks[0], candidate_block=blocks[1])
     assert sorted(map(tuple, out.collect())) == brute_top_k(rows, 5, 10)
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rng = random.Random(2)
+    for size, k in ((1e6, 5), (2.0**22, 5)):
+        rows = [(i, [rng.gauss(0.3, 0.5) * size for _ in range(4)]) for i in range(60)]
+        df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+        out = sorted(map(tuple, topk.top_k(df, k, 10, query_block=3, candidate_block=17).collect()))
+        assert out == brute_top_k(rows, k, 10) and max(r[3] for r in out) > 2**53
+    # The best score doesn't fit: no wrong ranks, an error.
+    far = spark.createDataFrame([(0, [3e7, 3e7]), (1, [1e9, 1e9]), (2, [2e7, 3e7])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(far, 2, 10).collect()
+    # One that doesn't fit but isn't asked for is no error.
+    low = spark.createDataFrame([(0, [3e7, 3e7]), (1, [-1e9, -1e9]), (2, [2e4, 3e4])], "vec_id bigint, embedding array<double>")
+    assert [tuple(r) for r in topk.top_k(low, 1, 10).collect()] == brute_top_k([(0, [3e7, 3e7]), (1, [-1e9, -1e9]), (2, [2e4, 3e4])], 1, 10)
+
+
 def test_top_k_prunes():
     import numpy as np
 
     rng = np.random.default_rng(0)
     v = rng.normal(size=(2000, 64)).cumsum(1) * 50  # neighbouring components alike: what segment means can tell apart
     counts = []
-    topk._best(v[:64].astype(int), np.arange(64), v.astype(int), np.arange(2000), 5, counts)
+    topk._best(v[:64].astype(int), np.arange(64), np.arange(64), v.astype(int), np.arange(2000), np.arange(2000), 5, counts)
     assert counts[0][-1] < 0.2 * counts[0][0]
 
 

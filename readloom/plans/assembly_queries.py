@@ -6,12 +6,15 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from readloom.checkpoints import cut
 from readloom.functions import numbers
 from readloom.functions import sequences as fn
 from readloom.operators import approximate, clean, contigs, contract, graph, overlap, simplify, stats
 from readloom.plans import assemble, fixtures
 from readloom.plans.fixtures import GRAPH_SQL, PARAMS, SQL
 from readloom.plans.queries import _CAND, WEIGHT, overlap_sql, query
+from readloom.sources.sinks import COLOURS
+from readloom.sources.sinks import contig_graphviz as contig_lines
 
 LONG = PARAMS.max_parallel_offset
 
@@ -97,6 +100,24 @@ def reversed_contigs(spark, d):
     return back.select("first", "last", "seq", F.expr("array_join(transform(reads, x -> concat(x.read_id, ':', x.off)), ',')").alias("reads"))
 
 
+_GRAPHVIZ = f""", walk AS (SELECT h.*, min(read_id) FILTER (i = 0) OVER (PARTITION BY src, dst) AS first, max(i) OVER (PARTITION BY src, dst) AS last FROM held h),
+d AS (SELECT id, sum(o) AS o, sum(i) AS i FROM (SELECT src AS id, 1 AS o, 0 AS i FROM contracted UNION ALL SELECT dst, 0, 1 FROM contracted) GROUP BY 1),
+matter AS (SELECT DISTINCT w.read_id AS id FROM walk w LEFT JOIN d ON d.id = w.read_id WHERE w.i = 0 OR w.i = w.last OR d.o > 1 OR d.i > 1 OR (d.o = 0) <> (d.i = 0)),
+u AS (SELECT src AS a, dst AS b FROM contracted UNION SELECT dst, src FROM contracted),
+near AS (SELECT DISTINCT src AS id FROM held UNION SELECT u.b FROM near n JOIN u ON u.a = n.id),
+parts AS (SELECT src, dst, first, part, sum(off) AS off, arg_max(read_id, i) AS stop FROM (SELECT w.*, coalesce(sum(CASE WHEN m.id IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY src, dst ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM walk w LEFT JOIN matter m ON m.id = w.read_id) GROUP BY 1, 2, 3, 4)
+SELECT src || ' -> ' || dst || ' [label=' || off || ', color=black, penwidth=1];' AS value FROM contracted WHERE src IN (SELECT id FROM near) AND (src IN (SELECT id FROM matter) OR dst IN (SELECT id FROM matter))
+UNION ALL SELECT start || ' -> ' || stop || ' [label=' || off || ', color=' || {list(COLOURS)}[first % {len(COLOURS)} + 1] || ', penwidth=5];' FROM (SELECT *, lag(stop) OVER (PARTITION BY src, dst ORDER BY part) AS start FROM parts) WHERE start IS NOT NULL"""
+
+
+@query(_ON_READS + _GRAPHVIZ, recursive=True)
+def contig_graphviz(spark, d):
+    """Contigs of contracted paths on their graph."""
+    r = fixtures.reads(spark, d)
+    c = cut(contract.contract(overlap.overlap_edges(r, PARAMS), LONG))
+    return contig_lines(c, contigs.contigs_of(contigs.walks(c), r, PARAMS))
+
+
 @query()
 def assembled_contigs(spark, d):
     """From windows over all texts to contigs; the redundancy filter decides one contig after the other, which SQL can't express."""

@@ -63,10 +63,15 @@ def paired_files(spark, d):
     return sources.pair_files(sources.read_sequences(spark, first), sources.read_sequences(spark, second))
 
 
-@query("SELECT * FROM (VALUES ('a.fasta', 'fasta'), ('b.x.fastq', 'fastq'), ('c.fq', 'fastq'), ('d.pfasta', 'pfasta'), ('e.txt', 'tokens'), ('fasta', 'tokens')) t(path, format)", on="")
+_ENDS = ("fasta", "fastq", "fq", "pfasta", "txt", "")
+
+
+@query(", n AS (SELECT DISTINCT source || '/' || lang || '.' || doc_id AS stem, doc_id % 6 AS k FROM documents), p AS (SELECT CASE k WHEN 0 THEN stem || '.fasta' WHEN 1 THEN stem || '.fastq' WHEN 2 THEN stem || '.fq' WHEN 3 THEN stem || '.pfasta' WHEN 4 THEN stem || '.txt' ELSE stem END AS path FROM n) SELECT path, CASE WHEN path LIKE '%.fasta' THEN 'fasta' WHEN path LIKE '%.pfasta' THEN 'pfasta' WHEN path LIKE '%.fastq' OR path LIKE '%.fq' THEN 'fastq' ELSE 'tokens' END AS format FROM p")
 def file_formats(spark, d):
-    names = ["a.fasta", "b.x.fastq", "c.fq", "d.pfasta", "e.txt", "fasta"]
-    return spark.createDataFrame([(n, sources.format_of(n)) for n in names], "path string, format string")
+    """Of a file name for each document."""
+    names = fixtures.table(spark, d, "documents").select(F.expr("concat(source, '/', lang, '.', doc_id)").alias("stem"), F.expr("doc_id % 6").alias("k")).distinct()
+    end = F.element_at(F.array(*[F.lit(f".{x}" if x else "") for x in _ENDS]), (F.col("k") + 1).cast("int"))
+    return names.select(F.concat("stem", end).alias("path")).select("path", sources.format_column("path").alias("format"))
 
 
 @query(_ROWS + "SELECT 2 * rn AS no, '>contig_id=' || id || '_length=' || length(seq) AS value FROM o UNION ALL SELECT 2 * rn + 1, replace(seq, 'T', 'U') FROM o")

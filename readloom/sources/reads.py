@@ -7,7 +7,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,12 @@ def format_of(path: str) -> str:
     return {"fasta": "fasta", "pfasta": "pfasta", "fastq": "fastq", "fq": "fastq"}.get(end, "tokens")
 
 
+def format_column(path: str) -> Column:
+    """As format_of, of a column of paths."""
+    known = F.regexp_extract(path, r"\.(p?fasta|fastq|fq)$", 1)
+    return F.when(known == "", "tokens").when(known == "fq", "fastq").otherwise(known)
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """no (from 0; of a folder's files in order of their names) and value. Spark's row numbers within a part of a file, moved by the sizes of the parts before: one count for each part is windowed, never the lines."""
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))

@@ -4,12 +4,16 @@ Records of FASTA and FASTQ span lines, so lines get numbers first: a line's numb
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from readloom.checkpoints import exists
+from readloom.functions.packed import ragged
+
 
 def format_of(path: str) -> str:
     """By what follows the last dot: fasta, pfasta (mates interleaved), fastq or fq; anything else is tokens."""
@@ -61,21 +65,28 @@ def pair_files(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def read_graph(spark: SparkSession, path: str) -> DataFrame:
-    """src, dst, off of a graph saved as Parquet (save_graph), or in the binary layout: u32 nodes, then for each i32 id, i32 degree and degree times i32 target, i32 offset."""
+    """src, dst, off of a graph saved as Parquet (save_graph), or in the binary layout: u32 nodes, then for each i32 id, i32 degree and degree times i32 target, i32 offset. path: a folder of save_graph_binary, of which a task reads
+    one file at a time, or a single file."""
     if not path.endswith(".bin"):
         return spark.read.parquet(path)
 
-    def parse(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        for t in batches:
-            for raw in t["content"]:
-                rows, at = [], 4
-                for _ in range(struct.unpack_from("<I", raw)[0]):
-                    node, degree = struct.unpack_from("<ii", raw, at)
-                    edges = struct.unpack_from(f"<{2 * degree}i", raw, at + 8)
-                    rows += zip([node] * degree, edges[0::2], edges[1::2], strict=True)
-                    at += 8 + 8 * degree
-                yield pd.DataFrame(rows, columns=["src", "dst", "off"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, "src bigint, dst bigint, off int")
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0):
+                ints = np.frombuffer(raw.as_buffer(), "<i4")
+                starts = np.empty(int(ints[0]), np.int64)
+                at = 1
+                for k in range(len(starts)):  # a record's size stands in it; its edges are read all at once
+                    starts[k] = at
+                    at += 2 + 2 * int(ints[at + 1])
+                degree = ints[starts + 1].astype(np.int64)
+                places = np.repeat(starts + 2, degree) + 2 * ragged(degree)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ints[starts], degree).astype(np.int64)), pa.array(ints[places].astype(np.int64)), pa.array(ints[places + 1])], names=["src", "dst", "off"])
+
+    if not exists(spark, f"{path}/index"):
+        files = [path]
+    else:
+        files = [f"{path}/{r.file}" for r in spark.read.parquet(f"{path}/index").select("file").collect()]  # names only
+    if not files:
+        return spark.createDataFrame([], "src bigint, dst bigint, off int")
+    return spark.read.format("binaryFile").load(files).select("content").mapInArrow(parse, "src bigint, dst bigint, off int")

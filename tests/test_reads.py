@@ -75,6 +75,17 @@ def test_graph_files(spark, tmp_path):
     df = spark.createDataFrame(edges, "src bigint, dst bigint, off int")
     sinks.save_graph(df, str(tmp_path / "g"))
     assert sorted(map(tuple, sources.read_graph(spark, str(tmp_path / "g")).collect())) == edges
+    many = sorted({(i % 40, (7 * i) % 97 + 40, i % 9) for i in range(400)} | {(3, k, 1) for k in range(200, 500)})
+    made = spark.createDataFrame(many, "src bigint, dst bigint, off int").repartition(4)
+    sinks.save_graph_binary(made, str(tmp_path / "many.bin"))
+    (tmp_path / "many.bin" / "part-000000-99999.records").write_bytes(b"left by a lost task")
+    assert sorted(map(tuple, sources.read_graph(spark, str(tmp_path / "many.bin")).collect())) == many
+    files = spark.read.parquet(str(tmp_path / "many.bin" / "index")).collect()
+    assert sum(r.nodes for r in files) == len({x for e in many for x in e[:2]})
+    sinks.save_graph_binary(made.limit(0), str(tmp_path / "none.bin"))
+    assert sources.read_graph(spark, str(tmp_path / "none.bin")).collect() == []
+    with pytest.raises(Exception, match="32 bits"):
+        sinks.save_graph_binary(made.withColumn("dst", F.col("dst") + (1 << 31)), str(tmp_path / "wide.bin"))
 
 
 def test_cleaning(spark):

@@ -5,7 +5,9 @@ so does (dst, tail). Edges between nodes that aren't inner, and those on cycles
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.checkpoints import cut, forget
@@ -75,3 +77,30 @@ def expand(chains: DataFrame) -> DataFrame:
 def turned(chains: DataFrame) -> DataFrame:
     """src, dst, off, via of the reversed graph's chains; via is what was the tail."""
     return chains.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "off", F.col("tail").alias("via"))
+
+
+def longest_ways(edges: DataFrame) -> DataFrame:
+    """id, length, next: of each node the greatest sum of offsets on a way to a node without out-edges, and the next node on it (of equal ways that with the smallest); null next for those that have none. Nodes from which a way runs
+    into a cycle are left out.
+
+    Chains are taken level by level from the ends: a node is decided once all its chains lead to decided ones, so each chain is used once. Nodes inside of chains get theirs from the chain's end."""
+    chains = compress(edges)
+    rows = chains.select("src", "dst", "off", "via")
+    out = rows.groupBy("src").agg(F.count("*").alias("n"))
+    fresh = cut(rows.select(F.col("dst").alias("id")).distinct().join(out, F.col("id") == F.col("src"), "left_anti").select("id", F.lit(0).cast("bigint").alias("length"), F.lit(None).cast("bigint").alias("next")))
+    decided, part = [fresh], None
+    while not fresh.isEmpty():
+        ways = rows.join(fresh.select(F.col("id").alias("dst"), "length"), "dst").select("src", F.struct((F.col("off") + F.col("length")).alias("length"), (-F.col("via")).alias("o")).alias("best"), F.lit(1).alias("c"))
+        ways = ways if part is None else part.unionByName(ways)
+        known = cut(ways.groupBy("src").agg(F.max("best").alias("best"), F.sum("c").alias("c")).join(out, "src"))
+        forget(part)
+        fresh = cut(known.where("c = n").select(F.col("src").alias("id"), F.col("best.length").alias("length"), (-F.col("best.o")).alias("next")))
+        part = cut(known.where("c < n").select("src", "best", "c"))
+        forget(known)
+        decided.append(fresh)
+    ends = reduce(DataFrame.unionByName, decided)
+    inside = chains.where("size(path) > 1").join(ends.select(F.col("id").alias("dst"), "length"), "dst")
+    inside = inside.select("src", "via", (F.col("length") + F.col("off")).alias("whole"), F.col("path.node").alias("nodes"), F.posexplode("path").alias("i", "x"))
+    before = Window.partitionBy("src", "via").orderBy("i")
+    inside = inside.select(F.col("x.node").alias("id"), (F.col("whole") - F.sum("x.off").over(before)).alias("length"), F.expr("get(nodes, i + 1)").alias("next")).where("next is not null")
+    return ends.unionByName(inside)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions import bitsets
 from readloom.functions import sequences as fn
-from readloom.operators import approximate, clean, correct, graph, order, overlap, simplify, stats
+from readloom.operators import approximate, chains, clean, correct, graph, order, overlap, simplify, stats
 from readloom.plans import fixtures
 from readloom.plans.fixtures import GRAPH_SQL, PARAMS, SQL
 from readloom.sources.sinks import COLOURS, graphviz
@@ -402,6 +402,11 @@ def components(spark, d):
     return graph.components(fixtures.edges(spark, d))
 
 
+@query(", ways AS (SELECT id, CAST(0 AS BIGINT) AS length FROM deg WHERE o = 0 UNION SELECT e.src, w.length + e.off FROM ways w JOIN edges e ON e.dst = w.id), best AS (SELECT id, max(length) AS length FROM ways GROUP BY 1) SELECT b.id, b.length, min(e.dst) AS next FROM best b LEFT JOIN (SELECT e.src, e.dst, e.off + t.length AS length FROM edges e JOIN best t ON t.id = e.dst) e ON e.src = b.id AND e.length = b.length GROUP BY 1, 2", recursive=True, on=GRAPH_SQL)
+def longest_paths(spark, d):
+    return chains.longest_ways(fixtures.edges(spark, d))
+
+
 @query(_CAND + "SELECT f.src || ' -> ' || f.dst || ' [label=\"(' || f.off || ',' || (least(length(a.seq), length(b.seq) + f.off) - f.off) || ')\", color=' || " + f"{list(COLOURS)}" + f"[f.src % {len(COLOURS)} + 1] || '];' AS value FROM final f JOIN reads a ON a.id = f.src JOIN reads b ON b.id = f.dst")
 def graph_graphviz(spark, d):
     r = fixtures.reads(spark, d)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from readloom.checkpoints import cut
 from readloom.functions import numbers
 from readloom.functions import sequences as fn
-from readloom.operators import approximate, clean, contigs, contract, graph, overlap, simplify, stats
+from readloom.operators import approximate, clean, contigs, contract, graph, overlap, scaffolds, simplify, stats
 from readloom.plans import assemble, fixtures
 from readloom.plans.fixtures import GRAPH_SQL, PARAMS, SQL
 from readloom.plans.queries import _CAND, WEIGHT, overlap_sql, query
@@ -147,6 +147,13 @@ def trimmed_contigs(spark, d):
 _MATE_READS = SQL.strip().replace("reads AS (SELECT max(id) AS id, seq FROM strands", "pairs_ AS (SELECT a.rn, a.seq AS mate1, reverse(translate(b.seq, 'ACGT', 'TGCA')) AS mate2 FROM trimmed a JOIN trimmed b ON b.rn = a.rn + 20 AND a.rn // " + f"{fixtures.DOC} = b.rn // {fixtures.DOC}), m_ AS (SELECT 4 * rn + 1 AS id, mate1 AS seq FROM pairs_ UNION ALL SELECT 4 * rn + 3, mate2 FROM pairs_), v_ AS (SELECT * FROM m_ WHERE NOT contains(seq, 'N') AND NOT (" + " OR ".join(f"starts_with(seq, substr(seq, {p + 1}))" for p in range(1, 21)) + ")),\nboth_ AS (SELECT id, seq FROM v_ UNION ALL SELECT id - 1, reverse(translate(seq, 'ACGT', 'TGCA')) FROM v_),\nreads AS (SELECT max(id) AS id, seq FROM both_", 1)
 
 
+def _mate_graph(spark, d):
+    """Contracted overlaps of the mates' reads, and the reads."""
+    raw = clean.pairs_to_raw(fixtures.mate_pairs(spark, d)).select("rn", F.col("raw").alias("seq"))
+    r = cut(clean.drop_contained(clean.both_strands(clean.valid(raw, PARAMS))))
+    return cut(contract.contract(overlap.overlap_edges(r, PARAMS), LONG)), r
+
+
 @query(_CAND.rstrip() + contract_sql("final", LONG) + """, ends AS (SELECT src, dst AS id, read_id FROM (SELECT *, lag(whole - place) OVER (PARTITION BY src, dst ORDER BY i DESC) AS nearer FROM reads_on) WHERE coalesce(nearer, 0) < 300),
 heads AS (SELECT src AS id, dst, read_id FROM (SELECT *, lag(place) OVER (PARTITION BY src, dst ORDER BY i) AS nearer FROM reads_on) WHERE coalesce(nearer, 0) < 300),
 mates AS (SELECT a.id, b.id AS mate FROM (SELECT id, CASE WHEN id % 4 < 2 THEN id + 2 ELSE id - 2 END AS want FROM reads) a JOIN reads b ON b.id = a.want),
@@ -154,12 +161,76 @@ met AS (SELECT DISTINCT e.src, e.id, h.dst, e.read_id FROM ends e JOIN (SELECT i
 SELECT src, id, dst, count(*) AS support FROM met GROUP BY 1, 2, 3""", recursive=True, on=_MATE_READS)
 def mate_support(spark, d):
     """Over the graph of mates' reads."""
-    raw = clean.pairs_to_raw(fixtures.mate_pairs(spark, d)).select("rn", F.col("raw").alias("seq"))
-    r = clean.drop_contained(clean.both_strands(clean.valid(raw, PARAMS)))
-    c = contract.contract(overlap.overlap_edges(r, PARAMS), LONG)
+    c, r = _mate_graph(spark, d)
     return contigs.mate_support(c, clean.with_mates(r), replace(PARAMS, insert_size=300))
 
 
+_MATES = ", mates AS (SELECT a.id, b.id AS mate FROM (SELECT id, CASE WHEN id % 4 < 2 THEN id + 2 ELSE id - 2 END AS want FROM reads) a JOIN reads b ON b.id = a.want)"
+
+
+@query(_CAND.rstrip() + contract_sql("final", LONG) + _MATES + f""",
+e AS MATERIALIZED (SELECT src, dst, i, read_id, CAST(sum(greatest(off, 1)) OVER (PARTITION BY src, dst ORDER BY i) AS BIGINT) AS at, CAST(sum(greatest(off, 1)) OVER (PARTITION BY src, dst) AS BIGINT) AS whole FROM reads_on WHERE i > 0),
+short AS (SELECT src, dst FROM contracted WHERE off <= {1.5 * PARAMS.average_length}),
+steps AS MATERIALIZED (SELECT DISTINCT src, dst, whole FROM e),
+down AS (SELECT DISTINCT dst AS root, dst AS node, CAST(0 AS BIGINT) AS far FROM short UNION SELECT d.root, s.dst, d.far + s.whole FROM down d JOIN steps s ON s.src = d.node WHERE d.far + s.whole <= 500),
+up AS (SELECT DISTINCT src AS root, src AS node, CAST(0 AS BIGINT) AS far FROM short UNION SELECT u.root, s.src, u.far + s.whole FROM up u JOIN steps s ON s.dst = u.node WHERE u.far + s.whole <= 500),
+ahead AS (SELECT DISTINCT d.root, e.read_id FROM down d JOIN e ON e.src = d.node WHERE d.far + e.at <= 500),
+behind AS (SELECT DISTINCT u.root, e.read_id FROM up u JOIN e ON e.dst = u.node WHERE u.far + e.whole - e.at <= 500),
+spanned AS (SELECT DISTINCT s.src, s.dst FROM short s JOIN ahead a ON a.root = s.dst JOIN mates m ON m.id = a.read_id JOIN behind b ON b.root = s.src AND b.read_id = xor(m.mate, 1))
+SELECT src, dst FROM short EXCEPT SELECT src, dst FROM spanned""", recursive=True, on=_MATE_READS)
+def separator_edges(spark, d):
+    """Short edges of the graph of mates' reads that no pair spans."""
+    c, r = _mate_graph(spark, d)
+    return scaffolds.separator_edges(c, clean.with_mates(r), PARAMS)
+
+
+@query(_CAND.rstrip() + contract_sql("final", LONG) + _MATES + f""",
+e AS MATERIALIZED (SELECT src, dst, list(struct_pack(r := read_id, b := place - off)) AS reads, any_value(whole) AS whole FROM reads_on WHERE i > 0 GROUP BY 1, 2),
+held_ AS MATERIALIZED (SELECT src, dst, list(DISTINCT read_id) AS reads FROM reads_on GROUP BY 1, 2),
+want AS MATERIALIZED (SELECT o.src, o.dst, list(DISTINCT x.mate) AS mates FROM reads_on o JOIN (SELECT id, mate FROM mates UNION ALL SELECT id, xor(mate, 1) FROM mates) x ON x.id = o.read_id GROUP BY 1, 2),
+out_ AS MATERIALIZED (SELECT src, list(DISTINCT dst) AS outs FROM contracted GROUP BY 1),
+w AS (SELECT src AS start, dst AS stop, dst AS node, CAST([] AS BIGINT[]) AS way, CAST(0 AS BIGINT) AS far, CAST(0 AS BIGINT) AS n, true AS on_ FROM contracted
+  UNION ALL SELECT start, stop, node, way, far + whole, n, n < {PARAMS.mate_support} AND far + whole <= 300 AND NOT list_has_any(outs, way) AND NOT list_has_any(outs, reads) FROM (
+    SELECT w.start, w.stop, e.dst AS node, list_append(w.way, e.dst) AS way, w.far, e.whole, w.n + len(list_filter(e.reads, lambda x: w.far + x.b <= 300 AND list_contains(coalesce(k.mates, CAST([] AS BIGINT[])), x.r))) AS n, coalesce(o.outs, CAST([] AS BIGINT[])) AS outs, h.reads
+    FROM w JOIN e ON e.src = w.node JOIN held_ h ON h.src = w.start AND h.dst = w.stop LEFT JOIN want k ON k.src = w.start AND k.dst = w.stop LEFT JOIN out_ o ON o.src = e.dst WHERE w.on_))
+SELECT DISTINCT start, stop, way[1] AS next FROM w WHERE n >= {PARAMS.mate_support}""", recursive=True, on=_MATE_READS)
+def mate_confirmed_steps(spark, d):
+    """For each contracted edge as a walk: the next steps that ways of 300 bases confirm."""
+    c, r = _mate_graph(spark, d)
+    paths = contigs.walks(c)
+    steps = scaffolds.mate_steps(paths, c, clean.with_mates(r), replace(PARAMS, insert_size=300))
+    return steps.join(paths, "path_id").select("start", F.col("end").alias("stop"), "next")
+
+
+_BACK = "reverse(translate({}, 'ACGT', 'TGCA'))"
+
+
+@query(_CAND.rstrip() + contract_sql("final", LONG) + _MATES + _SPELLED + f""",
+one AS MATERIALIZED (SELECT src, dst, seq, row_number() OVER (ORDER BY seq) AS id FROM (SELECT src, dst, seq, row_number() OVER (PARTITION BY seq ORDER BY src, dst) AS r FROM spelled WHERE length(seq) >= {PARAMS.min_contig} AND seq < {_BACK.format("seq")}) WHERE r = 1),
+both_strands AS MATERIALIZED (SELECT 2 * id + 1 AS id, seq FROM one UNION ALL SELECT 2 * id, {_BACK.format("seq")} FROM one),
+places AS (SELECT o.id, h.i, h.read_id, h.place, length(o.seq) - h.place - length(r.seq) AS back, count(*) OVER (PARTITION BY o.id) AS k FROM one o JOIN held h ON h.src = o.src AND h.dst = o.dst JOIN reads r ON r.id = h.read_id),
+turned AS MATERIALIZED (SELECT 2 * id + 1 AS node, read_id, place, i < 500 OR i >= k - 500 AS outer_ FROM places UNION ALL SELECT 2 * id, xor(read_id, 1), back, i < 500 OR i >= k - 500 FROM places)"""
++ overlap_sql("both_strands", 30, PARAMS.max_overlap, 30).replace("cand", "cand2").replace("small", "small2").replace("pre ", "pre2 ").replace("final", "final2")
++ f""", sup AS MATERIALIZED (SELECT f.src, f.dst, f.off FROM final2 f JOIN turned r ON r.node = f.dst AND r.outer_ JOIN mates m ON m.id = xor(r.read_id, 1) JOIN turned a ON a.node = f.src AND a.outer_ AND a.read_id = m.mate GROUP BY 1, 2, 3 HAVING count(DISTINCT r.read_id) >= {PARAMS.mate_support}),
+links AS MATERIALIZED (SELECT s.* FROM sup s JOIN sup t ON t.src = xor(s.dst, 1) AND t.dst = xor(s.src, 1)),
+free AS (SELECT id FROM (SELECT src AS id, 1 AS o, 0 AS i FROM links UNION ALL SELECT dst, 0, 1 FROM links) GROUP BY 1 HAVING sum(o) <= 1 AND sum(i) <= 1),
+plain AS MATERIALIZED (SELECT l.* FROM links l WHERE src IN (SELECT id FROM free) AND dst IN (SELECT id FROM free)),
+row_ AS (SELECT src AS start, src AS node, '' AS s, 1 AS n, CAST(0 AS BIGINT) AS base FROM plain WHERE src NOT IN (SELECT dst FROM plain)
+  UNION ALL SELECT w.start, l.dst, w.s || substr(b.seq, 1, l.off), w.n + 1, w.base + l.off FROM row_ w JOIN plain l ON l.src = w.node JOIN both_strands b ON b.id = w.node),
+n_reads AS (SELECT start, count(*) AS n_reads FROM (SELECT DISTINCT w.start, t.read_id, w.base + t.place FROM row_ w JOIN turned t ON t.node = w.node) GROUP BY 1),
+made AS (SELECT w.s || b.seq AS seq, w.n, r.n_reads FROM row_ w JOIN (SELECT start, max(n) AS n FROM row_ GROUP BY 1) l ON l.start = w.start AND l.n = w.n JOIN both_strands b ON b.id = w.node JOIN n_reads r ON r.start = w.start)
+SELECT DISTINCT least(seq, {_BACK.format("seq")}) AS seq, n_reads FROM made UNION ALL SELECT o.seq, (SELECT count(*) FROM held h WHERE h.src = o.src AND h.dst = o.dst) FROM one o WHERE 2 * id NOT IN (SELECT node FROM row_)""", recursive=True, on=_MATE_READS)
+def extended_contigs(spark, d):
+    """One strand of the contigs over mates' reads, extended. Which strand of a row stays depends on ids, so the lesser is shown."""
+    from readloom.functions.sequences import reverse_complement
+
+    c, r = _mate_graph(spark, d)
+    made = _ends(contigs.contigs_of(contigs.walks(c), r, PARAMS)).where(F.col("seq") < reverse_complement(F.col("seq")))
+    one = cut(made.groupBy("seq").agg(F.min_by("reads", F.struct("first", "last")).alias("reads")).select(F.shiftright(F.xxhash64("seq"), 2).alias("id"), "seq", "reads"))
+    out = scaffolds.extend_contigs(one, r, clean.with_mates(r), PARAMS)
+    return out.select(F.least("seq", reverse_complement(F.col("seq"))).alias("seq"), F.size("reads").cast("bigint").alias("n_reads"))
+
+
 @query(_CAND + "SELECT src, dst, off, ov FROM cand WHERE src % 4 = 1 AND dst % 3 > 0")
 def overlaps_of_some(spark, d):
     """Candidates whose source and target are eligible."""

@@ -130,12 +130,12 @@ def packed_reads(spark, d):
 
 
 
-def overlap_sql(reads: str, least: int, most: int) -> str:
+def overlap_sql(reads: str, least: int, most: int, large: int = R) -> str:
     """Common tables of the overlap graph of the relation reads: cand (all overlaps of least to most bases), small, pre, final."""
     return f""", cand AS (SELECT a.id AS src, b.id AS dst, CAST(a.off AS INTEGER) AS off, CAST(length(a.seq) - a.off AS INTEGER) AS ov, a.seq AS s FROM (SELECT id, seq, unnest(generate_series(greatest(0, length(seq) - {most}), length(seq) - {least})) AS off FROM {reads}) a JOIN {reads} b ON substr(a.seq, CAST(a.off + 1 AS INTEGER), {least}) = substr(b.seq, 1, {least}) AND a.id <> b.id AND starts_with(b.seq, substr(a.seq, CAST(a.off + 1 AS INTEGER)))),
-small AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY ov DESC, dst) AS r FROM cand WHERE ov < {R}) WHERE r <= {TOP}),
-pre AS (SELECT src, dst, min(off) AS off, any_value(s) AS s FROM (SELECT src, dst, off, s FROM cand WHERE ov >= {R} UNION ALL SELECT src, dst, off, s FROM small) GROUP BY 1, 2),
-final AS (SELECT src, dst, off FROM pre p WHERE NOT EXISTS (SELECT 1 FROM cand b WHERE b.ov >= {R} AND b.dst = p.dst AND b.src <> p.src AND b.off > 0 AND p.off >= b.off AND length(b.s) + p.off - b.off - length(p.s) >= 0 AND substr(p.s, p.off - b.off + 1, b.off) = substr(b.s, 1, b.off))) """
+small AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY ov DESC, dst) AS r FROM cand WHERE ov < {large}) WHERE r <= {TOP}),
+pre AS (SELECT src, dst, min(off) AS off, any_value(s) AS s FROM (SELECT src, dst, off, s FROM cand WHERE ov >= {large} UNION ALL SELECT src, dst, off, s FROM small) GROUP BY 1, 2),
+final AS (SELECT src, dst, off FROM pre p WHERE NOT EXISTS (SELECT 1 FROM cand b WHERE b.ov >= {large} AND b.dst = p.dst AND b.src <> p.src AND b.off > 0 AND p.off >= b.off AND length(b.s) + p.off - b.off - length(p.s) >= 0 AND substr(p.s, p.off - b.off + 1, b.off) = substr(b.s, 1, b.off))) """
 
 
 _CAND = overlap_sql("reads", L, PARAMS.max_overlap)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from readloom.llm.common import cut, free_prefix, stored, table
 
-NEAR_WORDS = 8  #: shorter lines are only compared for equality by default: one word is too much of them
+NEAR_WORDS = 5  #: one edit leaves a similarity of 0.8 or more from here on; shorter lines are only compared for equality by default
 _GAP = r"[\\x20\\x09-\\x0D]+"
 
 

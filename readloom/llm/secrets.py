@@ -1,6 +1,7 @@
 """Secret scans: patterns find candidates, a random forest trained from labelled findings removes false positives.
 
-Candidates are values assigned to telling names, strings with known prefixes, key blocks, and runs of 20 or more token characters that hold a digit. The forest looks at a candidate's
+Candidates are values assigned to telling names (bare or quoted, whatever blanks and escapes stand there; an unclosed quote ends with the line), passwords in addresses, strings with known prefixes, key blocks, runs of
+20 or more token characters that hold a digit, and quoted phrases with blanks that hold none of these. The forest looks at a candidate's
 length, its character transitions (mean log-likelihoods under a letter-pair model of words, and changes of character class), its dictionary coverage (words of WORDS and the whole words of a public vocabulary, whose path is a parameter), whether it stands in a path or address,
 and the words next to it. It is grown here with numpy on a bounded sample of labelled findings (MAX_LABELS, at most) with bootstrapped rows and random subsets of features, and is the same for one seed.
 Without labelled findings of one's own, findings() makes some: secrets of common formats, and what is mistaken for them.
@@ -26,7 +27,11 @@ from readloom.llm.sentencepieces import MODEL
 
 MAX_LABELS, TREES, DEPTH, LEAST_LEAF, SEED = 20_000, 30, 10, 3, 5
 SIDE = 60  #: bytes of text on either side that features look at
-_VALUE = re.compile(rb"(?i)(?:api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|secret|token|passw(?:or)?d|passwd|pwd|credential|auth)[a-z_\-]{0,16}[\"']?\s{0,3}(?::|=>?|:=)\s{0,3}(?:[\"']([^\"'\s]{6,})[\"']|([^\s\"',;]{6,}))")
+_NAME = rb"(?:api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|secret|token|passw(?:or)?d|passphrase|passwd|pwd|credential|auth)[a-z_\-]{0,16}"
+#: A name, its sign, and what it is set to: in quotes up to the closing one or the line's end (looked at only, so that names inside are found too), or bare.
+_VALUE = re.compile(rb"(?i)" + _NAME + rb"[\"']?\s*(?::=|:|=>?)\s*(?:(?=\"([^\"\\\n]*(?:\\[^\n][^\"\\\n]*)*)(\"?))|(?='([^'\\\n]*(?:\\[^\n][^'\\\n]*)*)('?))|([^\s\"',;]{6,}))")
+_ADDRESS = re.compile(rb"://[^\s/:@\"']*:([^\s/@\"']{6,})@")
+_BLANK = re.compile(rb"\s")
 _KNOWN = re.compile(rb"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}")
 _BLOCK = re.compile(rb"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[\s\S]*?(?:-----END [A-Z ]{0,40}PRIVATE KEY-----|\Z)")
 _TOKEN_BYTES = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"))
@@ -38,10 +43,23 @@ _FAR = ("commit", "sha", "md5", "hash", "checksum", "uuid", "guid", "example", "
 FEATURES = ("length", "entropy", "letters_ll", "switches", "digits", "upper", "lower", "hex", "covered", "in_path", "slashes", "near", "far", "assigned", "quoted", "repeats", "separators", "uuid_shape")
 
 
+def _assigned(raw: bytes, m: re.Match) -> tuple[int, int, str]:
+    """What a match of _VALUE found. A quoted text with blanks is a phrase; of one that no quote closes the part before the first blank counts."""
+    if m[5] is not None:
+        return (*m.span(5), "value")
+    at = 1 if m[1] is not None else 3
+    s, e = m.span(at)
+    blank = _BLANK.search(raw, s, e)
+    if not blank:
+        return s, e, "value"
+    return (s, e, "phrase") if m[at + 1] else (s, blank.start(), "value")
+
+
 def candidates(raw: bytes) -> list[tuple[int, int, str]]:
     """Start, end and kind of each candidate, in order."""
     found = [(m.start(), m.end(), "block") for m in _BLOCK.finditer(raw)] if b"-----BEGIN" in raw else []
-    found += [(*m.span(1 if m[1] is not None else 2), "value") for m in _VALUE.finditer(raw)]
+    found += [x for m in _VALUE.finditer(raw) if (x := _assigned(raw, m))[1] - x[0] >= 6]
+    found += [(*m.span(1), "value") for m in _ADDRESS.finditer(raw)]
     found += [(*m.span(), "known") for m in _KNOWN.finditer(raw)]
     if raw:
         a = np.frombuffer(raw, np.uint8)
@@ -51,11 +69,11 @@ def candidates(raw: bytes) -> list[tuple[int, int, str]]:
         digits = np.concatenate([[0], np.cumsum(_DIGITS[a])]) if long.any() else None
         found += [(int(s), int(e), "run") for s, e in zip(starts[long], ends[long], strict=True) if digits[e] > digits[s]]
     kept: list[tuple[int, int, str]] = []
-    rank = {"block": 0, "value": 1, "known": 2, "run": 3}
+    rank = {"block": 0, "value": 1, "known": 2, "run": 3, "phrase": 4}
     taken: list[tuple[int, int]] = []
     import bisect
 
-    for s, e, kind in sorted(found, key=lambda x: (rank[x[2]] == 3, -(x[1] - x[0]), x[0], rank[x[2]])):
+    for s, e, kind in sorted(found, key=lambda x: (max(2, rank[x[2]]), -(x[1] - x[0]), x[0], rank[x[2]])):
         at = bisect.bisect_left(taken, (s, e))
         if (at == 0 or taken[at - 1][1] <= s) and (at == len(taken) or taken[at][0] >= e):
             taken.insert(at, (s, e))

@@ -35,3 +35,33 @@ def test_functions_of_whole_batches(spark):
         assert got[i].p == (next(p for p in range(1, n + 1) if s.startswith(s[p:])) if s else None)
         assert got[i].short == (None if s is None else any(s.startswith(s[p:]) for p in range(1, 21)))
         assert got[i].o == ([k for k in range(n - len(h) + 1) if s.startswith(h, k)] if h else [])
+
+
+def test_packed_whole(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("ACGT" if i % 3 else "ACGTN", k=rng.choice([1, 2, 30, 31, 32, 62, 80]))) for i in range(200)] + ["", "T" * 80, "A" * 31]
+
+    def codes(s):
+        out = []
+        for p in range(0, len(s), 31):
+            a = 0
+            for c in s[p : p + 31]:
+                a = a * 4 + "ACGT".find(c)
+            out.append(a)
+        return out
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string").withColumn("n", F.length("s")).withColumn("c", fn.pack_whole("s"))
+    for r in df.withColumn("b", fn.unpack_whole("c", "n")).collect():
+        assert r.c == codes(r.s)
+        if "N" not in r.s:
+            assert r.b == r.s
+
+
+def test_reads_of_one_length_meet_no_others(spark):
+    """Reads of equal length were joined with each other by their whole sequence."""
+    from readloom.operators import clean
+
+    rows = [(1, "ACGTTG"), (0, "CAACGT"), (3, "ACGTTG"), (2, "CAACGT"), (5, "ACGCGT"), (4, "ACGCGT")]
+    df = spark.createDataFrame(rows, "id bigint, seq string")
+    assert clean.contained_in_longer(df)._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+    assert {(r.id, r.seq) for r in clean.drop_contained(df).collect()} == {(3, "ACGTTG"), (2, "CAACGT")}

@@ -27,14 +27,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares 0.8 of its five-word shingles. Lines that went already were what copies have in common, so documents are compared by the texts that the table documents has for their ids; a
-    document that isn't there by its own."""
+    """One document of each group that shares 0.8 of its five-word shingles. Lines that went already were what copies have in common, so documents are compared by the texts that the table documents has for their ids, and
+    by what the stages before have left of them, where that differs; a document that isn't there by its own alone."""
     ids = docs.select("doc_id").where("doc_id is not null").distinct()
     whole = table(spark, sf_dir, "documents").select("doc_id", "text")
-    judged = whole.join(ids, "doc_id", "left_semi")
-    new = stored(ids.join(whole.select("doc_id"), "doc_id", "left_anti"))
-    if not new.isEmpty():
-        judged = judged.unionByName(docs.select("doc_id", "text").join(new, "doc_id", "left_semi"))
+    prints = F.xxhash64("text").alias("h"), F.octet_length("text").alias("n")
+    own = docs.select("doc_id", "text", *prints).where("doc_id is not null").join(whole.select("doc_id", *prints), ["doc_id", "h", "n"], "left_anti")
+    judged = whole.join(ids, "doc_id", "left_semi").unionByName(own.select("doc_id", "text"))
     return jaccard.one_of_each_group(docs, width=5, num=80, den=100, judged=stored(judged))
 
 

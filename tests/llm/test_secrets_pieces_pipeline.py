@@ -333,6 +333,17 @@ def test_near_duplicates_of_documents_that_the_table_lacks(spark, tmp_path):
     assert sorted((r.doc_id for r in pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()), key=str) == [1, 8, None]
 
 
+def test_near_duplicates_follow_what_the_stages_before_have_left(spark, tmp_path):
+    """Texts that are alike only since their other lines went: they were judged by the table's texts alone."""
+    import corpus_pipeline as pipeline
+
+    left = " ".join(f"w{i}" for i in range(60))
+    whole = [(i, left + f" x{i}\n" + " ".join(f"v{i}{j}" for j in range(80))) for i in (1, 2)] + [(3, " ".join(f"u{j}" for j in range(80)))]
+    spark.createDataFrame(whole, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.createDataFrame([(1, left + " x1"), (2, left + " x2"), whole[2]], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()) == [1, 3]
+
+
 def test_pipeline_ends_with_ids(spark, vocabulary):
     import hashlib
 

@@ -27,6 +27,12 @@ def from_places(places: str, size: str | int) -> Column:
     return F.expr(f"transform({_words(size)}, w -> aggregate({inside}, 0L, (x, p) -> x | shiftleft(1L, cast(p % 64 as int))))")
 
 
+def from_text(s: str, size: str | int) -> Column:
+    """The set that text() writes, from a string of 0 and 1 (a column's name or an expression): one conversion of 64 characters for each word, whatever the number of places."""
+    part = f"reverse(substring({s}, cast(64 * w + 1 as int), cast(least(64, {size} - 64 * w) as int)))"
+    return F.expr(f"transform({_words(size)}, w -> coalesce(cast(conv({part}, 2, -10) as bigint), 0L))")
+
+
 def both(a: str, b: str) -> Column:
     return F.expr(f"zip_with({a}, {b}, (x, y) -> x & y)")
 
@@ -86,12 +92,8 @@ def size_between(a: str, low: str | int, high: str | int) -> Column:
 
 
 def places(a: str) -> Column:
-    """The numbers in it, ascending. Each word gives its lowest bit as often as it has one."""
-    of_word = "transform(case when x = 0 then cast(array() as array<struct<rest:bigint,at:int>>) else slice(aggregate(sequence(1, bit_count(x)), array(struct(x as rest, -1 as at)), (l, i) -> array_append(l, struct(element_at(l, -1).rest & (element_at(l, -1).rest - 1L) as rest, bit_count((element_at(l, -1).rest & -element_at(l, -1).rest) - 1L) as at))), 2, 64) end, y -> y.at + 64 * w)"
-    # A word's lowest bit is x & -x; -x and x - 1 overflow for the lowest number there is, of which only the highest bit is set.
-    safe = of_word.replace("element_at(l, -1).rest & (element_at(l, -1).rest - 1L)", "case when element_at(l, -1).rest = -9223372036854775807L - 1L then 0L else element_at(l, -1).rest & (element_at(l, -1).rest - 1L) end")
-    safe = safe.replace("bit_count((element_at(l, -1).rest & -element_at(l, -1).rest) - 1L)", "case when element_at(l, -1).rest = -9223372036854775807L - 1L then 63 else bit_count((element_at(l, -1).rest & (~element_at(l, -1).rest + 1L)) - 1L) end")
-    return F.expr(f"flatten(transform({a}, (x, w) -> {safe}))")
+    """The numbers in it, ascending."""
+    return F.expr(f"flatten(transform({a}, (x, w) -> transform(filter(case when x = 0 then cast(array() as array<int>) else sequence(0, 63) end, i -> getbit(x, i) = 1), i -> i + 64 * w)))")
 
 
 def first_from(a: str, i: str | int) -> Column:

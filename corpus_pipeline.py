@@ -13,19 +13,23 @@ from pyspark.sql import functions as F
 
 from readloom.llm import jaccard, lines, mixing, quality, sentencepieces
 from readloom.llm.common import stored, table
+from readloom.shipping import shipped
 
 
+@shipped
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects; thresholds come from the labels."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+@shipped
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that equal or nearly equal an earlier one; n_chars follows the text. A document that is left without a word was a copy, and goes."""
     out = lines.dedup_lines(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
+@shipped
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares 0.8 of its five-word shingles. Lines that went already were what copies have in common, so documents are compared by the texts that the table documents has for their ids, and
     by what the stages before have left of them, where that differs; a document that isn't there by its own alone."""
@@ -37,11 +41,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return jaccard.one_of_each_group(docs, width=5, num=80, den=100, judged=stored(judged))
 
 
+@shipped
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's weight asks for."""
     return mixing.mix(docs)
 
 
+@shipped
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Canonical ids of each text and its sampled segmentations; a document that was drawn several times has as many rows."""
     out = sentencepieces.encode(docs)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readloom import checkpoints
+from readloom.checkpoints import forget  # noqa: F401
+
 WORD_GAP = r"[\x20\x09-\x0D]+"  # between words, as a Java pattern
 BLANKS = "' \\t\\n\\u000B\\u000C\\r'"  # the same characters, as an SQL literal
 
@@ -33,11 +35,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """As cut, but as a Parquet table: for wide rows."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """As cut, but as a Parquet table: for wide rows. forget() removes it."""
+    shared_dir(df.sparkSession)
+    return checkpoints.cut(df, compression)
 
 
 FILTER_BITS = 1 << 16, 1 << 27  #: least and most bits of a filter

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import filter_bits, filter_of, free_prefix, passes, stored, table
+from readloom.llm.common import filter_bits, filter_of, forget, free_prefix, passes, stored, table
 from readloom.llm.graph import components
 from readloom.llm.shingles import set_prints, shingle_sets
 
@@ -114,6 +114,24 @@ def _back(data: bytes, kind, n: int, at: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8, kind.itemsize * n, at).reshape(kind.itemsize, n).T).view(kind.newbyteorder(">")).ravel().astype(kind)
 
 
+def _rising(x: np.ndarray) -> bytes:
+    """Rising 32-bit numbers as their differences, which take fewer bits."""
+    return _high_first(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def _risen(data: bytes, n: int, at: int) -> np.ndarray:
+    return np.cumsum(_back(data, np.uint32, n, at), dtype=np.uint32)
+
+
+def _packed(data: bytes) -> bytes:
+    """Compressed harder than shuffles are: these bytes are most of what the join has on disk."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
 def rare_first_tokens(docs: DataFrame, wanted, width: int, num: int, den: int, n_buckets: int, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """doc, p1, p2, n, missing, tokens: the tokens that other texts hold too, rarest first, after missing that none does: all of a small set's, and of a
     large one's as many as belong to its prefix. Texts that can't be linked have no row. docs: doc, text, without null ids; wanted: broadcast (bytes, bits) of the filter of p1 ^ doc of those that count."""
@@ -146,17 +164,17 @@ def rare_first_tokens(docs: DataFrame, wanted, width: int, num: int, den: int, n
                 bucket, low = (key[first] >> np.uint64(32)).astype(np.int64), key[first].astype(np.uint32)
                 edge = np.flatnonzero(np.diff(bucket, prepend=-1) != 0)
                 size = np.diff(edge, append=len(bucket))
-                blobs = [_high_first(low[a : a + m]) + _high_first(count[a : a + m]) for a, m in zip(edge.tolist(), size.tolist(), strict=True)]
+                blobs = [_packed(_rising(low[a : a + m]) + _high_first(count[a : a + m])) for a, m in zip(edge.tolist(), size.tolist(), strict=True)]
                 own = np.array([keep.sum(), len(edge), len(first), len(of)], np.int64).tobytes() + np.stack([ids[keep], n[keep], p1[keep], p2[keep]]).tobytes() + bucket[edge].tobytes() + size.astype(np.int64).tobytes() + _high_first(count) + _high_first(of)
-                yield pa.RecordBatch.from_arrays([pa.array([*bucket[edge].tolist(), n_buckets + hash((serial, "own")) % n_buckets], pa.int32()), pa.array([serial] * (len(edge) + 1), pa.int64()), pa.array([*blobs, own], pa.binary())], ["bucket", "batch", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([*bucket[edge].tolist(), n_buckets + hash((serial, "own")) % n_buckets], pa.int32()), pa.array([serial] * (len(edge) + 1), pa.int64()), pa.array([*blobs, _packed(own)], pa.binary())], ["bucket", "batch", "data"])
                 serial += 1
 
     def count(t: pa.Table) -> pa.Table:
         bucket = t["bucket"][0].as_py()
         if bucket >= n_buckets:
             return t
-        data = t["data"].to_pylist()
-        parts = [(_back(d, np.uint32, len(d) // 6, 0), _back(d, np.uint16, len(d) // 6, 4 * (len(d) // 6))) for d in data]
+        data = [_unpacked(d) for d in t["data"].to_pylist()]
+        parts = [(_risen(d, len(d) // 6, 0), _back(d, np.uint16, len(d) // 6, 4 * (len(d) // 6))) for d in data]
         everything, held = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         order = np.argsort(everything, kind="stable")
         everything, held = everything[order], held[order].astype(np.int64)
@@ -171,12 +189,12 @@ def rare_first_tokens(docs: DataFrame, wanted, width: int, num: int, den: int, n
             hit[hit] = tokens[at[hit]] == low[hit]
             ranks = np.zeros(len(low), np.uint8)
             ranks[hit] = rank[at[hit]]
-            out.append(ranks.tobytes() + _high_first(low[hit]))
+            out.append(_packed(ranks.tobytes() + _rising(low[hit])))
         return pa.table({"bucket": t["bucket"], "batch": t["batch"], "data": pa.array(out, pa.binary())})
 
     def choose(t: pa.Table) -> pa.Table:
         empty = pa.schema([(c, pa.int64()) for c in ("doc", "p1", "p2", "n", "missing")] + [("tokens", pa.list_(pa.int64()))])
-        answers = dict(zip(t["bucket"].to_pylist(), t["data"].to_pylist(), strict=True))
+        answers = dict(zip(t["bucket"].to_pylist(), map(_unpacked, t["data"].to_pylist()), strict=True))
         own = answers.pop(next(b for b in answers if b >= n_buckets))
         n_docs, n_edges, n_first, n_pairs = np.frombuffer(own, np.int64, 4).tolist()
         ids, n, p1, p2 = np.frombuffer(own, np.int64, 4 * n_docs, 32).reshape(4, n_docs)
@@ -190,7 +208,7 @@ def rare_first_tokens(docs: DataFrame, wanted, width: int, num: int, den: int, n
             data = answers[bucket]
             r = np.frombuffer(data, np.uint8, m)
             rank[begin : begin + m] = r
-            token[begin : begin + m][r > 0] = _back(data, np.uint32, int((r > 0).sum()), m).astype(np.int64) | bucket << 32
+            token[begin : begin + m][r > 0] = _risen(data, int((r > 0).sum()), m).astype(np.int64) | bucket << 32
             begin += m
         rank, token = np.repeat(rank, counts), np.repeat(token, counts)
         hit = rank > 0
@@ -315,12 +333,14 @@ def ngram_jaccard(documents: DataFrame, width: int = 5, num: int = 80, den: int
     pivots = lists.groupBy("token").agg(F.min(order).alias("p"), F.count("*").alias("c")).where("c > 1").select("token", F.col("p.doc").alias("doc"), F.col("p.n").alias("n"), F.col("p.at").alias("at"))
     starred = lists.alias("y").join(pivots.alias("x"), (F.col("x.token") == F.col("y.token")) & (F.col("x.doc") != F.col("y.doc")) & F.expr(fits)).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
     first = stored(starred.unionByName(subset_pairs(small.where(F.col("n") <= limit), limit, num, den)).distinct())
+    forget(tokens)
     links = stored(verified(first, named, width, num, den))
 
     found = components(links)
     labelled = lists.join(found, lists.doc == found.id, "left").select("token", "doc", "n", "at", F.coalesce("component", "doc").alias("of"))
     mixed_lists = labelled.groupBy("token").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("token")
     labelled = stored(labelled.join(mixed_lists, "token", "left_semi"))
+    forget(lists)
     # x is the larger set, or of equal ones that with the greater id.
     size_class = f"cast(floor({CLASSES}D * ln({{0}}) / ln({den}D / {num}D) + 1e-9D) as int)" if num < den else "cast({0} as int)"
     least, most = f"ceil({num}D * n / {den}D - 1e-9D)", f"least(n, floor((n - at) * {num + den}D / {num}D + 1e-9D) - n)"

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import cut, free_prefix, stored, table
+from readloom.llm.common import forget, free_prefix, stored, table
 
 NEAR_WORDS = 5  #: one edit leaves a similarity of 0.8 or more from here on; shorter lines are only compared for equality by default
 _GAP = r"[\\x20\\x09-\\x0D]+"
@@ -73,7 +73,9 @@ def near_lines(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str)
     a, b = lines.alias("a"), lines.alias("b")
     pairs = near.join(a, (F.col("a.doc").eqNullSafe(near.doc)) & (F.col("a.no") == near.no)).select(near.doc, near.no, "near", F.col("a.w").alias("wa"))
     pairs = pairs.join(b, (F.col("b.doc").eqNullSafe(F.col("near.doc"))) & (F.col("b.no") == F.col("near.no"))).select(pairs.doc, pairs.no, "near", "wa", F.col("b.w").alias("wb"))
-    return pairs.where(within_one_edit("wa", "wb")).select("doc", "no", F.col("near.doc").alias("near_doc"), F.col("near.no").alias("near_no"))
+    out = stored(pairs.where(within_one_edit("wa", "wb")).select("doc", "no", F.col("near.doc").alias("near_doc"), F.col("near.no").alias("near_no")))
+    forget(lines, variants)
+    return out
 
 
 def within_one_edit(a: str, b: str):
@@ -90,10 +92,12 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = _lines(docs, id_col, text_col)
     keys = lines.withColumn("w", F.expr(f"array_remove(split(line, '{_GAP}'), '')")).select("doc", "no", "h1", "h2", F.expr(_meeting_keys(near_words)).alias("keys"))
     distinct = stored(keys.groupBy("h1", "h2").agg(F.min(F.struct("doc", "no")).alias("at"), F.max(F.struct("doc", "no")).alias("last"), F.any_value("keys").alias("keys")).select("h1", "h2", "at.doc", "at.no", (~F.col("at").eqNullSafe(F.col("last"))).alias("again"), "keys"))
-    near = cut(near_lines(distinct, docs, id_col, text_col).select(F.col("doc").alias("near_of"), F.col("no").alias("near_at")))
+    found = near_lines(distinct, docs, id_col, text_col)
+    near = found.select(F.col("doc").alias("near_of"), F.col("no").alias("near_at"))
     # What repeats and what is near an earlier line decides; all other lines stay.
     marks = distinct.select("h1", "h2", "doc", "no", "again").join(near, distinct.doc.eqNullSafe(near.near_of) & (distinct.no == near.near_at), "left")
-    marks = marks.where("again or near_at is not null").select("h1", "h2", F.col("doc").alias("first_doc"), F.col("no").alias("first_no"), F.col("near_at").isNotNull().alias("near"))
+    marks = stored(marks.where("again or near_at is not null").select("h1", "h2", F.col("doc").alias("first_doc"), F.col("no").alias("first_no"), F.col("near_at").isNotNull().alias("near")))
+    forget(distinct, found)
     hit = lines.select("doc", "no", "h1", "h2").join(marks, ["h1", "h2"]).where("near or not (doc <=> first_doc and no = first_no)")
     first = F.expr("doc <=> first_doc and no = first_no")
     return hit.groupBy("doc").agg(F.sort_array(F.collect_set("no")).alias("removed"), F.size(F.collect_set(F.when(first, F.col("no")))).alias("n_near"))

@@ -344,6 +344,44 @@ def test_near_duplicates_follow_what_the_stages_before_have_left(spark, tmp_path
     assert sorted(r.doc_id for r in pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()) == [1, 3]
 
 
+def test_stages_run_in_any_folder(tmp_path):
+    """Called one by one, as STAGES, they didn't send the package along: near_duplicates, the first that runs Python in its tasks, failed wherever workers weren't started in this folder."""
+    import os
+    import subprocess
+    import sys
+
+    here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys
+sys.path.insert(0, {here!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", "{tmp_path}/shared").getOrCreate()
+import corpus_pipeline
+docs = spark.createDataFrame([(i, "some words that two texts have") for i in (1, 2)], "doc_id bigint, text string")
+docs.write.parquet("{tmp_path}/documents.parquet")
+print("left:", [r.doc_id for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "{tmp_path}").collect()])
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "left: [1]" in done.stdout, done.stderr[-2000:]
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """They stayed until the driver collected its garbage, so that near_duplicates had those of all its steps on disk at once."""
+    import time
+
+    from readloom.llm.common import stored
+
+    held = lambda: set(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n"))
+    before, rows = held(), spark.range(1000).repartition(7).groupBy("id").count()
+    assert stored(rows).count() == 1000
+    end = time.time() + 10
+    while (left := [f for f in held() - before if f.endswith(".data")]) and time.time() < end:
+        time.sleep(0.2)
+    assert len(left) <= 1  # that of the count
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_pipeline_ends_with_ids(spark, vocabulary):
     import hashlib
 

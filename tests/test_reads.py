@@ -1,5 +1,6 @@
 """Files, cleaning, sequence functions, statistics, correction."""
 
+import collections
 import math
 import random
 import struct
@@ -269,3 +270,35 @@ def test_numbers_theory(spark):
     below = spark.range(2, 300).select("id", numbers.lower_prime("id").alias("p")).collect()
     prime = lambda n: n > 1 and all(n % k for k in range(2, int(n**0.5) + 1))
     assert {r.id: r.p for r in below} == {n: max((k for k in range(2, n) if prime(k)), default=None) for n in range(2, 300)}
+
+
+def test_correction_counts_neighbours_before_a_shuffle_and_equals_brute_force(spark):
+    """Every place was a row of the shuffle, and met the counts again in a join."""
+    rng = random.Random(9)
+    genome = "".join(rng.choices("ACGT", k=4000))
+    reads = {2 * i + 1: genome[p : p + 80] for i, p in enumerate(range(0, 3920, 10))}
+    reads |= {i: s[: 10 + i % 40] + rng.choice("ACGT") + s[11 + i % 40 :] for i, s in reads.items() if i % 3 == 0}
+    reads |= {90_001: "A" * 34, 90_003: genome[:34] + "N" + genome[35:80], 90_005: genome[:35]}
+    df = spark.createDataFrame(list(reads.items()), "id bigint, seq string").repartition(7)
+
+    def once(now):
+        places = [(i, k, s[k + 5 : k + 35], s[k : k + 5]) for i, s in now.items() for k in range(len(s) - 34)]
+        n = collections.Counter((big, small) for _, _, big, small in places)
+        by = collections.defaultdict(list)
+        for (big, small), c in n.items():
+            if c > 1:
+                by[big].append((c, small))
+        found = {}
+        for i, k, big, have in places:
+            options = [(c, small, [x for x in range(5) if small[x] != have[x]]) for c, small in by[big]]
+            fit = [(c, small, d[0]) for c, small, d in options if len(d) == 1 and (k == 0 or 0 < d[0] < 4)]
+            if fit and n[big, have] == 1:
+                c, small, at = max(fit)
+                found[i, k + at] = max(found.get((i, k + at), (0, "")), (c, small[at]))
+        return {i: "".join(found.get((i, k), (0, c))[1] for k, c in enumerate(s)) for i, s in now.items()}, {b: c for b, c in n.items() if c > 1}
+
+    forward, counts = once(reads)
+    back = {i: rc(s) for i, s in once({i: rc(s) for i, s in forward.items()})[0].items()}
+    assert {(r.big, r.small): r.n for r in correct.context_frequencies(df).collect()} == counts
+    assert {r.id: r.seq for r in correct.correct(df).collect()} == back != reads
+    assert "Generate" not in correct.context_frequencies(df)._jdf.queryExecution().executedPlan().toString()

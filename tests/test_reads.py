@@ -302,3 +302,18 @@ def test_correction_counts_neighbours_before_a_shuffle_and_equals_brute_force(sp
     assert {(r.big, r.small): r.n for r in correct.context_frequencies(df).collect()} == counts
     assert {r.id: r.seq for r in correct.correct(df).collect()} == back != reads
     assert "Generate" not in correct.context_frequencies(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_pair_of_files_makes_its_reads_once(spark, tmp_path):
+    """They were made four times, for the sample and for the sort of either file."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    reads = spark.range(0, 400, 1, 4).selectExpr("id", "repeat('AC', 20) as seq").mapInArrow(count, "id bigint, seq string")
+    sinks.write_read_pair(reads, str(tmp_path / "1.fasta"), str(tmp_path / "3.fasta"))
+    assert seen.value == 400
+    assert [sources.read_sequences(spark, str(tmp_path / f"{k}.fasta")).count() for k in (1, 3)] == [100, 100]

@@ -112,3 +112,68 @@ def test_query_of_bit_sets_has_a_step_for_each_word_only(spark, tmp_path):
     spark.createDataFrame([(1, "some text of letters " * 9)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
     plan = queries.bit_sets(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "array_append" not in plan and "contains(CT" not in plan
+
+
+def test_both_strands_of_a_batch_are_turned_together(spark):
+    """Each read was turned letter by letter: 40,000 long ones took longer than a batch of them needs."""
+    from readloom.operators import clean
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("ACGTN", k=rng.choice([0, 1, 2, 79, 80]))) for _ in range(3000)] + [None, "", "ACé漢T"]
+    df = spark.createDataFrame([*enumerate(texts), (None, "AC")], "rn bigint, seq string").repartition(3)
+    got = clean.both_strands(df).collect()
+    turned = lambda s: s and s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    want = [x for i, s in [*enumerate(texts), (None, "AC")] for x in ((i if i is None else 2 * i + 1, s), (i if i is None else 2 * i, turned(s)))]
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+    assert sorted(((r.id, r.seq) for r in got), key=key) == sorted(want, key=key)
+    assert "Generate" not in clean.both_strands(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_level_of_longest_ways_and_a_pass_of_dangling_branches_send_little_to_the_driver(spark, monkeypatch):
+    """Three tables were written for each level, and small join sides of all rounds went through the driver."""
+    from readloom import checkpoints
+    from readloom.operators import chains, simplify
+
+    rows = [(i, i + 1 + k, 10 + k) for i in range(12) for k in (0, 1)]
+    e = spark.createDataFrame(rows, "src bigint, dst bigint, off int")
+    tables, plans, save = [], [], checkpoints.save
+    monkeypatch.setattr(checkpoints, "save", lambda df, *x: (tables.append(1), plans.append(df._jdf.queryExecution().executedPlan().toString()), save(df, *x))[-1])
+    best = {r.id: (r.length, r.next) for r in chains.longest_ways(e).collect()}
+    want = {12: (0, None), 13: (0, None)}
+    for i in reversed(range(12)):
+        want[i] = max(((10 + k + want[i + 1 + k][0], i + 1 + k) for k in (0, 1)), key=lambda x: (x[0], -x[1]))
+    assert best == want and len(tables) < 2 * 12 + 12
+    plans.clear()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    left = simplify.drop_dangling_fixpoint(e, 60).count()
+    assert left and plans and not any("Broadcast" in p for p in plans) and spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+
+
+def test_lcs_and_hashes_of_one_length_and_of_several(spark):
+    """The query computed its common subsequences twice, and hashes went through a list for each read."""
+    from readloom.plans import queries
+
+    rng = random.Random(8)
+    same = [("".join(rng.choices("ACGT", k=40)), "".join(rng.choices("ACGT", k=40))) for _ in range(60)]
+    other = [("".join(rng.choices("ACGT", k=rng.randint(0, 300))), "".join(rng.choices("ACGT", k=rng.randint(0, 300)))) for _ in range(20)] + [("A" * 300, "A" * 300)]
+
+    def lcs(a, b, band=2):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                if abs(i - j) <= band:
+                    best[i][j] = max(best[i - 1][j - 1] + (a[i - 1] == b[j - 1]), best[i - 1][j] if abs(i - 1 - j) <= band else 0, best[i][j - 1] if abs(i - j + 1) <= band else 0)
+        return max(map(max, best))
+
+    for pairs in (same, same + other):
+        df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)] + [(-1, None, "A")], "i int, a string, b string").coalesce(1)
+        got = {r.i: r for r in df.select("i", fn.banded_lcs(F.col("a"), F.col("b")).alias("n"), fn.prefix_hashes(F.col("a")).alias("h")).collect()}
+        assert got[-1].n is None and got[-1].h is None
+        for i, (a, b) in enumerate(pairs):
+            assert got[i].n == lcs(a, b)
+            h = [0]
+            for c in a:
+                h.append((h[-1] * fn.HASH_BASE + "ACGT".index(c) + 1) % fn.HASH_MODULUS)
+            assert got[i].h == h
+    plan = queries.banded_lcs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "pythonUDF0" in plan and "pythonUDF1" not in plan

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions import bitsets, packed
 from readloom.functions import sequences as fn
-from readloom.operators import approximate
+from readloom.operators import approximate, kmer_groups
 from readloom.operators.kmer_groups import ROTATIONS, Rules, group_overlaps, unreached
 
 CODE = {c: i for i, c in enumerate("ACGT")}
@@ -132,6 +132,44 @@ def test_one_kmer_in_all_reads(spark):
     assert got == {(2 * i, 2 * i + 2): 1 for i in range(39)} == brute(reads, 12, 1, Rules(20, 100), True, ("ACGT",))
 
 
+@pytest.mark.parametrize("pruned", [False, True])
+def test_large_group_some_rows_at_a_time(monkeypatch, pruned):
+    """Of a group with more pairs than are tried at a time the same stays as of one that is tried whole; rows of one block are left to another group."""
+    rng = random.Random(11)
+    g = "".join(rng.choices("ACGT", k=90))
+    reads = sorted((at - 20, 20 * n + at, changed(rng, g[at : at + 60], rng.randrange(0, 4), False)) for n in range(12) for at in range(0, 20, 2))
+    codes, lengths = packed.base_codes(pa.array([s for *_, s in reads]))
+    words, counts = packed.pack(codes, lengths)
+    ends = np.concatenate([[0], np.cumsum(counts) * 8])
+    blobs = pa.array([words.tobytes()[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+    every = np.ones(len(reads), bool)
+
+    def kept(tried, part=None):
+        monkeypatch.setattr(kmer_groups, "TRIED", tried)
+        t = kmer_groups.Members(np.array([i for _, i, _ in reads]), np.array([-p for p, *_ in reads]), lengths, every, every, blobs, part)
+        rows = [tuple(r.values()) for b in kmer_groups._in_groups(t, np.zeros(len(reads), np.int64), Rules(20, 70), pruned) for r in b.to_pylist()]
+        assert len(set(rows)) == len(rows)
+        return set(rows)
+
+    whole = kept(1 << 20)
+    assert len(whole) > 100 and all(kept(n) == whole for n in (1, 500, 3000))
+    if not pruned:
+        part = np.arange(len(reads)) % 2
+        assert kept(500, part) == {r for r in whole if (part_of := {i: p for (_, i, _), p in zip(reads, part, strict=True)})[r[0]] != part_of[r[1]]}
+
+
+@pytest.mark.parametrize("pruned", [False, True])
+def test_no_call_for_each_two_places_of_a_kmer(spark, pruned):
+    """A k-mer of 1,100 reads at many places took thousands of calls; now it is one group, with the same overlaps."""
+    rng = random.Random(12)
+    g = ["".join(rng.choices("CGT", k=40)) + "A" * 12 + "".join(rng.choices("CGT", k=40)) for _ in range(50)]
+    reads = [(40 * a + i, x[i : i + 60]) for a, x in enumerate(g) for i in range(22)]
+    out = group_overlaps(spark.createDataFrame(reads, "id bigint, seq string"), 12, 1, Rules(20, 100), pruned, ("ACGT",))
+    assert "CoGroups" not in out._jdf.queryExecution().toString()
+    inside = {(40 * a + i, 40 * a + j): j - i for a in range(50) for i in range(22) for j in ((i + 1,) if pruned else range(i + 1, 22)) if j < 22}
+    assert {k: v for k, v in found(out).items() if k[0] // 40 == k[1] // 40} == inside
+
+
 def test_unreached_of_random_graphs():
     rng = random.Random(8)
     for _ in range(300):

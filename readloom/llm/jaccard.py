@@ -317,8 +317,9 @@ def ngram_jaccard(documents: DataFrame, width: int = 5, num: int = 80, den: int
     named = docs.where("doc is not null")
     bits = filter_bits(classes.count())
     wanted = documents.sparkSession.sparkContext.broadcast((filter_of(classes, F.expr(f"(p1 ^ rep) & {bits - 1}L")), bits))
-    tokens = rare_first_tokens(named, wanted, width, num, den, n_buckets, int(BATCH_BYTES * growth))
-    tokens = stored(tokens.join(classes.select(F.col("rep").alias("doc"), "p1", "p2", "copies"), ["doc", "p1", "p2"]).dropDuplicates(["doc", "p1", "p2"]))
+    ordered = stored(rare_first_tokens(named, wanted, width, num, den, n_buckets, int(BATCH_BYTES * growth)))  # before the join: what was shuffled for it goes
+    tokens = stored(ordered.join(classes.select(F.col("rep").alias("doc"), "p1", "p2", "copies"), ["doc", "p1", "p2"]).dropDuplicates(["doc", "p1", "p2"]))
+    forget(ordered)
     small = tokens.where(F.col("n") <= small_max(num, den))
     prefix = tokens.select("doc", "n", "copies", "missing", F.posexplode(F.expr(f"slice(tokens, 1, cast(n - cast(ceil(n * {num}D / {den}D - 1e-9D) as bigint) + 1 - missing as int))")).alias("i", "token")).withColumn("at", F.col("missing") + F.col("i"))
     held = prefix.groupBy("token").agg(F.count("*").alias("c")).agg(F.sum("c").alias("rows"), F.sum(F.col("c").cast("double") * F.col("c")).alias("scans")).first()

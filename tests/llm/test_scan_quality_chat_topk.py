@@ -6,6 +6,7 @@ import re
 import pytest
 
 from readloom.llm import chat, licenses, quality, topk
+from readloom.llm.common import stored as common_stored
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words int, kept string"
 TEXTS = [
@@ -302,3 +303,15 @@ def test_license_base_columns_against_sql(spark, docs, tmp_path):
     expected = con.execute(licenses.BASE_SQL).fetchall()
     out = licenses.license_base(spark, str(tmp_path)).collect()
     assert sorted(map(tuple, out), key=str) == sorted(expected, key=str)
+
+
+def test_quality_keeps_no_texts_on_disk(spark, monkeypatch):
+    """What the kept rows depend on are no copies of the texts; equal texts in two strata, repeated rows, nulls and other columns come back as they were."""
+    written = []
+    monkeypatch.setattr(quality, "stored", lambda df, *a: (written.append(df.columns), common_stored(df, *a))[1])
+    good, bad = " ".join(f"word{i}" for i in range(60)), " ".join(["a b c"] * 30)
+    rows = [(1, good, "en", 5), (1, good, "en", 5), (2, good, None, 6), (None, good, "de", 7), (3, bad, "en", 8), (4, None, "en", 9), (5, "", None, 9), (None, bad, None, 9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, h1 int")
+    kept = quality.keep_good(docs, spark.createDataFrame([], "doc_id bigint, quality int"))
+    assert kept.columns == docs.columns and sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, rows[:4]))
+    assert written and not any("text" in c for columns in written for c in columns)

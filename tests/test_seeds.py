@@ -79,3 +79,18 @@ def test_a_frequent_kmer_does_not_try_all_its_pairs(spark, monkeypatch):
     found = [tuple(x.values()) for b in seeds._Rows(table, 27, 500, False).found() for x in b.to_pylist()]
     assert sorted(found) == brute(rows, 27, 500) and (2001, 2003, 30, 50) in found
     assert tried[0] < 10_000
+
+
+@pytest.mark.parametrize("letters", ["ACGT", "ACGTN"])
+def test_edges_by_source_equal_those_of_sequences(spark, letters):
+    """Transitive edges are told by a read's own overlaps; drop_transitive compares sequences."""
+    for n, most, large in ((12, 500, 20), (17, 33, 25)) if letters == "ACGT" else ((17, 500, 22),):
+        p = replace(derive(Params(), 41.0), min_overlap=n, max_overlap=most, transitive_from=large)
+        df = spark.createDataFrame(some_reads(n, letters), "id bigint, seq string")
+        cand = overlap.candidates(df, p).cache()
+        big = cand.where(cand.ov >= large)
+        want = sorted(tuple(r) for r in overlap.drop_transitive(overlap.smallest_offset(big.unionByName(overlap.top_small(cand, p))), big, df).collect())
+        for paired in (False, True):
+            assert sorted(tuple(r) for r in overlap.overlap_edges(df, p, paired=paired).collect()) == want and want
+        plan = overlap.seeds.edges_of(overlap.seeds.overlaps(df.selectExpr("id", "seq", "true as s", "true as t", "false as s2", "false as t2"), n, most, False, rest=True), n, most, large, 3)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan

@@ -1,9 +1,12 @@
 """Sets of small whole numbers as packed words, as Spark columns: array<bigint>, number i in bit i mod 64 of word i div 64. Arguments are columns' names or expressions; size: how many numbers there are, also a column or a number.
 
-Sets that are combined have one size. Bits from size on are zero in every result. Null sets give null. All is built from word operations inside higher-order functions, so it stays in the JVM."""
+Sets that are combined have one size. Bits from size on are zero in every result. Null sets give null. Sets are changed by word operations inside higher-order functions, in the JVM; texts and places, a step for each number there, are made of all words of a batch at once."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,10 +30,33 @@ def from_places(places: str, size: str | int) -> Column:
     return F.expr(f"transform({_words(size)}, w -> aggregate({inside}, 0L, (x, p) -> x | shiftleft(1L, cast(p % 64 as int))))")
 
 
+def _bits(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A byte for each bit of all words, and each set's number of words; none for null."""
+    words = pc.fill_null(a.flatten(), 0).to_numpy(zero_copy_only=False).astype("<i8")
+    return np.unpackbits(words.view(np.uint8), bitorder="little"), pc.fill_null(pc.list_value_length(a), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _ends(counts: np.ndarray, kind: type) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(counts)]).astype(kind)
+
+
 def from_text(s: str, size: str | int) -> Column:
-    """The set that text() writes, from a string of 0 and 1 (a column's name or an expression): one conversion of 64 characters for each word, whatever the number of places."""
-    part = f"reverse(substring({s}, cast(64 * w + 1 as int), cast(least(64, {size} - 64 * w) as int)))"
-    return F.expr(f"transform({_words(size)}, w -> coalesce(cast(conv({part}, 2, -10) as bigint), 0L))")
+    """The set that text() writes, from a string of 0 and 1 (a column's name or an expression)."""
+
+    @F.arrow_udf("array<bigint>")
+    def run(x: pa.Array, n: pa.Array) -> pa.Array:
+        flat, most = x.cast(pa.large_binary()), pc.fill_null(n, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
+        data = np.frombuffer(flat.buffers()[2], np.uint8)[ends[0] : ends[-1]] if flat.buffers()[2] else np.zeros(0, np.uint8)
+        lengths, counts = np.diff(ends), np.maximum(-(-most // 64), 0)
+        at = np.arange(len(data)) - np.repeat(ends[:-1] - ends[0], lengths)
+        ones = np.flatnonzero((data == ord("1")) & (at < np.repeat(most, lengths)))
+        bits = np.zeros(64 * int(counts.sum()), np.uint8)
+        bits[np.repeat(64 * (np.cumsum(counts) - counts), lengths)[ones] + at[ones]] = 1
+        words = np.packbits(bits, bitorder="little").view("<i8")
+        return pa.ListArray.from_arrays(pa.array(_ends(counts, np.int32)), pa.array(words), mask=pc.or_(x.is_null(), n.is_null()))
+
+    return run(F.expr(s), F.expr(f"cast({size} as bigint)"))
 
 
 def both(a: str, b: str) -> Column:
@@ -93,7 +119,16 @@ def size_between(a: str, low: str | int, high: str | int) -> Column:
 
 def places(a: str) -> Column:
     """The numbers in it, ascending."""
-    return F.expr(f"flatten(transform({a}, (x, w) -> transform(filter(case when x = 0 then cast(array() as array<int>) else sequence(0, 63) end, i -> getbit(x, i) = 1), i -> i + 64 * w)))")
+
+    @F.arrow_udf("array<int>")
+    def run(x: pa.Array) -> pa.Array:
+        bits, counts = _bits(x)
+        ones = np.flatnonzero(bits)
+        ends = np.searchsorted(ones, 64 * _ends(counts, np.int64))
+        values = ones - np.repeat(64 * (np.cumsum(counts) - counts), np.diff(ends))
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.astype(np.int32)), mask=x.is_null())
+
+    return run(F.expr(a))
 
 
 def first_from(a: str, i: str | int) -> Column:
@@ -115,4 +150,14 @@ def first_difference(a: str, b: str) -> Column:
 
 def text(a: str, size: str | int) -> Column:
     """A character for each number from 0 on: 1 where it is in."""
-    return F.expr(f"array_join(transform({a}, (x, w) -> substring(reverse(lpad(bin(x), 64, '0')), 1, cast(least(64, {size} - 64 * w) as int))), '')")
+
+    @F.arrow_udf("string")
+    def run(x: pa.Array, n: pa.Array) -> pa.Array:
+        bits, counts = _bits(x)
+        lengths = np.clip(pc.fill_null(n, 0).to_numpy(zero_copy_only=False), 0, 64 * counts)
+        at = np.arange(len(bits)) - np.repeat(64 * (np.cumsum(counts) - counts), 64 * counts)
+        shown = bits[at < np.repeat(lengths, 64 * counts)] + np.uint8(ord("0"))
+        out = pa.Array.from_buffers(pa.large_string(), len(x), [None, pa.py_buffer(_ends(lengths, np.int64)), pa.py_buffer(shown)])
+        return pc.if_else(pc.and_(x.is_valid(), n.is_valid()), out, None).cast(pa.string())
+
+    return run(F.expr(a), F.expr(f"cast({size} as bigint)"))
